@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontamination
+from .html_text import op5_html_text
 from .language_id import op3_language_id
+from .mixing import op6_mixing
+from .packing import op2_packing
 from .simhash import op7_simhash
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op4_decontamination": op4_decontamination,
+    "op5_html_text": op5_html_text,
+    "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
 }
 
