@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 from .decontaminate import op4_decontamination
+from .embedding_dedup import op1_embedding_dedup
 from .html_text import op5_html_text
 from .language_id import op3_language_id
+from .license_scan import op8_license_scan
 from .mixing import op6_mixing
 from .packing import op2_packing
+from .secret_scan import op10_secret_scan
 from .simhash import op7_simhash
+from .warc import op9_warc
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_html_text": op5_html_text,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_license_scan": op8_license_scan,
+    "op9_warc": op9_warc,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
