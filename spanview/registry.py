@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    return []
+    from .plans import selection
+
+    return [selection]
 
 
 def queries() -> dict:
