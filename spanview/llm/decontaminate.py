@@ -150,10 +150,15 @@ def _stretches(where, what, words, ends, owner, keys, around) -> pd.DataFrame:
         doc = owner[where[a]]
         lo, hi = max(ends[doc], where[a] - around), min(ends[doc + 1], where[b - 1] + around + 1)
         hits = [{"hash": int(h), "place": int(p - lo)} for p, h in zip(where[a:b], what[a:b])]
-        rows.append((keys[doc], int(lo - ends[doc]), words[lo:hi].view(np.int64), hits))
+        rows.append((keys[doc], int(lo - ends[doc]), short(words[lo:hi]), hits))
     return pd.DataFrame(rows, columns=["text_key", "seg", "words", "hits"])
 
 
+def short(words: np.ndarray) -> np.ndarray:
+    """The upper halves of word hashes, by which words are compared along an offset."""
+    return (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def similarity(item: np.ndarray, words: np.ndarray, offset: int) -> float:
     """Share of the item's words found along offset, or along it up to some place and up to SHIFT beside it from there."""
 
@@ -179,7 +184,7 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for key, passage, offsets, words, item in zip(pdf["text_key"], pdf["passage"], pdf["offsets"], pdf["words"], pdf["item"]):
-            words, item = np.asarray(words), np.asarray(item)
+            words, item = np.asarray(words), short(np.asarray(item, dtype=np.int64).view(np.uint64))
             rows.append((key, passage, max(similarity(item, words, int(o)) for o in offsets)))
         yield pd.DataFrame(rows, columns=["text_key", "passage", "overlap"])
 
@@ -192,9 +197,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity_at_least: float = SI
     bits = docs.sparkSession.sparkContext.broadcast(bloom(tests))
     around = int(longest) + SHIFT + 1
     texts = docs.select(F.md5("text").alias("text_key"), "text").filter("text IS NOT NULL")
-    found = texts.mapInPandas(lambda it: _hits(it, bits.value, around), "text_key string, seg bigint, words array<bigint>, hits array<struct<hash: bigint, place: int>>")
-    # Stretches of equal texts are equal: one of each stays.
-    found = written(found, "stretches").dropDuplicates(["text_key", "seg"])
+    found = texts.mapInPandas(lambda it: _hits(it, bits.value, around), "text_key string, seg bigint, words array<int>, hits array<struct<hash: bigint, place: int>>")
+    # Equal texts have equal stretches under the same key: their offsets fall together, and their copies are verified alike.
+    found = written(found, "stretches")
     hits = found.select("text_key", "seg", F.explode("hits").alias("h")).select("text_key", "seg", F.col("h.hash").alias("hash"), F.col("h.place").alias("at"))
     meets = hits.join(tests, "hash").groupBy("text_key", "seg", "passage").agg(F.collect_set(F.col("at") - F.col("place")).alias("offsets"))
     whole = meets.join(items.select("passage", F.col("words").alias("item")), "passage").join(found.select("text_key", "seg", "words"), ["text_key", "seg"])
