@@ -7,9 +7,10 @@ that are entries give candidate places; a place stands if the key phrase is ther
 word and SHARE or more of the template's words are at their relative positions. Base
 templates are their own key phrases, and all their places are found.
 
-Scale: two scans and no shuffle of texts. The first counts texts with each template word,
-at most one row a word and partition; the second keeps each text's words in its own row.
-The index is a constant of the plan, as large as the templates.
+Scale: one pass over the texts and no shuffle of them. It leaves numbers of template words
+for each text, and the words of those texts that hold all words of some key phrase; document
+frequencies are counts over the former with at most one row a word and partition. The index
+is a constant of the plan, as large as the templates.
 
 Cases: null, empty and wordless texts have no words and no labels, score 0. Texts are
 scanned whole. A template's places may overlap those of others and all count. Equally
@@ -24,9 +25,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import table, written
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words; those are runs of a-z, 0-9 and all beyond ASCII, after lower-casing.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHARE = 0.8
 
 #: (words, label) whose places count as base.
@@ -61,14 +63,39 @@ def _templates() -> list[tuple[list[str], list[str], str, bool]]:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words of the whole text in lower case.
 
+    Which characters belong to words doesn't depend on case. A sign beyond ASCII whose lower
+    case is an ASCII letter (the kelvin sign) is set aside, as only A-Z may become a-z.
+    """
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138"))
+    return F.array_remove(F.split(F.lower(plain), BETWEEN, -1), "")
 
-def frequencies(docs: DataFrame) -> dict[str, int]:
+
+def looked_up(docs: DataFrame) -> DataFrame:
+    """docs without text, with n_words, present (numbers of the template words in the text) and, where all words of some key phrase are there, words.
+
+    The only pass over the texts; written, as document frequencies and places both come from it.
+    """
+    known = _vocabulary()
+    rows = docs.withColumn("words", words_of(F.col("text"))).drop("text")
+    rows = rows.withColumn("_p", F.array_intersect(F.array(*map(F.lit, known)), F.col("words")))
+    keys = {tuple(sorted(set(key))) for _, key, _, _ in _templates()}
+    some = reduce(lambda a, b: a | b, (F.size(F.array_except(F.array(*map(F.lit, key)), F.col("_p"))) == 0 for key in sorted(keys)))
+    numbers = F.array(*map(F.lit, known))
+    present = F.transform("_p", lambda w: F.array_position(numbers, w).cast("smallint"))
+    return rows.select(*(c for c in docs.columns if c != "text"), F.size("words").cast("bigint").alias("n_words"), present.alias("present"), F.when(some, F.col("words")).alias("words"))
+
+
+def _vocabulary() -> list[str]:
+    return sorted({w for words, *_ in _templates() for w in words})
+
+
+def frequencies(rows: DataFrame) -> dict[str, int]:
     """Texts with each template word; one number a template word reaches the driver."""
-    known = sorted({w for words, *_ in _templates() for w in words})
-    seen = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), F.array(*map(F.lit, known)))).alias("word"))
-    return {word: n for word, n in seen.groupBy("word").count().collect()}
+    known = _vocabulary()
+    seen = rows.select(F.explode("present").alias("number")).groupBy("number").count()
+    return {known[number - 1]: n for number, n in seen.collect()}
 
 
 _PLACES = "array<struct<template:int,start:bigint,share:double>>"
@@ -107,8 +134,9 @@ def _place(t: int, words: list[str]):
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """docs with words, and places: array<struct<template, start, share>>; template counts from 0, base ones first."""
-    frequency = frequencies(docs)
+    """docs without text, with n_words and places: array<struct<template, start, share>>; template counts from 0, base ones first."""
+    rows = written(looked_up(docs), "licence-words")
+    frequency = frequencies(rows)
     templates = _templates()
     index: dict[str, list[int]] = {}
     entry: list[list[int]] = []
@@ -120,7 +148,6 @@ def scanned(docs: DataFrame) -> DataFrame:
         index.setdefault(words[order[0]], []).append(t)
     entries = F.array(*(F.lit(w) for w in sorted(index)))
 
-    rows = docs.withColumn("words", words_of(F.col("text")))
     some = F.arrays_overlap("words", entries)
     at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(entries, x["w"]))
     rows = rows.withColumn("_hits", F.when(some, at))
@@ -132,7 +159,7 @@ def scanned(docs: DataFrame) -> DataFrame:
         starts = F.transform(F.filter("_hits", _is(words[first])), _back(first))
         good = F.filter(F.transform(F.filter(starts, _stands(words, key, second)), _place(t, words)), lambda p: p["share"] >= SHARE)
         parts.append(F.when(F.exists("_hits", _is(words[first])), good).otherwise(nothing))
-    return rows.withColumn("places", F.when(F.col("_hits").isNotNull(), F.concat(*parts))).drop("_hits")
+    return rows.withColumn("places", F.when(F.col("_hits").isNotNull(), F.concat(*parts))).drop("_hits", "words", "present")
 
 
 def _labels(places: Column) -> Column:
@@ -143,7 +170,7 @@ def _labels(places: Column) -> Column:
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.coalesce(F.filter("places", lambda p: p["template"] < len(BASE)), F.array().cast(_PLACES))
-    out = out.select("doc_id", F.size("words").cast("bigint").alias("n_words"), "places", base.alias("base"))
+    out = out.select("doc_id", "n_words", "places", base.alias("base"))
     starts = F.transform("base", lambda p: p["start"])
     return out.select(
         "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
