@@ -7,10 +7,12 @@ in equality joins; pairing and collapsing are aggregates over a session.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import engine
 from ..engine import ENVELOPE_TAG, UNIT_TAG
 
 #: Dispositions by precedence, where a path or call has several.
@@ -104,10 +106,6 @@ def is_projection(text: Column, tag: str = ENVELOPE_TAG) -> Column:
 
 def collapsed_history(messages: DataFrame, tag: str = ENVELOPE_TAG, unit_tag: str = UNIT_TAG) -> DataFrame:
     """messages where user messages that are whole projections became counted markers."""
-    import pandas as pd
-
-    from .. import engine
-
     @F.pandas_udf("int")
     def units_in(text: pd.Series) -> pd.Series:
         def count(t: str | None) -> int | None:

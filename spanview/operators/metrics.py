@@ -101,9 +101,9 @@ def report(facts: DataFrame, by: list[str], rates: list[str], amounts: list[str]
 
 
 def final_captures(captures: DataFrame, by: list[str], order: str) -> DataFrame:
-    """The last capture of each group."""
+    """The last capture of each group; a tie goes to the row with the largest values."""
     cols = [c for c in captures.columns if c not in by]
-    return captures.groupBy(*by).agg(F.max_by(F.struct(*cols), order).alias("c")).select(*by, "c.*")
+    return captures.groupBy(*by).agg(F.max(F.struct(order, *(c for c in cols if c != order))).alias("c")).select(*by, "c.*")
 
 
 def gate_failures(captures: DataFrame, prefix: str) -> DataFrame:

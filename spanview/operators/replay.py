@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,24 +25,23 @@ _MEASURES = (
 
 def replayed(traces: DataFrame, systems: tuple[str, ...] = replay.SYSTEMS, parser=None) -> DataFrame:
     """Measures of every capture: (trace, repo, family, system, capture, ..., error). A trace that fails gives one row with its error."""
-    columns = ["trace", "repo", "family", "system", *(x.split()[0] for x in _MEASURES.split(", ")), "error"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                base = {"trace": r.name, "repo": replay.repository(r.repository, r.name), "family": replay.family(r.name), "system": r.system}
-                events = [{k: None if k in ("start_line", "end_line", "budget") and pd.isna(v) else v for k, v in (e if isinstance(e, dict) else e.asDict(True)).items()} for e in r.events]
+    schema = f"trace string, repo string, family string, system string, {_MEASURES}, error string"
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    fields = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                base = {"trace": r["name"], "repo": replay.repository(r["repository"], r["name"]), "family": replay.family(r["name"]), "system": r["system"]}
                 try:
-                    rows += [{**base, **m} for m in replay.run(dict(r.files), events, r.system, parser)]
+                    rows = [{**base, **m} for m in replay.run(dict(r["files"]), r["events"], r["system"], parser)]
                 except replay.TraceError as e:
-                    rows.append({**base, "error": str(e)})
-            out = pd.DataFrame(rows, columns=columns)
-            whole = ["capture", "stale_units", "stale_bytes", "duplicate_units", "duplicate_bytes", "projection_bytes", "payload_bytes", "required", "projected"]
-            yield out.astype({c: "Int64" for c in whole})
+                    rows = [{**base, "error": str(e)}]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
 
     rows = traces.withColumn("system", F.explode(F.array(*map(F.lit, systems))))
-    return rows.select("name", "repository", "files", "events", "system").mapInPandas(run, f"trace string, repo string, family string, system string, {_MEASURES}, error string")
+    return rows.select("name", "repository", "files", "events", "system").mapInArrow(run, schema)
 
 
 def events_of(traces: DataFrame) -> DataFrame:

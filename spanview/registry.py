@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from .plans import selection
+    from .plans import measures, replays, selection, sessions
 
-    return [selection]
+    return [selection, sessions, measures, replays]
 
 
 def queries() -> dict:

@@ -128,7 +128,7 @@ def table_cells(texts: DataFrame, key: str) -> DataFrame:
     """Cells of the first table in each text (key, value)."""
 
     def cells(line: Column) -> Column:
-        return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|", -1), F.trim)
+        return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|", -1), lambda x: F.trim(x))
 
     rows = F.filter(F.split("value", "\n", -1), lambda x: F.startswith(F.trim(x), F.lit("|")))
     kept = F.filter(rows, lambda x: ~x.rlike(r"^\s*\|[\s|:-]+\|?\s*$"))

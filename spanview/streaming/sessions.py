@@ -35,13 +35,14 @@ def _saved(session: engine.Session) -> str:
     return json.dumps({"turn": session.turn, "units": [asdict(u) for u in session.units.values()]})
 
 
-def tracked(reads: DataFrame, idle: str = "6 hours") -> DataFrame:
+def tracked(reads: DataFrame, idle: str | None = None) -> DataFrame:
     """Each read (session, seq, turn, path, scope, selector, start_line, end_line, content) with its unit's state after it.
 
-    A session that is idle for longer loses its state.
+    With idle, such as "6 hours", a session that is idle for longer loses its state. A query
+    with it never runs out of batches, so it fits continuous triggers only.
     """
     milliseconds = {"hours": 3_600_000, "minutes": 60_000, "seconds": 1000}
-    n, unit = idle.split()
+    n, unit = idle.split() if idle else ("0", "seconds")
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -56,10 +57,11 @@ def tracked(reads: DataFrame, idle: str = "6 hours") -> DataFrame:
             u = session.read(r.path, r.content, r.scope, 1 if pd.isna(r.start_line) else int(r.start_line), last, r.selector if isinstance(r.selector, str) else None)
             out.append((key[0], r.seq, u.id, u.path, u.revision, u.change_count, u.changed_at, u.state, u.method))
         state.update((_saved(session),))
-        state.setTimeoutDuration(int(n) * milliseconds[unit])
+        if idle:
+            state.setTimeoutDuration(int(n) * milliseconds[unit])
         yield pd.DataFrame(out, columns=[c.split()[0] for c in UNITS.split(", ")])
 
-    return reads.groupBy("session").applyInPandasWithState(fold, UNITS, "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return reads.groupBy("session").applyInPandasWithState(fold, UNITS, "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def acknowledged(events: DataFrame) -> DataFrame:
