@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 from .. import families
 from ..functions import text
-from ..operators import metrics, relocate, replay, select, symbols
-from ..operators.provenance import set_hash
+from ..operators import metrics, relocate, replay, symbols
 from ..sources import writers
 from ..streaming import sessions
-from .tables import TASK, table, units
+from .tables import TASK, table
 
 FIRST, LAST = 2, 4
 
@@ -189,12 +188,6 @@ def markdown_report(spark, sf_dir):
     return writers.markdown_rows(r, ["l_returnflag"], {"mean": 3})
 
 
-def dump_hashes(spark, sf_dir):
-    """Set hash of the whole-file texts of each session that is selected for a task."""
-    chosen = select.selected(select.scored(units(spark, sf_dir), "", 5, 50_000), 5, 50_000).filter("disposition = 'selected'")
-    return set_hash(chosen, ["session"], "unit_id", "content")
-
-
 def line_positions(spark, sf_dir):
     r = _regions(spark, sf_dir)
     return r.select("doc_id", F.call_function("instr", "current", F.col("content")).alias("at"), "current").filter("at > 0").select("doc_id", text.line_of_offset(F.col("current"), F.col("at")).cast("bigint").alias("line"))

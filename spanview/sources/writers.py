@@ -34,7 +34,7 @@ def trace_files(traces: DataFrame, path: str) -> None:
 
 def fixed(x: Column, digits: int) -> Column:
     """A number with so many digits, a dash for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", x.cast("double")), F.lit("—"))
+    return F.when(x.isNull(), "—").otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
 
 
 def markdown_rows(df: DataFrame, order: list[str], digits: dict[str, int] | None = None) -> DataFrame:
