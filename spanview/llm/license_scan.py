@@ -1,7 +1,7 @@
 """License scans with a positional index of rare words; DataFrame functions only.
 
 Templates are word sequences with a label and a mandatory key phrase. The rarest word of
-each template, by its document frequency in the scanned texts, is its entry in the index;
+each key phrase, by its document frequency in the scanned texts, is its entry in the index;
 the next rarest is checked at its relative position before anything else. A text's words
 that are entries give candidate places; a place stands if the key phrase is there word for
 word and SHARE or more of the template's words are at their relative positions. Base
@@ -114,9 +114,13 @@ def _back(n: int):
     return lambda hit: hit["i"] - n
 
 
+def _key_place(words: list[str], key: list[str]) -> int:
+    return next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+
+
 def _stands(words: list[str], key: list[str], second: list[int]):
     """Whether a start holds the next rarest word and the key phrase."""
-    k = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+    k = _key_place(words, key)
 
     def check(s: Column) -> Column:
         near = [_same(s + i, words[i]) for i in second]
@@ -140,12 +144,11 @@ def scanned(docs: DataFrame) -> DataFrame:
     templates = _templates()
     index: dict[str, list[int]] = {}
     entry: list[list[int]] = []
-    for t, (words, *_) in enumerate(templates):
-        rare = sorted(range(len(words)), key=lambda i: (frequency.get(words[i], 0), words[i], i))
-        # A word's first place stands for it, so each place of a template comes up once.
-        order = [i for i in rare if words.index(words[i]) == i]
-        entry.append(order)
-        index.setdefault(words[order[0]], []).append(t)
+    for t, (words, key, *_) in enumerate(templates):
+        k = _key_place(words, key)
+        # Words of the key phrase are there in every place, so none is missed through its rarest word.
+        entry.append(sorted(range(k, k + len(key)), key=lambda i: (frequency.get(words[i], 0), words[i], i)))
+        index.setdefault(words[entry[t][0]], []).append(t)
     entries = F.array(*(F.lit(w) for w in sorted(index)))
 
     some = F.arrays_overlap("words", entries)
@@ -177,3 +180,21 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         _labels(F.col("base")).alias("base_labels"), F.coalesce(_labels(F.col("places")), F.lit("")).alias("labels"),
         F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
     )
+
+
+def license_sql() -> str:
+    """The same in DuckDB SQL, by comparing the words at every place with every template."""
+    parts = []
+    for t, (words, key, label, base) in enumerate(_templates()):
+        k = _key_place(words, key)
+        share = " + ".join(f"CASE WHEN s.i + {i} > 0 AND w[s.i + {i}] = '{word}' THEN 1 ELSE 0 END" for i, word in enumerate(words))
+        parts.append(
+            f"SELECT doc_id, {t} AS t, '{label}' AS label, {base} AS base, s.i - 1 AS start, ({share}) / {float(len(words))} AS share"
+            f" FROM d, (SELECT unnest(range(1 - {k}, n + 1 - {k})) AS i, doc_id AS j, n FROM d WHERE list_has_all(w, {key!r})) s WHERE d.doc_id = s.j AND list_slice(w, s.i + {k}, s.i + {k + len(key) - 1}) = {key!r}"
+        )
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w, len(regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS n FROM documents),
+p AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, count(*) FILTER (base) AS nb, min(start) FILTER (base) AS f, max(start) FILTER (base) AS l, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ','), '') AS bl,
+      array_to_string(list_sort(list_distinct(list(label))), ',') AS al, max(share) AS sc FROM p WHERE share >= {SHARE} GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_words, coalesce(nb, 0) AS n_base, f AS first_word, l AS last_word, coalesce(bl, '') AS base_labels, coalesce(al, '') AS labels, CAST(coalesce(sc, 0.0) AS DOUBLE) AS score FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
