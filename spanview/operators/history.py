@@ -230,3 +230,38 @@ def acknowledged(deliveries: DataFrame) -> DataFrame:
     rows = deliveries.withColumn("next", following).filter("kind = 'pending'")
     outcome = F.when(F.col("next").isin("sent", "completed"), "committed").when(F.col("next").isNotNull(), "discarded").otherwise("pending")
     return rows.select("session", "seq", "unit_id", "revision", outcome.alias("outcome"))
+
+
+def observed_calls(calls: DataFrame, results: DataFrame, executed: DataFrame, tools: tuple[str, ...]) -> DataFrame:
+    """Read calls that have a result: (session, call_id, tool, arguments, text). Arguments as executed win over those in the transcript."""
+    keys = ["session", "call_id"]
+    done = executed.select(*keys, F.col("arguments").alias("_executed"))
+    rows = calls.filter(F.col("tool").isin(*tools)).join(results.select(*keys, "text"), keys).join(done, keys, "left")
+    return rows.select(*keys, "tool", F.coalesce("_executed", "arguments").alias("arguments"), "text")
+
+
+def seeded(reads: DataFrame, limit: int = 512 * 1024) -> DataFrame:
+    """Reads whose text may seed a unit: within the limit in bytes, without NUL, of a path inside the workspace."""
+    from ..sources.readers import unsafe_path
+
+    return reads.filter((F.octet_length("content") <= limit) & ~F.contains("content", F.lit("\0")) & ~unsafe_path(F.col("path")))
+
+
+def fail_open(messages: DataFrame, transform) -> DataFrame:
+    """transform(pandas frame of a session's messages) per session; where it fails, or changes which messages there are, the session stays as it was.
+
+    Gives (session, seq, text, applied, error). A session's messages are one request, so they fit in a task.
+    """
+    kind = dict(messages.dtypes)["session"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", ignore_index=True)
+        try:
+            out = transform(pdf.copy(deep=True))
+            if list(out["seq"]) != list(pdf["seq"]):
+                raise ValueError("messages were added, lost or moved")
+            return pdf[["session", "seq"]].assign(text=out["text"].to_numpy(), applied=True, error=None)
+        except Exception as e:  # noqa: BLE001  the request goes out as it came, whatever failed
+            return pdf[["session", "seq", "text"]].assign(applied=False, error=f"{type(e).__name__}: {e}")
+
+    return messages.select("session", "seq", "text").groupBy("session").applyInPandas(run, f"session {kind}, seq bigint, text string, applied boolean, error string")

@@ -36,11 +36,6 @@ def exact(units: DataFrame) -> DataFrame:
     return units.withColumn("places", n).withColumn("exact_start", F.when(n == 1, text.line_of_offset(current, at)))
 
 
-def normal_positions(units: DataFrame, key: list[str], content: str = "current") -> DataFrame:
-    """(key, at, line) of each line in normal form, from 0."""
-    return units.select(*key, F.posexplode(text.normal_lines(F.col(content))).alias("at", "line"))
-
-
 def boundary_pairs(units: DataFrame, key: list[str]) -> DataFrame:
     """The best pairs of boundary lines: (key, start_at, end_at, span_delta, distance, rank, tied).
 
@@ -49,10 +44,12 @@ def boundary_pairs(units: DataFrame, key: list[str]) -> DataFrame:
     the earliest after it; both come from one window over the unit's boundary lines, so a line
     as common as a closing brace makes no product of starts and ends.
     """
-    lines = normal_positions(units.select(*key, "current"), key).join(units.select(*key, "anchors").withColumnRenamed("anchors", "a"), key)
+    # Only boundary lines leave a unit's row, so those alone are dealt out.
+    lines = units.select(*key, F.col("anchors").alias("a"), F.posexplode(text.normal_lines(F.col("current"))).alias("at", "line"))
+    lines = lines.filter((F.col("a.first") != "") & (F.col("a.last") != "") & ((F.col("line") == F.col("a.first")) | (F.col("line") == F.col("a.last"))))
     own = [F.col(k) for k in key]
-    starts = lines.filter((F.col("line") == F.col("a.first")) & (F.col("a.first") != "") & (F.col("a.last") != "")).select(*own, "a", F.col("at").alias("s"), (F.col("at") + F.col("a.line_count") - 1).alias("at"), F.lit(1).alias("is_start"))
-    ends = lines.filter((F.col("line") == F.col("a.last")) & (F.col("a.last") != "")).select(*own, "a", F.lit(None).cast("int").alias("s"), "at", F.lit(0).alias("is_start"))
+    starts = lines.filter(F.col("line") == F.col("a.first")).select(*own, "a", F.col("at").alias("s"), (F.col("at") + F.col("a.line_count") - 1).alias("at"), F.lit(1).alias("is_start"))
+    ends = lines.filter(F.col("line") == F.col("a.last")).select(*own, "a", F.lit(None).cast("int").alias("s"), "at", F.lit(0).alias("is_start"))
     both = starts.unionByName(ends)
     order = Window.partitionBy(*key).orderBy("at", "is_start")
     end = F.when(F.col("is_start") == 0, F.col("at"))
@@ -71,13 +68,15 @@ def boundary_pairs(units: DataFrame, key: list[str]) -> DataFrame:
 
 def consensus_votes(units: DataFrame, key: list[str]) -> DataFrame:
     """(key, start_at, support, interior, rank): where the region's lines that are unique in the file place its start."""
-    current = normal_positions(units, key).filter("line != ''").groupBy(*key, "line").agg(F.count("*").alias("n"), F.min("at").alias("now")).filter("n = 1")
-    region = normal_positions(units, key, "content").filter("line != ''")
-    edge = Window.partitionBy(*key)
-    region = region.withColumn("edge", (F.col("at") == F.min("at").over(edge)) | (F.col("at") == F.max("at").over(edge)))
+    # Lines of the file that the region has too are all that is dealt out.
+    rows = units.select(*key, text.normal_lines(F.col("content")).alias("_r"), text.normal_lines(F.col("current")).alias("_c"), F.col("anchors.line_count").alias("_n"), F.col("anchors.start_line").alias("_was"))
+    shared = rows.select(*key, "_r", "_n", "_was", F.size("_c").alias("_lines"), F.posexplode("_c").alias("at", "line")).filter((F.col("line") != "") & F.array_contains("_r", F.col("line")))
+    current = shared.groupBy(*key, "line").agg(F.count("*").alias("n"), F.min("at").alias("now"), *(F.first(c).alias(c) for c in ("_n", "_was", "_lines"))).filter("n = 1")
+    full = F.filter(F.transform("_r", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"] != "")
+    region = rows.select(*key, full.alias("f")).select(*key, F.explode("f").alias("x"), F.get("f", F.lit(0))["at"].alias("_a"), F.get("f", F.size("f") - 1)["at"].alias("_z"))
+    region = region.select(*key, F.col("x.at").alias("at"), F.col("x.line").alias("line"), ((F.col("x.at") == F.col("_a")) | (F.col("x.at") == F.col("_z"))).alias("edge"))
     votes = region.join(current, [*key, "line"]).withColumn("start_at", F.col("now") - F.col("at"))
-    sizes = units.select(*key, text.line_count(F.col("current")).alias("_lines"), F.col("anchors.line_count").alias("_n"), F.col("anchors.start_line").alias("_was"))
-    fitting = votes.join(sizes, key).filter((F.col("start_at") >= 0) & (F.col("start_at") + F.col("_n") <= F.col("_lines")))
+    fitting = votes.filter((F.col("start_at") >= 0) & (F.col("start_at") + F.col("_n") <= F.col("_lines")))
     sums = fitting.groupBy(*key, "start_at").agg(F.count("*").alias("support"), F.count_if(~F.col("edge")).alias("interior"), F.first("_was").alias("_was"))
     order = Window.partitionBy(*key).orderBy(F.col("support").desc(), F.abs(F.col("start_at") + 1 - F.col("_was")), "start_at")
     return sums.withColumn("rank", F.row_number().over(order)).drop("_was")

@@ -74,3 +74,9 @@ def stale_dumps(commands: DataFrame, tracked: DataFrame) -> DataFrame:
 
     out = commands.join(paths, "session").withColumn("m", match("command", "_tracked"))
     return out.filter(F.size("m.paths") > 0).select("session", "call_id", "m.paths", "m.untracked")
+
+
+def discovered(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Completed shell calls (session, call_id, arguments) that read one file: (session, call_id, path, scope, start_line, end_line, tail_lines)."""
+    commands = calls.withColumn("command", command_of(F.col("arguments"))).join(results.select("session", "call_id").distinct(), ["session", "call_id"], "left_semi")
+    return parsed(commands.filter("command is not null")).filter("read is not null").select("session", "call_id", "read.*")

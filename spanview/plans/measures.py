@@ -376,6 +376,16 @@ def unsafe_paths(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", readers.unsafe_path(p).alias("unsafe"))
 
 
+def stale_rate_normal(spark, sf_dir):
+    f = _facts(spark, sf_dir)
+    return f.select("capture", "trace", metrics.normal_stale_rate(F.col("stale_units"), F.col("bytes")).alias("rate"), metrics.budget_overflow(F.col("bytes"), F.lit(30)).alias("overflow"))
+
+
+def recovery_success(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("session"), F.col("doc_id").cast("string").alias("unit_id"), F.sha2("text", 256).alias("revision"))
+    return metrics.recovery_ratio(d, d.filter("cast(unit_id as bigint) % 4 > 0")).withColumn("ratio", F.round("ratio", 9))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and getattr(v, "__module__", "") == __name__}
 
 _TURNS_SQL = """turns AS (SELECT 'arm' || (conv_id % 4) AS arm, conv_id * 100 + turn + 1 AS turn, strlen(text) AS rb, CASE WHEN conv_id % 4 = 1 OR conv_id % 8 = 2 THEN strlen(text) * 2 END AS pt, CASE WHEN turn % 2 = 0 THEN strlen(text) END AS ct FROM conversations),
@@ -464,4 +474,6 @@ UNION ALL SELECT a.trace, 'whole-file', sha256(sync || chr(10) || chr(10) || 'TA
     "target_discovery": "SELECT coalesce(max('apex-' || source), 'smoke') AS pack FROM documents WHERE doc_id % 9 = 0",
     "source_lookup": "SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN sha256(text) END AS sha256 FROM documents",
     "unsafe_paths": "SELECT doc_id, doc_id % 4 < 3 AS unsafe FROM documents",
+    "stale_rate_normal": f"WITH {FACTS_SQL} SELECT capture, trace, CAST(stale_units AS DOUBLE) / greatest(1, bytes) AS rate, greatest(bytes - 30, 0) AS overflow FROM facts",
+    "recovery_success": "SELECT count(*) AS wanted, count(*) FILTER (doc_id % 4 > 0) AS recovered, round(count(*) FILTER (doc_id % 4 > 0) / count(*), 9) AS ratio FROM documents",
 }

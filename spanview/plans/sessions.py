@@ -220,6 +220,37 @@ def request_pipeline(spark, sf_dir):
     return out.groupBy("session").agg(F.count("*").alias("messages"), F.sum(F.octet_length("text")).alias("bytes"), F.max_by("role", "seq").alias("last_role"))
 
 
+def observation_discovery(spark, sf_dir):
+    r = reads(spark, sf_dir)
+    calls = r.select("session", "call_id", F.when(F.col("k") % 2 == 0, "read").otherwise("write").alias("tool"), F.lit("{}").alias("arguments"))
+    results = r.filter("k % 3 = 0").select("session", "call_id", F.col("content").alias("text"))
+    executed = r.filter("k % 4 = 0").select("session", "call_id", F.lit('{"x":1}').alias("arguments"))
+    return history.observed_calls(calls, results, executed, ("read",)).select("session", "call_id", "arguments", "text")
+
+
+def seed_filter(spark, sf_dir):
+    r = reads(spark, sf_dir).select("event_id", F.when(F.col("k") % 5 == 0, F.concat(F.lit("../"), "path")).otherwise(F.col("path")).alias("path"), F.when(F.col("k") % 7 == 0, F.repeat(F.lit("x"), 600)).otherwise(F.col("content")).alias("content"))
+    return history.seeded(r, 512).select("event_id")
+
+
+def fail_open_envelope(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "text")
+
+    def transform(pdf):
+        if pdf["session"].iloc[0] % 3 == 0:
+            raise KeyError("no")
+        return pdf.assign(text="x").iloc[: len(pdf) - (pdf["session"].iloc[0] % 3 == 1)]
+
+    return history.fail_open(c, transform).select("session", "seq", F.sha2("text", 256).alias("text_sha256"), "applied")
+
+
+def shell_discovery(spark, sf_dir):
+    r = reads(spark, sf_dir)
+    arguments = F.concat(F.lit('{"'), F.when(F.col("k") % 2 == 0, "command").otherwise("cmd"), F.lit('": "cat '), "path", F.when(F.col("k") % 5 == 0, " | wc").otherwise(""), F.lit('"}'))
+    calls = r.select("session", "call_id", arguments.alias("arguments"))
+    return shell_reads.discovered(calls, r.filter("k % 3 = 0")).select("session", "call_id", "path", "scope")
+
+
 _TRACKED = f"""{READS_SQL}, stepped AS (SELECT *, lag(revision) OVER (PARTITION BY session, unit_id ORDER BY turn, seq) AS before FROM identified),
 tracked AS (
   SELECT *, CAST(sum(CASE WHEN before IS NOT NULL AND before <> revision THEN 1 ELSE 0 END) OVER w AS BIGINT) AS change_count, max(CASE WHEN before IS NULL OR before <> revision THEN turn END) OVER w AS changed_at, bool_or(pinned) OVER w AS pin
@@ -294,4 +325,8 @@ SELECT r.session, call_id, path AS paths, CASE WHEN k % 8 = 0 THEN 'x.txt' ELSE
     "request_pipeline": """WITH k AS (SELECT DISTINCT conv_id, 'u' || (turn % 5) AS u FROM conversations WHERE turn % 3 = 0),
 r AS (SELECT c.conv_id, c.turn, role, CASE WHEN k.u IS NOT NULL THEN '[span:' || k.u || ' path=src/' || k.u || '.py] Current content is supplied in the live projection.' ELSE text END AS t FROM conversations c LEFT JOIN k ON k.conv_id = c.conv_id AND k.u = 'u' || (c.turn % 5))
 SELECT conv_id AS session, count(*) AS messages, CAST(sum(strlen(t)) AS BIGINT) AS bytes, arg_max(role, turn) AS last_role FROM r GROUP BY conv_id""",
+    "observation_discovery": f"WITH {READS_SQL} SELECT session, call_id, CASE WHEN k % 4 = 0 THEN '{{\"x\":1}}' ELSE '{{}}' END AS arguments, content AS text FROM reads WHERE k % 6 = 0",
+    "seed_filter": f"WITH {READS_SQL} SELECT event_id FROM reads WHERE k % 5 <> 0 AND k % 7 <> 0",
+    "fail_open_envelope": "SELECT conv_id AS session, turn AS seq, sha256(CASE WHEN conv_id % 3 = 2 THEN 'x' ELSE text END) AS text_sha256, conv_id % 3 = 2 AS applied FROM conversations",
+    "shell_discovery": f"WITH {READS_SQL} SELECT session, call_id, path, 'file' AS scope FROM reads WHERE k % 3 = 0 AND k % 5 <> 0",
 }
