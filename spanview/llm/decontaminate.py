@@ -109,8 +109,8 @@ def bloom(hashes: DataFrame) -> np.ndarray:
     place = F.col("hash").bitwiseAND(F.lit(bits - 1))
     words = hashes.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(bits // 64, dtype=np.int64)
-    for w, b in words.collect():
-        out[w] = b
+    got = words.toArrow()
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
     return out.view(np.uint64)
 
 

@@ -5,6 +5,9 @@ text goes to the language whose dictionary encodes it in the fewest bytes; where
 best sizes stay equal after a second look at its distinct words, the margin is too narrow
 and the text is rejected.
 
+The sample that the dictionaries are made of is bounded by LANGUAGES, SAMPLE_ROWS and
+DICT_BYTES; texts of other languages go to the nearest one.
+
 Cases: null, empty or letterless text is `und` with score 0 and rejected. Very long texts
 are encoded whole, in chunks of CHUNK bytes. A tie goes to the language with more training
 rows and is rejected. Null or empty language labels teach nothing. Repeated rows are
@@ -26,8 +29,8 @@ from pyspark.sql.window import Window
 
 from .common import table
 
-#: Bounds of the training sample: rows and bytes of each language's dictionary.
-SAMPLE_ROWS, DICT_BYTES = 600, 262_144
+#: Bounds of the training sample: languages (the most frequent ones), rows and bytes of each language's dictionary.
+LANGUAGES, SAMPLE_ROWS, DICT_BYTES = 128, 600, 262_144
 #: Bytes that one frame encodes; below SHORT the strongest level finds three-byte matches.
 CHUNK, SHORT, CARRIER, LEVEL, SHORT_LEVEL = 16_384, 400, 256, 3, 19
 #: Relative margin under which the distinct words are looked at too.
@@ -47,28 +50,31 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> DataF
     """At most `rows` rows (lang, text) of each language, chosen by a hash of the text."""
     usable = labelled.select("lang", "text").filter("lang IS NOT NULL AND lang != '' AND text IS NOT NULL AND text rlike '\\\\p{L}'")
     key = F.xxhash64("text", F.lit(seed))
-    counts = usable.groupBy("lang").count()
+    # One row a language, LANGUAGES at most.
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     # A hash threshold first leaves about twice the bound, so that the ranking below is small for any language.
     near = usable.join(F.broadcast(counts), "lang").filter(F.shiftrightunsigned(key, 33) < F.lit(2.0 * rows + 40) / F.col("count") * F.lit(2.0**31))
+    # Copies of one text are one row, put together before the shuffle.
+    near = near.select("lang", "text", "count").distinct()
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(key, "text")))
     return ranked.filter(F.col("r") <= rows).select("lang", "text", F.col("count").alias("n"), "r")
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES) -> list[tuple[str, bytes]]:
     """[(lang, dictionary)], languages with more training rows first. Bounded by rows and dict_bytes a language."""
-    # A quarter of the dictionary at most comes from one text, in a slice that a hash of the text chooses.
-    got = sample(labelled, rows).select("lang", "n", "r", F.substring("text", 1, dict_bytes // 4).alias("text"))
+    # Of a longer text, a slice that a hash of the text places; a language's slices fill its dictionary about twice.
+    share = F.greatest(F.lit(2000), F.lit(2 * dict_bytes) / F.least(F.col("n"), F.lit(rows))).cast("int")
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - share, F.lit(0)) + 1).cast("int") + 1
+    got = sample(labelled, rows).select("lang", "n", "r", F.substring("text", start, share).alias("text"))
     texts: dict[tuple[int, str], list[str]] = {}
     for lang, n, _, text in sorted(got.collect(), key=lambda x: x[:3]):
         texts.setdefault((-n, lang), []).append(normalised(text))
     model = []
     for (_, lang), own in sorted(texts.items()):
-        size, parts = 0, []
-        share = max(2000, dict_bytes // max(1, len(own)) * 2)
+        parts, size = [], 0
         for text in own:
-            part = text.encode()[:share]
-            parts.append(part)
-            size += len(part)
+            parts.append(text.encode())
+            size += len(parts[-1])
             if size >= dict_bytes:
                 break
         model.append((lang, b"".join(parts)[:dict_bytes]))

@@ -107,3 +107,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = [F.when(F.col("spans").isNull(), F.lit(0).cast("bigint")).otherwise(count(i)).alias(f"n_{KINDS[i][0]}") for i in range(BASE)]
     base = F.filter("spans", lambda s: s["kind"] < BASE)
     return out.select("doc_id", *n, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def secret_sql() -> str:
+    """The same in DuckDB SQL: spans of each kind from what lies between matches; opaque ones as whole runs, for want of lookaround."""
+    simple = {
+        0: ("(?i:password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1, 12), 1: ("AKIA[A-Z0-9]+", 0, 18), 2: ("[0-9a-f]+", 0, 16),
+        3: ("(?i:client|account|access|key|user|tenant|app)[_-]?(?i:key[_-]?)?(?i:id|name)[\"'']?\\x20*[:=]\\x20*[\"'']?[A-Za-z0-9][A-Za-z0-9._@-]{3,}", 0, 0), 4: ("[A-Za-z0-9+/=_-]+", 0, 32),
+        5: ("(?i:https?|postgres(?:ql)?|mysql|mongodb(?:\\+srv)?|redis|amqps?|s3|ftps?|ssh)://[A-Za-z0-9][A-Za-z0-9._~:@/?#%&=+-]*", 0, 0),
+    }
+    parts = []
+    for kind, (p, g, least) in simple.items():
+        extra = " AND regexp_matches(m[i], '^[A-Za-z0-9+/_-]{32,}={0,2}$') AND regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[A-Z]') AND regexp_matches(m[i], '[a-z]')" if kind == 4 else ""
+        only = {2: " AND regexp_matches(t, '[0-9a-f]{16}')", 4: " AND regexp_matches(t, '[A-Za-z0-9+/=_-]{32}')"}.get(kind, "")
+        parts.append(
+            f"SELECT doc_id, {kind} AS kind, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'e': CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS BIGINT),"
+            f" 'n': length(m[i]), 'ok': length(c[i]) >= {least}{extra}}}), lambda z: z.ok)) AS z FROM (SELECT doc_id, string_split_regex(t, '{p}') AS s, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {g}) AS c FROM d WHERE regexp_matches(t, '{p}'){only})"
+        )
+    near = "EXISTS (SELECT 1 FROM sp b WHERE b.doc_id = a.doc_id AND b.kind IN ({}) AND (b.s, b.e, b.kind) <> (a.s, a.e, a.kind) AND CASE WHEN (b.s, b.e, b.kind) < (a.s, a.e, a.kind) THEN b.e >= a.s - 300 ELSE b.s <= a.e + 300 END)"
+    ident, secret = near.format("1, 3"), near.format("0, 4")
+    name = "['assign', 'access', 'hex', 'id', 'opaque', 'endpoint'][kind + 1] || ':' || s || ':' || e"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), sp AS (SELECT doc_id, kind, z.e - z.n AS s, z.e AS e FROM ({" UNION ALL ".join(parts)})),
+k AS (SELECT * FROM sp a WHERE kind < 3 OR (kind = 3 AND {secret}) OR (kind = 4 AND {ident}) OR (kind = 5 AND {ident} AND {secret})),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, coalesce(string_agg({name}, ',' ORDER BY s, kind) FILTER (kind < 3), '') AS bs, string_agg({name}, ',' ORDER BY s, kind, e) AS al FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(bs, '')) AS base_sha256, coalesce(al, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
