@@ -185,8 +185,8 @@ def pareto_front(spark, sf_dir):
 
 
 def bootstrap_deltas(spark, sf_dir):
-    f = _facts(spark, sf_dir).filter("trace < 5").select("system", F.col("capture").alias("id"), "latency")
-    return metrics.bootstrap_means(f, ["system"], "latency", samples=50).select("system", "mean", "low", "high")
+    f = _facts(spark, sf_dir).select("system", F.col("capture").alias("id"), "latency")
+    return metrics.bootstrap_means(f, ["system"], "latency").select("system", "mean", "low", "high")
 
 
 def token_estimate(spark, sf_dir):
@@ -322,7 +322,7 @@ def corpus_lock(spark, sf_dir):
 
 def phase_order(spark, sf_dir):
     names = F.array(*map(F.lit, ("manifest", "freeze", "generate", "run", "report")))
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").select(F.col("o_custkey").alias("pack"), F.get(names, (F.col("o_orderkey") % 5).cast("int")).alias("phase"), F.col("o_orderkey").alias("seq"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pack"), F.get(names, (F.col("o_orderkey") % 5).cast("int")).alias("phase"), F.col("o_orderkey").alias("seq"))
     return provenance.phase_errors(o.groupBy("pack", "phase").agg(F.min("seq").alias("seq")))
 
 
@@ -341,7 +341,7 @@ def replace_exact(spark, sf_dir):
 
 
 def baseline_payloads(spark, sf_dir):
-    r = reads(spark, sf_dir).filter("session < 20")
+    r = reads(spark, sf_dir)
     rd = r.select(F.col("session").alias("trace"), "seq", "path", "content")
     captures = rd.select("trace").distinct().withColumn("task", F.lit("go"))
     files = rd.groupBy("trace", "path").agg(F.max_by("content", "seq").alias("content")).filter("path != 'src/f3.py'")
@@ -457,14 +457,14 @@ SELECT task, CASE WHEN f = 0 AND p > 0 THEN 'pass' ELSE 'fail' END AS verdict, C
     "pack_guard": """WITH d AS (SELECT doc_id % 97 AS pack, bool_or(doc_id % 4 = 0) AS t, bool_or(doc_id % 4 = 1) AS r, bool_or(doc_id % 200 = 3) AS x, bool_or(doc_id % 4 > 1 AND doc_id % 9 = 0) AS m FROM documents GROUP BY 1)
 SELECT pack, array_to_string(list_filter([CASE WHEN t AND r THEN 'mixed-introduction' END, CASE WHEN x THEN 'exempt-forbidden' END, CASE WHEN t AND NOT m THEN 'stray-trace' END], lambda z: z IS NOT NULL), ',') AS errors FROM d""",
     "corpus_lock": "SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN 'not locked' WHEN 1 THEN 'ref differs' ELSE 'hash differs' END AS error FROM part WHERE p_partkey % 10 < 3",
-    "phase_order": """WITH o AS (SELECT o_custkey AS pack, CAST(o_orderkey % 5 AS INT) AS p, min(o_orderkey) AS seq FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1, 2), n AS (SELECT a.pack, a.p, b.i AS need FROM o a, (SELECT unnest([0, 1, 2, 3]) AS i) b LEFT JOIN o c ON c.pack = a.pack AND c.p = b.i WHERE b.i < a.p AND (c.seq IS NULL OR c.seq > a.seq))
+    "phase_order": """WITH o AS (SELECT o_custkey AS pack, CAST(o_orderkey % 5 AS INT) AS p, min(o_orderkey) AS seq FROM orders GROUP BY 1, 2), n AS (SELECT a.pack, a.p, b.i AS need FROM o a, (SELECT unnest([0, 1, 2, 3]) AS i) b LEFT JOIN o c ON c.pack = a.pack AND c.p = b.i WHERE b.i < a.p AND (c.seq IS NULL OR c.seq > a.seq))
 SELECT pack, ['manifest', 'freeze', 'generate', 'run', 'report'][p + 1] AS phase, 'needs ' || string_agg(['manifest', 'freeze', 'generate', 'run'][need + 1], ',' ORDER BY ['manifest', 'freeze', 'generate', 'run'][need + 1]) AS error FROM n GROUP BY pack, p""",
     "required_oracle": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 e AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'new line' || chr(10) || t WHEN 1 THEN t END AS now FROM d), f AS (SELECT *, string_split(now, chr(10)) AS n FROM e),
 g AS (SELECT *, list_filter(range(1, len(n) + 1), lambda i: n[i] = l[1]) AS p FROM f WHERE now IS NOT NULL)
 SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN now WHEN n[1] = l[1] OR len(p) <> 1 THEN array_to_string(n[1:2], chr(10)) ELSE array_to_string(n[p[1]:p[1] + 1], chr(10)) END) AS gold_sha256 FROM g UNION ALL SELECT doc_id, sha256('') FROM e WHERE now IS NULL""",
     "replace_exact": "SELECT doc_id, CASE WHEN instr(text, 'th') > 0 THEN sha256(substr(text, 1, instr(text, 'th') - 1) || '[$1]' || substr(text, instr(text, 'th') + 2)) END AS text_sha256 FROM documents",
-    "baseline_payloads": f"""WITH {READS_SQL}, r AS (SELECT session AS trace, seq, path, content FROM reads WHERE session < 20), n AS (SELECT trace, path, arg_max(content, seq) AS content FROM r WHERE path <> 'src/f3.py' GROUP BY trace, path),
+    "baseline_payloads": f"""WITH {READS_SQL}, r AS (SELECT session AS trace, seq, path, content FROM reads), n AS (SELECT trace, path, arg_max(content, seq) AS content FROM r WHERE path <> 'src/f3.py' GROUP BY trace, path),
 m AS (SELECT trace, string_agg('[whole-file path="' || path || '"]' || chr(10) || content, chr(10) || chr(10) ORDER BY path) AS now FROM n GROUP BY trace),
 a AS (SELECT trace, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS raw, string_agg('[observation-mask:' || path || '] Historical read masked; no live projection supplied.', chr(10) || chr(10) ORDER BY seq) AS mask, string_agg('sync: ' || path, chr(10) || chr(10) ORDER BY seq) AS sync FROM r GROUP BY trace)
 SELECT trace, 'append-only' AS system, sha256(raw || chr(10) || chr(10) || 'TASK: go') AS payload_sha256 FROM a UNION ALL SELECT trace, 'observation-mask', sha256(mask || chr(10) || chr(10) || 'TASK: go') FROM a

@@ -118,22 +118,20 @@ def budget_pressure(spark, sf_dir):
 
 
 def document_replay(spark, sf_dir):
-    """Each document as a trace: a region read, an edit inside it, and two captures."""
-    r = _regions(spark, sf_dir).filter("doc_id % 7 = 2")
+    """Each document as a trace: a region read, the edit that its number chooses, and two captures."""
+    r = _regions(spark, sf_dir)
     event = replay.EVENT.removeprefix("struct<").removesuffix(">")
     names = ["type", "path", "scope", "start_line", "end_line", "selector", "expected", "replacement", "task", "budget", "required"]
 
     def make(**values):
         return F.struct(*(values.get(n, F.lit(None)).alias(n) for n in names)).cast(f"struct<{event}>")
 
-    before = F.concat(F.get(F.split("content", "\n", -1), F.lit(1)), F.lit("\n"))
-    lines = F.split("content", "\n", -1)
     edit = make(type=F.lit("replace-exact"), path=F.lit("f"), expected=F.col("t"), replacement=F.replace("current", F.lit("$"), F.lit("$$")))
     read = make(type=F.lit("read"), path=F.lit("f"), scope=F.lit("region"), start_line=F.lit(FIRST), end_line=F.lit(LAST))
     shot = make(type=F.lit("capture-request"), task=F.lit(TASK), budget=F.lit(12_000))
     whole = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
-    rows = r.join(whole, "doc_id").filter((F.size(lines) == 3) & (F.length(before) > 1))
-    traces = rows.select(F.concat(F.lit("docs/interior-edit/"), F.col("doc_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("repository"), F.create_map(F.lit("f"), F.col("t")).alias("files"), F.array(read, shot, edit, shot).alias("events"))
+    rows = r.join(whole, "doc_id")
+    traces = rows.select(F.concat(F.lit("docs/edit/"), F.col("doc_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("repository"), F.create_map(F.lit("f"), F.col("t")).alias("files"), F.array(read, shot, edit, shot).alias("events"))
     out = replay.replayed(traces, ("unit-region",))
     return out.select("trace", "capture", "method", "stale_units", "projection_bytes", "error")
 

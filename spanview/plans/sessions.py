@@ -37,17 +37,17 @@ def registry_versions(spark, sf_dir):
 
 def recover_revision(spark, sf_dir):
     r = reads(spark, sf_dir)
-    wanted = registry.identified(r).filter("k % 10 = 0").select("session", "unit_id", F.when(F.col("k") % 20 == 0, F.col("revision")).alias("revision")).distinct()
+    wanted = registry.identified(r).select("session", "unit_id", F.when(F.col("k") % 2 == 0, F.col("revision")).alias("revision")).distinct()
     return registry.recovered(wanted, registry.current_units(r), registry.versions(r)).select("session", "unit_id", "revision", "content", "observed_at").distinct()
 
 
 def mark_used(spark, sf_dir):
-    used = _calls(spark, sf_dir).filter("k % 4 = 0").select("session", "unit_id", F.col("seq").alias("turn"))
+    used = _calls(spark, sf_dir).filter("kind = 'purchase'").select("session", "unit_id", F.col("seq").alias("turn"))
     return registry.marked_used(_units(spark, sf_dir).withColumn("last_used_at", F.lit(0).cast("bigint")), used).select("session", "unit_id", "last_used_at")
 
 
 def active_set_sync(spark, sf_dir):
-    calls = _calls(spark, sf_dir).withColumn("active", F.col("k") % 5 == 0)
+    calls = _calls(spark, sf_dir).withColumn("active", F.col("kind") == "click")
     return registry.active(_units(spark, sf_dir), calls).select("session", "unit_id")
 
 
@@ -58,7 +58,7 @@ def latest_read_per_observation(spark, sf_dir):
 def refresh_asof(spark, sf_dir):
     r = reads(spark, sf_dir)
     writes = r.filter("kind not in ('view', 'purchase')").select("session", "path", "seq", "content", (F.col("k") % 17 == 0).alias("deleted"))
-    captures = r.filter("k % 25 = 0").select("session", F.col("event_id").alias("capture"), "seq")
+    captures = r.filter("kind = 'purchase'").select("session", F.col("event_id").alias("capture"), "seq")
     return registry.files_as_of(writes, captures)
 
 
@@ -96,7 +96,7 @@ def served_calls(spark, sf_dir):
 
 def unserved_calls(spark, sf_dir):
     calls = _calls(spark, sf_dir)
-    return history.unserved_calls(calls, calls.filter("k % 3 = 0"), history.served_calls(calls, _dispositions(spark, sf_dir)))
+    return history.unserved_calls(calls, calls.filter("kind != 'view'"), history.served_calls(calls, _dispositions(spark, sf_dir)))
 
 
 def call_disposition(spark, sf_dir):
@@ -161,9 +161,9 @@ def scope_inference(spark, sf_dir):
 
 
 def merge_tracked(spark, sf_dir):
-    r = reads(spark, sf_dir).select("session", "call_id", "path", "content", F.when(F.col("k") % 2 == 0, F.col("start_line")).alias("start_line"), "end_line", F.lit(None).cast("int").alias("file_lines"), F.lit(None).cast("string").alias("selector"), F.lit(None).cast("int").alias("tail_lines"), "k")
-    previous = r.filter("k % 2 = 0").withColumns({"file_lines": F.lit(9), "content": F.lit("old")}).drop("k")
-    return history.merged_tracked(previous, r.filter("k % 3 = 0").drop("k")).select("session", "call_id", "content", "start_line", "file_lines")
+    r = reads(spark, sf_dir).select("session", "call_id", "path", "content", F.when(F.col("k") % 2 == 0, F.col("start_line")).alias("start_line"), "end_line", F.lit(None).cast("int").alias("file_lines"), F.lit(None).cast("string").alias("selector"), F.lit(None).cast("int").alias("tail_lines"), "k", "kind")
+    previous = r.filter("k % 2 = 0").withColumns({"file_lines": F.lit(9), "content": F.lit("old")}).drop("k", "kind")
+    return history.merged_tracked(previous, r.filter("kind != 'view'").drop("k", "kind")).select("session", "call_id", "content", "start_line", "file_lines")
 
 
 def tail_fail_close(spark, sf_dir):
@@ -199,8 +199,8 @@ def shell_parse(spark, sf_dir):
 
 def shell_stale_dumps(spark, sf_dir):
     r = reads(spark, sf_dir)
-    commands = r.filter("k % 4 = 0").select("session", "call_id", F.when(F.col("k") % 8 == 0, F.concat(F.lit("cat x.txt "), "path")).otherwise(F.concat(F.lit("grep a "), "path")).alias("command"))
-    tracked = r.filter("k % 7 in (0, 1, 2)").select("session", "path").distinct()
+    commands = r.select("session", "call_id", F.when(F.col("k") % 2 == 0, F.concat(F.lit("cat x.txt "), "path")).otherwise(F.concat(F.lit("grep a "), "path")).alias("command"))
+    tracked = r.filter("path in ('src/f0.py', 'src/f1.py', 'src/f2.py')").select("session", "path").distinct()
     out = shell_reads.stale_dumps(commands, tracked)
     return out.select("session", "call_id", F.array_join("paths", ",").alias("paths"), F.array_join("untracked", ",").alias("untracked"))
 
@@ -223,8 +223,8 @@ def request_pipeline(spark, sf_dir):
 def observation_discovery(spark, sf_dir):
     r = reads(spark, sf_dir)
     calls = r.select("session", "call_id", F.when(F.col("k") % 2 == 0, "read").otherwise("write").alias("tool"), F.lit("{}").alias("arguments"))
-    results = r.filter("k % 3 = 0").select("session", "call_id", F.col("content").alias("text"))
-    executed = r.filter("k % 4 = 0").select("session", "call_id", F.lit('{"x":1}').alias("arguments"))
+    results = r.filter("kind != 'view'").select("session", "call_id", F.col("content").alias("text"))
+    executed = r.filter("kind = 'click'").select("session", "call_id", F.lit('{"x":1}').alias("arguments"))
     return history.observed_calls(calls, results, executed, ("read",)).select("session", "call_id", "arguments", "text")
 
 
@@ -248,7 +248,7 @@ def shell_discovery(spark, sf_dir):
     r = reads(spark, sf_dir)
     arguments = F.concat(F.lit('{"'), F.when(F.col("k") % 2 == 0, "command").otherwise("cmd"), F.lit('": "cat '), "path", F.when(F.col("k") % 5 == 0, " | wc").otherwise(""), F.lit('"}'))
     calls = r.select("session", "call_id", arguments.alias("arguments"))
-    return shell_reads.discovered(calls, r.filter("k % 3 = 0")).select("session", "call_id", "path", "scope")
+    return shell_reads.discovered(calls, r.filter("kind != 'view'")).select("session", "call_id", "path", "scope")
 
 
 _TRACKED = f"""{READS_SQL}, stepped AS (SELECT *, lag(revision) OVER (PARTITION BY session, unit_id ORDER BY turn, seq) AS before FROM identified),
@@ -266,13 +266,13 @@ ORACLE_SQL = {
     "registry_upsert": f"WITH {_TRACKED} SELECT event_id, unit_id, revision, change_count, changed_at, pin AS pinned FROM tracked",
     "registry_current": f"WITH {_TRACKED} SELECT session, unit_id, revision, observed_at, change_count, changed_at, pinned FROM cur",
     "registry_versions": f"WITH {_TRACKED} SELECT * FROM ver",
-    "recover_revision": f"""WITH {_TRACKED}, w AS (SELECT DISTINCT session, unit_id, CASE WHEN k % 20 = 0 THEN revision END AS revision FROM identified WHERE k % 10 = 0),
+    "recover_revision": f"""WITH {_TRACKED}, w AS (SELECT DISTINCT session, unit_id, CASE WHEN k % 2 = 0 THEN revision END AS revision FROM identified),
 n AS (SELECT DISTINCT w.session, w.unit_id, coalesce(w.revision, c.revision) AS revision FROM w JOIN cur c USING (session, unit_id)) SELECT v.* FROM ver v JOIN n USING (session, unit_id, revision)""",
-    "mark_used": f"WITH {_TRACKED} SELECT session, unit_id, coalesce((SELECT max(seq) FROM identified i WHERE i.session = c.session AND i.unit_id = c.unit_id AND k % 4 = 0), 0) AS last_used_at FROM cur c",
-    "active_set_sync": f"WITH {_TRACKED} SELECT session, unit_id FROM cur SEMI JOIN (SELECT session, unit_id FROM identified WHERE k % 5 = 0) USING (session, unit_id)",
+    "mark_used": f"WITH {_TRACKED} SELECT session, unit_id, coalesce((SELECT max(seq) FROM identified i WHERE i.session = c.session AND i.unit_id = c.unit_id AND kind = 'purchase'), 0) AS last_used_at FROM cur c",
+    "active_set_sync": f"WITH {_TRACKED} SELECT session, unit_id FROM cur SEMI JOIN (SELECT session, unit_id FROM identified WHERE kind = 'click') USING (session, unit_id)",
     "latest_read_per_observation": f"""WITH {READS_SQL}, o AS (SELECT *, CASE WHEN scope = 'region' THEN 'region:' || path || ':' || start_line || ':' || end_line ELSE 'file:' || path END AS observation FROM reads)
 SELECT session, observation, arg_max(call_id, seq) AS call_id FROM o GROUP BY session, observation""",
-    "refresh_asof": f"""WITH {READS_SQL}, w AS (SELECT session, path, seq, content, k % 17 = 0 AS deleted FROM reads WHERE kind NOT IN ('view', 'purchase')), c AS (SELECT session, event_id AS capture, seq FROM reads WHERE k % 25 = 0)
+    "refresh_asof": f"""WITH {READS_SQL}, w AS (SELECT session, path, seq, content, k % 17 = 0 AS deleted FROM reads WHERE kind NOT IN ('view', 'purchase')), c AS (SELECT session, event_id AS capture, seq FROM reads WHERE kind = 'purchase')
 SELECT c.session, c.capture, w.path, arg_max({{'c': CASE WHEN deleted THEN NULL ELSE content END}}, w.seq).c AS content FROM c JOIN w ON w.session = c.session AND w.seq <= c.seq GROUP BY 1, 2, 3""",
     "refresh_counters": f"""WITH {_TRACKED}, f AS (SELECT session, path, max(content) AS now FROM cur GROUP BY session, path),
 r AS (SELECT c.*, 'sha256:' || sha256(f.now) AS nr FROM cur c JOIN f USING (session, path) WHERE scope = 'file')
@@ -283,7 +283,7 @@ FROM conversations c LEFT JOIN k ON k.conv_id = c.conv_id AND k.u = 'u' || (c.tu
     "text_flatten": """SELECT conv_id, turn, sha256(CASE WHEN turn % 2 = 0 THEN text ELSE text || chr(10) || role END) AS flat, CASE WHEN turn % 2 <> 0 THEN sha256(text || chr(10) || role) END AS only FROM conversations""",
     "tool_call_extract": "SELECT conv_id AS session, turn AS seq, CASE WHEN turn % 4 = 1 THEN 't' ELSE 'p' END || turn AS call_id, CASE WHEN turn % 4 = 1 THEN 'read' ELSE 'bash' END AS tool FROM conversations WHERE role = 'assistant'",
     "served_calls": f"WITH {_TRACKED} SELECT session, call_id FROM identified SEMI JOIN (SELECT * FROM disp WHERE disposition <> 'budget') d USING (session, unit_id)",
-    "unserved_calls": f"WITH {_TRACKED} SELECT DISTINCT session, call_id FROM identified JOIN disp USING (session, unit_id) WHERE k % 3 = 0 AND disposition = 'budget'",
+    "unserved_calls": f"WITH {_TRACKED} SELECT DISTINCT session, call_id FROM identified JOIN disp USING (session, unit_id) WHERE kind <> 'view' AND disposition = 'budget'",
     "call_disposition": f"WITH {_TRACKED} SELECT i.session, call_id, d.path, disposition FROM identified i JOIN disp d USING (session, unit_id)",
     "disposition_by_path": f"WITH {_PATHS} SELECT * FROM pd",
     "omitted_markers": f"""WITH {_TRACKED} SELECT session, unit_id, '[span:omitted-read path=' || path || '] ' || CASE disposition WHEN 'budget' THEN 'Current content was omitted from the live projection for budget.' ELSE 'Current content is not supplied in the live projection.' END AS marker
@@ -309,7 +309,7 @@ SELECT i.session, call_id, CASE WHEN (length(content) > 0 AND CASE WHEN first_ne
 b AS (SELECT *, coalesce(e, CASE WHEN l IS NOT NULL THEN coalesce(s, 1) + l - 1 END) AS last FROM a),
 c AS (SELECT *, CASE WHEN sym THEN 'symbol' WHEN (s IS NULL AND last IS NULL) OR (coalesce(s, 1) <= 1 AND last >= 9) THEN 'file' ELSE 'region' END AS scope FROM b)
 SELECT event_id, scope, CASE WHEN scope = 'region' THEN coalesce(s, 1) END AS start_line, CASE WHEN scope = 'region' THEN least(coalesce(last, 9), 9) END AS end_line FROM c""",
-    "merge_tracked": f"""WITH {READS_SQL} SELECT session, call_id, CASE WHEN k % 3 = 0 THEN content ELSE 'old' END AS content, CASE WHEN k % 2 = 0 THEN 1 END AS start_line, CASE WHEN k % 2 = 0 THEN 9 END AS file_lines FROM reads WHERE k % 2 = 0 OR k % 3 = 0""",
+    "merge_tracked": f"""WITH {READS_SQL} SELECT session, call_id, CASE WHEN kind <> 'view' THEN content ELSE 'old' END AS content, CASE WHEN k % 2 = 0 THEN 1 END AS start_line, CASE WHEN k % 2 = 0 THEN 9 END AS file_lines FROM reads WHERE k % 2 = 0 OR kind <> 'view'""",
     "tail_fail_close": f"WITH {READS_SQL} SELECT event_id, CASE WHEN k % 19 = 0 THEN 'tail-lines-invalid-observation' WHEN k % 3 > 0 AND k % 2 + 8 <> 9 AND k % 5 + 5 <> 7 THEN 'tail-lines-line-count-shift' END AS failure FROM reads",
     "pairing_check": f"""WITH {READS_SQL}, c AS (SELECT session, k, count(*) AS n, min(seq) AS at FROM reads WHERE kind = 'view' GROUP BY session, k), r AS (SELECT session, k, count(*) AS n, min(seq) AS at FROM reads WHERE kind = 'click' GROUP BY session, k),
 j AS (SELECT coalesce(c.session, r.session) AS session, CASE WHEN c.n > 1 THEN '1:duplicate-call' WHEN c.n IS NULL THEN '2:result-without-call' WHEN r.n > 1 THEN '3:duplicate-result' WHEN r.n IS NULL THEN '4:call-without-result' WHEN r.at <= c.at THEN '5:result-before-call' END AS e
@@ -319,14 +319,14 @@ n AS (SELECT *, first_value(CASE WHEN kind <> 'pending' THEN kind END IGNORE NUL
 SELECT session, seq, unit_id, revision, CASE WHEN nxt = 'sent' THEN 'committed' WHEN nxt IS NOT NULL THEN 'discarded' ELSE 'pending' END AS outcome FROM n WHERE kind = 'pending'""",
     "shell_parse": f"""WITH {READS_SQL} SELECT event_id, CASE WHEN k % 6 < 4 THEN path END AS path, CASE k % 6 WHEN 0 THEN 'file' WHEN 1 THEN 'region' WHEN 2 THEN 'region' WHEN 3 THEN 'region' END AS scope,
 CASE k % 6 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS start_line, CASE k % 6 WHEN 1 THEN k + 1 WHEN 2 THEN k + 2 END AS end_line, CASE k % 6 WHEN 3 THEN k + 1 END AS tail_lines, CAST(CASE WHEN k % 6 = 5 THEN 2 ELSE 0 END AS BIGINT) AS dumped FROM reads""",
-    "shell_stale_dumps": f"""WITH {READS_SQL}, t AS (SELECT DISTINCT session, path FROM reads WHERE k % 7 IN (0, 1, 2))
-SELECT r.session, call_id, path AS paths, CASE WHEN k % 8 = 0 THEN 'x.txt' ELSE '' END AS untracked FROM reads r SEMI JOIN t USING (session, path) WHERE k % 4 = 0""",
+    "shell_stale_dumps": f"""WITH {READS_SQL}, t AS (SELECT DISTINCT session, path FROM reads WHERE path IN ('src/f0.py', 'src/f1.py', 'src/f2.py'))
+SELECT r.session, call_id, path AS paths, CASE WHEN k % 2 = 0 THEN 'x.txt' ELSE '' END AS untracked FROM reads r SEMI JOIN t USING (session, path)""",
     "shell_observed_span": f"""WITH {READS_SQL} SELECT event_id, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 1 WHEN k % 2 = 1 AND k % 3 = 1 THEN 2 END AS start_line, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 2 WHEN k % 2 = 1 AND k % 3 = 1 THEN 4 END AS end_line FROM reads""",
     "request_pipeline": """WITH k AS (SELECT DISTINCT conv_id, 'u' || (turn % 5) AS u FROM conversations WHERE turn % 3 = 0),
 r AS (SELECT c.conv_id, c.turn, role, CASE WHEN k.u IS NOT NULL THEN '[span:' || k.u || ' path=src/' || k.u || '.py] Current content is supplied in the live projection.' ELSE text END AS t FROM conversations c LEFT JOIN k ON k.conv_id = c.conv_id AND k.u = 'u' || (c.turn % 5))
 SELECT conv_id AS session, count(*) AS messages, CAST(sum(strlen(t)) AS BIGINT) AS bytes, arg_max(role, turn) AS last_role FROM r GROUP BY conv_id""",
-    "observation_discovery": f"WITH {READS_SQL} SELECT session, call_id, CASE WHEN k % 4 = 0 THEN '{{\"x\":1}}' ELSE '{{}}' END AS arguments, content AS text FROM reads WHERE k % 6 = 0",
+    "observation_discovery": f"WITH {READS_SQL} SELECT session, call_id, CASE WHEN kind = 'click' THEN '{{\"x\":1}}' ELSE '{{}}' END AS arguments, content AS text FROM reads WHERE k % 2 = 0 AND kind <> 'view'",
     "seed_filter": f"WITH {READS_SQL} SELECT event_id FROM reads WHERE k % 5 <> 0 AND k % 7 <> 0",
     "fail_open_envelope": "SELECT conv_id AS session, turn AS seq, sha256(CASE WHEN conv_id % 3 = 2 THEN 'x' ELSE text END) AS text_sha256, conv_id % 3 = 2 AS applied FROM conversations",
-    "shell_discovery": f"WITH {READS_SQL} SELECT session, call_id, path, 'file' AS scope FROM reads WHERE k % 3 = 0 AND k % 5 <> 0",
+    "shell_discovery": f"WITH {READS_SQL} SELECT session, call_id, path, 'file' AS scope FROM reads WHERE kind <> 'view' AND k % 5 <> 0",
 }
