@@ -55,10 +55,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header figure figcaption time add
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _FURNITURE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|breadcrumbs?|nav|navbar|navigation|menu|sidebar|side-?bar|aside|widget\w*"
-    r"|footer|foot|header|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|popup|modal|overlay|subscribe|newsletter|signup|login"
+    r"|footer|foot|cookies?|consent|gdpr|notices?|notification|alerts?|disclaimer|copyright|popup|modal|overlay|subscribe|newsletter|signup|login"
     r"|share|sharing|social|related|recommend\w*|comments?|comment-?\w*|disqus|replies|reply|respond|pagination|pager|skip-?\w*|search\w*)(?:$|[\s_-])",
     re.I,
 )
+#: Furniture of the page, but not where it heads the article itself.
+_HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|toolbar)(?:$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -72,14 +74,14 @@ class Node:
         self.density = self.total = self.best = 0.0
 
 
-def _is_furniture(name: str, attrs: str) -> bool:
-    if name in FURNITURE:
+def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
+    if name in FURNITURE or name == "header" and not in_article:
         return True
     if not attrs or name in ("html", "body", "main", "article"):
         return False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and _FURNITURE_NAME.search(value):
+        if key in ("class", "id") and (_FURNITURE_NAME.search(value) or not in_article and _HEADER_NAME.search(value)):
             return True
         if key == "role" and value.strip().lower() in _ROLES or key == "aria-hidden" and value.strip().lower() == "true":
             return True
@@ -141,7 +143,7 @@ def parse(page: str) -> Node:
         if name == "body" or name == "html":
             if any(isinstance(x, Node) and x.name == name for x in (root.children + at.children)):
                 continue
-        node = Node(name, at, _is_furniture(name, m["attrs"]) or name == "header" and not _inside(at, "article"))
+        node = Node(name, at, _is_furniture(name, m["attrs"], _inside(at, "article")))
         at.children.append(node)
         if name in VOID or m["attrs"].endswith("/") and name not in BLOCK and name not in RAW:
             continue

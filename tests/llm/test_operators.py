@@ -210,6 +210,7 @@ def test_masks_hit_all_fifths_of_replaced_words():
     ("<body><nav><a href=x>menu</a></nav><article><h1>T</h1><p>One <b>two</b>\n three.<p>Four&nbsp;five.</article><footer>f</footer>", "T One two three. Four five."),
     ("<body><div class=ad>Buy</div><div id=main><p>Long paragraph of text that goes on and on.</p><p>Another long one, with words.</p></div><aside>side</aside><form>f</form>", "Long paragraph of text that goes on and on. Another long one, with words."),
     ("<body><article><p>A first paragraph of the story, long.</p><section id='comments'><p>a reader's comment</p></section><p>Last paragraph of the story.</p></article>", "A first paragraph of the story, long. Last paragraph of the story."),
+    ("<body><div class='site-header'>Site</div><article><div class='entry-header'><h2>Head</h2></div><div class='notice'>Mind</div><p>The text of it is here, and long enough.</p></article></body>", "Head The text of it is here, and long enough."),
     ("<article><p>x < y and a <script>var p='<p>no</p>'</script>b</p></article>", "x < y and a b"),
     ("<article><ul><li>one<li>two</ul><pre>a\n  b</pre>", "one two a b"),
 ])
