@@ -4,7 +4,9 @@ Every node's density is its characters per tag, scaled down as the share of link
 grows against that of the body. A node's density sum adds up the densities of its
 children. The threshold is the smallest density on the path from the body to the node of
 the largest density sum. That node, widened to its ancestors while all that stands beside it
-reaches the threshold, holds the article. What is furniture by its element or its role
+reaches the threshold, belongs to the article, and so does every other subtree of the body
+that reaches the threshold, with the headings above what is kept. Text and inline elements
+between blocks count as a block of their own. What is furniture by its element or its role
 (menus, adverts, forms, comments) counts no text and is left out.
 
 Cases: null and empty pages, and pages without text, give "". Broken markup closes
@@ -215,8 +217,8 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
     return chars / max(1, tags) * max(0.0, math.log(max(ratio, 1.0000001)) / math.log(max(base, 1.0000001)) if base > 1 else math.log(max(ratio, 1.0000001)))
 
 
-def _content(body: Node) -> tuple[Node, float]:
-    """The subtree that holds the article, and the threshold: the smallest density from the body to the largest sum."""
+def _content(body: Node) -> tuple[list[Node], float]:
+    """The subtrees that hold the article, in page order, and the threshold: the smallest density from the body to the largest sum."""
     nodes = _measure(body)
     top = max((n for n in nodes if not n.furniture and n.name not in RAW), key=lambda n: n.total, default=body)
     threshold, n = top.density, top
@@ -229,7 +231,74 @@ def _content(body: Node) -> tuple[Node, float]:
         if p.name != "article" and any(x.density < threshold for x in beside):
             break
         top = p
-    return top, threshold
+    return _kept(body, nodes, top, threshold), threshold
+
+
+def _rank(n: Node) -> int:
+    """1 to 6 of a heading; 0 of what else stands with headings."""
+    return int(n.name[1]) if n.name[0] == "h" and n.name[1:].isdigit() else 0
+
+
+def _kept(body: Node, nodes: list[Node], top: Node, threshold: float) -> list[Node]:
+    """top and all subtrees beside its path that reach the threshold; a heading where one of them follows before a heading of its rank or above."""
+    above, holds = set(), set()
+    n = top
+    while n is not body and n.parent is not None:
+        n = n.parent
+        above.add(id(n))
+    for n in reversed(nodes):
+        if n is not body and (n.name in BLOCK or id(n) in holds):
+            holds.add(id(n.parent))
+    share = body.link_chars / body.chars if body.chars else 0.0
+    found: list[tuple[Node, bool]] = []
+    run: list = []
+
+    def end_run() -> None:
+        if run:
+            block = Node("#run", None)
+            block.children = list(run)
+            inner = [x for x in run if isinstance(x, Node) and not x.furniture]
+            own = [sum(len(x) - x.count(" ") for x in run if isinstance(x, str) and not x.isspace())]
+            block.chars, block.link_chars = sum((x.chars for x in inner), own[0]), sum(x.link_chars for x in inner)
+            block.tags, block.link_tags = sum(x.tags + 1 for x in inner), sum(x.link_tags + (x.name == "a") for x in inner)
+            if block.chars and composite_density(block.chars, block.tags, block.link_chars, block.link_tags, share) >= threshold:
+                found.append((block, False))
+            run.clear()
+
+    stack: list = [body]
+    while stack:
+        x = stack.pop()
+        if x is None:
+            end_run()
+        elif x is top:
+            end_run()
+            found.append((x, False))
+        elif isinstance(x, str) or x.name == "br" or id(x) not in above and id(x) not in holds and x.name not in BLOCK and x.name not in HEADINGS:
+            run.append(x)
+        else:
+            end_run()
+            if x.furniture and id(x) not in above or x.name in RAW:
+                continue
+            if x.name in HEADINGS and id(x) not in above:
+                if x.chars:
+                    found.append((x, True))
+            elif id(x) not in above and x.chars and x.density >= threshold:
+                found.append((x, False))
+            elif x.name != "a" or id(x) in above:
+                stack.append(None)
+                stack.extend(reversed(x.children))
+    end_run()
+    out: list[Node] = []
+    above_rank = 7  # headings of lower rank number still have something kept below them
+    for x, heading in reversed(found):
+        if not heading:
+            above_rank = 0
+        elif above_rank == 7 or above_rank and _rank(x) >= above_rank:
+            continue
+        elif r := _rank(x):
+            above_rank = r
+        out.append(x)
+    return out[::-1]
 
 
 def _is_link_list(n: Node, threshold: float) -> bool:
@@ -271,7 +340,8 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     body = next((n for n in _ordered(root) if n.name == "body"), root)
-    return " ".join(_blocks(*_content(body)))
+    tops, threshold = _content(body)
+    return " ".join(block for top in tops for block in _blocks(top, threshold))
 
 
 @F.pandas_udf(StringType())

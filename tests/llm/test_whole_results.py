@@ -1,0 +1,23 @@
+"""Results that must be whole: what a winner, a tie, copies or a separator once hid."""
+
+import pytest
+
+from spanview.llm import html_text
+
+# 5 ---------------------------------------------------------------------------
+
+
+def paragraphs(word, n=3):
+    return f"<p>{f'{word} ' * 80}</p>" * n
+
+
+@pytest.mark.parametrize("page, kept, left_out", [
+    (f"<body><h1>Title</h1><div>{paragraphs('alpha')}</div><div>{paragraphs('beta')}</div></body>", "Title alpha beta", ""),
+    (f"<body><main><p>Lead.</p><h2>Sub</h2><div>{paragraphs('alpha')}</div><div>{paragraphs('beta')}</div></main></body>", "Sub alpha beta", ""),
+    (f"<body><div>{paragraphs('alpha')}</div><div><div>{paragraphs('beta')}</div><ul><li><a href=x>one</a><li><a href=y>two</a></ul></div></body>", "alpha beta", "one two"),
+    (f"<body><div>{paragraphs('alpha')}</div>{'plain ' * 80}<b>bold</b><div>{paragraphs('beta')}</div><h3>Related</h3><ul><li><a href=x>one</a></ul><footer>{paragraphs('foot')}</footer></body>", "alpha plain bold beta", "Related one foot"),
+])
+def test_every_dense_subtree_is_kept(page, kept, left_out):
+    words = html_text.main_text(page).split()
+    assert list(dict.fromkeys(w for w in words if w in kept.split())) == kept.split() and not set(words) & set(left_out.split())
+    assert all(words.count(w) == 3 * 80 for w in ("alpha", "beta"))
