@@ -1,8 +1,43 @@
 """Results that must be whole: what a winner, a tie, copies or a separator once hid."""
 
+import random
+
 import pytest
 
-from spanview.llm import html_text
+from spanview.llm import html_text, language_id
+
+# 3 ---------------------------------------------------------------------------
+
+
+def made_up(r, alphabet, n=400):
+    """Words of a language that is nothing but its letters."""
+    return ["".join(r.choice(alphabet) for _ in range(r.randrange(2, 11))) for _ in range(n)]
+
+
+def said(r, words, n):
+    return " ".join(r.choice(words) for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [50, 200, 1000, 5000])
+def test_unknown_languages_are_rejected_at_any_length(n):
+    r = random.Random(n)
+    known = {x: made_up(r, "abcdefghijklmnopqrstuvwxyz") for x in ("aa", "bb", "cc", "dd")}
+    model = [(x, said(r, words, 20_000).encode()) for x, words in known.items()]
+    classifier = language_id.Classifier(model)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуф"):
+        assert all(classifier.predict(" ".join(made_up(r, alphabet, n)))[3] for _ in range(10))
+        foreign = made_up(r, alphabet)
+        assert all(classifier.predict(said(r, foreign, n))[3] for _ in range(10))
+    for x, words in known.items():
+        assert all(classifier.predict(said(r, words, k))[::3] == (x, False) for k in (20, n))
+
+
+def test_one_language_rejects_what_its_dictionary_does_not_help():
+    r = random.Random(1)
+    words = made_up(r, "abcdefghij")
+    classifier = language_id.Classifier([("aa", said(r, words, 5000).encode())])
+    assert classifier.predict(said(r, words, 500))[::3] == ("aa", False)
+
 
 # 5 ---------------------------------------------------------------------------
 
