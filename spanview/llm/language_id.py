@@ -7,8 +7,9 @@ words, and where the best dictionary makes it larger than no dictionary does. MA
 relative to the best size, so that it means the same for texts of any length. It was set on
 training rows: of 2,251 looked at in sf0.1, it rejects 3.
 
-The sample that the dictionaries are made of is bounded by LANGUAGES, SAMPLE_ROWS and
-DICT_BYTES; texts of other languages go to the nearest one.
+The sample that the dictionaries are made of holds the distinct texts of the smallest hashes
+of every language. It is bounded by SAMPLE_ROWS and DICT_BYTES a language; beyond LANGUAGES
+languages, all share what that many may have, so that none goes without a dictionary.
 
 Cases: null, empty or letterless text is `und` with score 0 and rejected. Very long texts
 are encoded whole, in chunks of CHUNK bytes. A tie goes to the language with more training
@@ -31,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .common import table
 
-#: Bounds of the training sample: languages (the most frequent ones), rows and bytes of each language's dictionary.
+#: Bounds of the training sample: rows and bytes of each language's dictionary, and the languages that may have as much.
 LANGUAGES, SAMPLE_ROWS, DICT_BYTES = 128, 600, 262_144
 #: Bytes that one frame encodes; below SHORT the strongest level finds three-byte matches.
 CHUNK, SHORT, CARRIER, LEVEL, SHORT_LEVEL = 16_384, 400, 256, 3, 19
@@ -50,38 +51,51 @@ def normalised(text: str) -> str:
     return f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} "
 
 
+def _languages(labelled: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The usable rows with the hash of their text, and (lang, n, texts, langs): rows and distinct texts of each language, and how many languages there are."""
+    usable = labelled.select("lang", "text").filter("lang IS NOT NULL AND lang != '' AND text IS NOT NULL AND text rlike '\\\\p{L}'").withColumn("key", F.xxhash64("text", F.lit(seed)))
+    # Copies are put together before the shuffle, so that no more than hashes of distinct texts move.
+    counts = usable.groupBy("lang", "key").count().groupBy("lang").agg(F.sum("count").alias("n"), F.count("*").alias("texts"))
+    return usable, counts.withColumn("langs", F.count("*").over(Window.partitionBy()))
+
+
+def _shared(bound: int) -> Column:
+    """What of a bound each of `langs` languages may have."""
+    return F.greatest(F.lit(1), F.floor(F.lit(bound) * F.least(F.lit(1.0), F.lit(LANGUAGES) / F.col("langs")))).cast("int")
+
+
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
-    """At most `rows` rows (lang, text) of each language, chosen by a hash of the text."""
-    usable = labelled.select("lang", "text").filter("lang IS NOT NULL AND lang != '' AND text IS NOT NULL AND text rlike '\\\\p{L}'")
-    key = F.xxhash64("text", F.lit(seed))
-    # One row a language, LANGUAGES at most.
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    """At most `rows` distinct texts (lang, text) of each language, chosen by a hash of the text."""
+    usable, counts = _languages(labelled, seed)
+    # One row a language.
+    counts = counts.withColumn("rows", _shared(rows))
     # A hash threshold first leaves about twice the bound, so that the ranking below is small for any language.
-    near = usable.join(F.broadcast(counts), "lang").filter(F.shiftrightunsigned(key, 33) < F.lit(2.0 * rows + 40) / F.col("count") * F.lit(2.0**31))
+    near = usable.join(F.broadcast(counts), "lang").filter(F.shiftrightunsigned("key", 33) < (F.lit(2.0) * F.col("rows") + 40) / F.col("texts") * F.lit(2.0**31))
     # Copies of one text are one row, put together before the shuffle.
-    near = near.select("lang", "text", "count").distinct()
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(key, "text")))
-    return ranked.filter(F.col("r") <= rows).select("lang", "text", F.col("count").alias("n"), "r")
+    near = near.select("lang", "text", "key", "n", "texts", "rows", "langs").distinct()
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text")))
+    return ranked.filter(F.col("r") <= F.col("rows")).select("lang", "text", "n", F.least("texts", "rows").alias("used"), "langs", "r")
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES) -> list[tuple[str, bytes]]:
     """[(lang, dictionary)], languages with more training rows first. Bounded by rows and dict_bytes a language."""
     # Of a longer text, a slice that a hash of the text places; a language's slices fill its dictionary about twice.
-    share = F.greatest(F.lit(2000), F.lit(2 * dict_bytes) / F.least(F.col("n"), F.lit(rows))).cast("int")
+    size = F.greatest(F.lit(CARRIER), _shared(dict_bytes))
+    share = F.greatest(F.least(F.lit(2000), size), F.lit(2) * size / F.col("used")).cast("int")
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - share, F.lit(0)) + 1).cast("int") + 1
-    got = sample(labelled, rows).select("lang", "n", "r", F.substring("text", start, share).alias("text"))
+    got = sample(labelled, rows).select("lang", "n", "r", size.alias("size"), F.substring("text", start, share).alias("text"))
     texts: dict[tuple[int, str], list[str]] = {}
-    for lang, n, _, text in sorted(got.collect(), key=lambda x: x[:3]):
-        texts.setdefault((-n, lang), []).append(normalised(text))
+    for lang, n, _, most, text in sorted(got.collect(), key=lambda x: x[:3]):
+        texts.setdefault((-n, lang, most), []).append(normalised(text))
     model = []
-    for (_, lang), own in sorted(texts.items()):
+    for (_, lang, most), own in sorted(texts.items()):
         parts, size = [], 0
         for text in own:
             parts.append(text.encode())
             size += len(parts[-1])
-            if size >= dict_bytes:
+            if size >= most:
                 break
-        model.append((lang, b"".join(parts)[:dict_bytes]))
+        model.append((lang, b"".join(parts)[:most]))
     return model
 
 

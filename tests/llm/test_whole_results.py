@@ -39,6 +39,22 @@ def test_one_language_rejects_what_its_dictionary_does_not_help():
     assert classifier.predict(said(r, words, 500))[::3] == ("aa", False)
 
 
+def test_copies_do_not_take_a_language_out_of_the_sample(spark):
+    texts = [f"kala muna {'ab' * i}" for i in range(20)]
+    df = spark.range(200_000).selectExpr(f"element_at(array({', '.join(map(repr, texts))}), cast(id % 20 + 1 as int)) as text", "'aa' as lang")
+    got = language_id.sample(df).collect()
+    assert {x.text for x in got} == set(texts) and len(got) == 20 and {x.n for x in got} == {200_000}
+    many = spark.range(5000).selectExpr("concat('text number ', translate(cast(id as string), '0123456789', 'abcdefghij')) as text", "'aa' as lang")
+    assert language_id.sample(many).count() == language_id.SAMPLE_ROWS
+
+
+def test_rare_languages_have_a_dictionary(spark):
+    n = language_id.LANGUAGES + 5
+    df = spark.range(n * 20).selectExpr(f"concat('l', id % {n}) as lang", "concat('text ', translate(cast(id as string), '0123456789', 'abcdefghij')) as text")
+    model = language_id.fit(df)
+    assert {x for x, _ in model} == {f"l{i}" for i in range(n)} and all(data for _, data in model)
+
+
 # 5 ---------------------------------------------------------------------------
 
 
