@@ -35,7 +35,7 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
     ("id", r"(?i:client|account|access|key|user|tenant|app)[_-]?(?i:key[_-]?)?(?i:id|name)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9][A-Za-z0-9._@-]{3,}", 0, 0),
-    ("opaque", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])", 0, 0),
+    ("opaque", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])", 0, 0),
     ("endpoint", r"(?i:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3|ftps?|ssh)://[A-Za-z0-9][A-Za-z0-9._~:@/?#%&=+-]*", 0, 0),
 )
 BASE = 3
@@ -110,7 +110,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_sql() -> str:
-    """The same in DuckDB SQL: spans of each kind from what lies between matches; opaque ones as whole runs, for want of lookaround."""
+    """The same in DuckDB SQL: spans of each kind from what lies between matches; opaque ones as whole runs, for want of lookaround, so that none is found right after a "="."""
     simple = {
         0: ("(?i:password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1, 12), 1: ("AKIA[A-Z0-9]+", 0, 18), 2: ("[0-9a-f]+", 0, 16),
         3: ("(?i:client|account|access|key|user|tenant|app)[_-]?(?i:key[_-]?)?(?i:id|name)[\"'']?\\x20*[:=]\\x20*[\"'']?[A-Za-z0-9][A-Za-z0-9._@-]{3,}", 0, 0), 4: ("[A-Za-z0-9+/=_-]+", 0, 32),
