@@ -2,7 +2,8 @@
 
 A seed mask hashes the words at its chosen positions and ignores the others, so a passage
 with replaced words still shares hashes with its source. The two masks MASKS together hit
-every passage of 15, 16 or 20 words of which a fifth was replaced, wherever. Hashes of all
+every passage of 12 to 21 words of which a fifth was replaced, wherever; passages of fewer
+than SHORT_WORDS words have the shorter SHORT_MASKS, which do the same there. Hashes of all
 windows of the benchmark items fill a Bloom filter; windows of the documents that pass it
 are joined with the items' hashes, and each (item, offset) that meets is verified by
 counting equal words along that offset, with one shift of up to SHIFT words for a word
@@ -11,7 +12,8 @@ added or lost. A document is contaminated where SIMILARITY or more of an item's
 Scale: the filter has a power of two of bits between 2^16 and 2^26 (8 MB), by the number of
 test hashes; beyond that size more windows pass it, and the join still decides exactly.
 Documents are read once; equal texts are handled once after that, and only stretches around
-hits move. Items are joined, not broadcast by us.
+hits move. Items are joined, not broadcast by us. Masks that no item has are not looked for;
+the short ones pass more windows.
 
 Cases: null, empty and blank texts are clean. Items of fewer than MIN_WORDS words, and null
 items, are no passages and match nothing; items with the same words are one passage that
@@ -34,12 +36,14 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 MASKS = ("11111", "111011")
+#: Of items below SHORT_WORDS words.
+SHORT_MASKS, SHORT_WORDS = ("1101", "1011"), 12
 MIN_WORDS, SIMILARITY, SHIFT = 5, 0.8, 3
 #: Words that are hashed together.
 WORDS_AT_ONCE = 400_000
 
 _WORD = re.compile(r"\w+")
-_POSITIONS = [np.array([i for i, x in enumerate(m) if x == "1"]) for m in MASKS]
+_POSITIONS = [np.array([i for i, x in enumerate(m) if x == "1"]) for m in (*MASKS, *SHORT_MASKS)]
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * i & 0xFFFFFFFFFFFFFFFF) for i in range(8)]
 
 
@@ -61,6 +65,11 @@ def _words(texts: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
     return flat, ends
 
 
+def _masks(n: int) -> range:
+    """Numbers of the masks that an item of n words has."""
+    return range(len(MASKS), len(_POSITIONS)) if n < SHORT_WORDS else range(len(MASKS))
+
+
 def _windows(words: np.ndarray, k: int) -> np.ndarray:
     """Hash under mask k of the window at each position where it fits."""
     at = _POSITIONS[k]
@@ -95,7 +104,7 @@ def test_hashes(items: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for passage, words in zip(pdf["passage"], pdf["words"]):
-                for k in range(len(MASKS)):
+                for k in _masks(len(words)):
                     rows += [(h, passage, i) for i, h in enumerate(_windows(np.asarray(words, dtype=np.int64).view(np.uint64), k).view(np.int64).tolist())]
             yield pd.DataFrame(rows, columns=["hash", "passage", "place"])
 
@@ -114,7 +123,7 @@ def bloom(hashes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _hits(batches: Iterator[pd.DataFrame], bits: np.ndarray, around: int) -> Iterator[pd.DataFrame]:
+def _hits(batches: Iterator[pd.DataFrame], bits: np.ndarray, around: int, masks: list[int]) -> Iterator[pd.DataFrame]:
     """(text_key, seg, words, hits) of the stretches around windows that pass the filter."""
     hashes = _Hashes()
     mask = np.uint64(len(bits) * 64 - 1)
@@ -127,7 +136,8 @@ def _hits(batches: Iterator[pd.DataFrame], bits: np.ndarray, around: int) -> Ite
             words, ends = _words(texts[i:j], hashes)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             owner = np.repeat(np.arange(j - i), np.diff(ends))
-            for k, at in enumerate(_POSITIONS):
+            for k in masks:
+                at = _POSITIONS[k]
                 h = _windows(words, k)
                 low = h & mask
                 ok = np.flatnonzero(bits[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1))
@@ -193,11 +203,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity_at_least: float = SI
     """(text_key, item_ids, overlap) of the contaminated texts; text_key is the MD5 of the text."""
     items = written(passages(benchmark), "passages")
     tests = written(test_hashes(items), "test-hashes")
-    longest = items.agg(F.max(F.size("words"))).first()[0] or 0
+    shortest, longest = (x or 0 for x in items.agg(F.min(F.size("words")), F.max(F.size("words"))).first())
+    masks = sorted({*_masks(shortest), *_masks(longest)})
     bits = docs.sparkSession.sparkContext.broadcast(bloom(tests))
     around = int(longest) + SHIFT + 1
     texts = docs.select(F.md5("text").alias("text_key"), "text").filter("text IS NOT NULL")
-    found = texts.mapInPandas(lambda it: _hits(it, bits.value, around), "text_key string, seg bigint, words array<int>, hits array<struct<hash: bigint, place: int>>")
+    found = texts.mapInPandas(lambda it: _hits(it, bits.value, around, masks), "text_key string, seg bigint, words array<int>, hits array<struct<hash: bigint, place: int>>")
     # Equal texts have equal stretches under the same key: their offsets fall together, and their copies are verified alike.
     found = written(found, "stretches")
     hits = found.select("text_key", "seg", F.explode("hits").alias("h")).select("text_key", "seg", F.col("h.hash").alias("hash"), F.col("h.place").alias("at"))

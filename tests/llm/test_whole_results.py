@@ -1,10 +1,11 @@
 """Results that must be whole: what a winner, a tie, copies or a separator once hid."""
 
 import random
+from itertools import combinations
 
 import pytest
 
-from spanview.llm import html_text, language_id, secret_scan
+from spanview.llm import decontaminate, html_text, language_id, secret_scan
 
 # 3 ---------------------------------------------------------------------------
 
@@ -55,6 +56,31 @@ def test_rare_languages_have_a_dictionary(spark):
     assert {x for x, _ in model} == {f"l{i}" for i in range(n)} and all(data for _, data in model)
 
 
+# 4 ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", range(decontaminate.MIN_WORDS, 22))
+def test_masks_hit_whatever_words_are_replaced(n):
+    masks = [decontaminate._POSITIONS[k].tolist() for k in decontaminate._masks(n)]
+    windows = [{i + p for p in m} for m in masks for i in range(n - m[-1])]
+    assert all(any(w.isdisjoint(lost) for w in windows) for lost in combinations(range(n), n // 5))
+
+
+def test_short_items_with_replaced_words_are_found(spark):
+    items = [[f"i{n}w{j}" for j in range(n)] for n in (5, 6, 7, 10, 11, 15)]
+    rows = []
+    for item in items:
+        for lost in combinations(range(len(item)), len(item) // 5):
+            part = ["sub" if j in lost else w for j, w in enumerate(item)]
+            rows.append((len(rows), " ".join(["before", "it", *part, "after", "it"])))
+    docs = spark.createDataFrame([*rows, (-1, "i5w0 i5w1 i5w2 and others")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(len(x), " ".join(x)) for x in items], "item_id bigint, text string")
+    for b in (bench, bench.filter("item_id < 12")):
+        got = {x.doc_id: x.item_ids for x in decontaminate.contaminated(docs, b).collect()}
+        have = {x.item_id for x in b.collect()}
+        assert got == {i: [n] for i, t in rows for n in have if f"i{n}w" in t}
+
+
 # 5 ---------------------------------------------------------------------------
 
 
