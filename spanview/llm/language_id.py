@@ -1,19 +1,20 @@
 """Language identification by compression against per-language dictionaries.
 
-Each language has a raw-content zstandard dictionary made of its own training text. A
-text goes to the language whose dictionary encodes it in the fewest bytes. It is rejected
-where the two best sizes stay within MARGIN of each other after a second look at its distinct
-words, and where the best dictionary makes it larger than no dictionary does. MARGIN is
-relative to the best size, so that it means the same for texts of any length. It was set on
-training rows: of 2,251 looked at in sf0.1, it rejects 3.
+Each language has a raw-content zstandard dictionary made of its own training text. A text
+is encoded with each dictionary, whole and once more as the list of its distinct words, so
+that repetition does not hide the language; it goes to the language whose dictionary gives
+the fewest bytes in all. All texts are scored so, whatever their size. A text is rejected
+where the two best sizes are within MARGIN of each other, relative to the best, and where the
+best dictionary makes it larger than no dictionary does.
 
 The sample that the dictionaries are made of holds the distinct texts of the smallest hashes
-of every language. It is bounded by SAMPLE_ROWS and DICT_BYTES a language; beyond LANGUAGES
-languages, all share what that many may have, so that none goes without a dictionary.
+of every language: at most SAMPLE_ROWS texts and DICT_BYTES a language, and ALL_ROWS and
+ALL_BYTES of all languages together, which they share evenly, so that none goes without.
 
-Cases: null, empty or letterless text is `und` with score 0 and rejected. Very long texts
-are encoded whole, in chunks of CHUNK bytes. A tie goes to the language with more training
-rows and is rejected. Of one language alone, only the gain over no dictionary decides. Null or empty language labels teach nothing. Repeated rows are
+Cases: null, empty or letterless text (none of Unicode's letters) is `und` with score 0 and
+rejected. Very long texts are encoded whole, in chunks of CHUNK bytes. A tie goes to the
+language with more training rows and is rejected. Of one language alone, only the gain over
+no dictionary decides. Null or empty language labels teach nothing. Repeated rows are
 predicted alike. An empty table, or one without labels, gives `und` throughout. Other
 columns pass through; columns named lang_pred, score, margin or rejected are replaced.
 """
@@ -21,34 +22,33 @@ columns pass through; columns named lang_pred, score, margin or rejected are rep
 from __future__ import annotations
 
 import math
-import re
 import uuid
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import columns, table
 
-#: Bounds of the training sample: rows and bytes of each language's dictionary, and the languages that may have as much.
-LANGUAGES, SAMPLE_ROWS, DICT_BYTES = 128, 600, 262_144
-#: Bytes that one frame encodes; below SHORT the strongest level finds three-byte matches.
-CHUNK, SHORT, CARRIER, LEVEL, SHORT_LEVEL = 16_384, 400, 256, 3, 19
-#: Relative margin under which the distinct words are looked at too.
-SECOND_LOOK = 0.05
+#: Bounds of the training sample: texts and bytes of each language's dictionary, and of all languages together.
+SAMPLE_ROWS, DICT_BYTES = 600, 262_144
+ALL_ROWS, ALL_BYTES = 128 * SAMPLE_ROWS, 128 * DICT_BYTES
+#: Bytes of one frame, the levels for a text and for its distinct words, and the dictionary's end that each frame starts with.
+CHUNK, LEVEL, DISTINCT_LEVEL, CARRIER = 16_384, 3, 12, 256
 #: Relative margin under which a text is rejected.
 MARGIN = 0.02
 #: Odds of the best language fall by this power of e with each byte of lead.
 BYTE_WEIGHT = 0.35
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LETTER, _BETWEEN = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def normalised(text: str) -> str:
-    """Lower-case words of letters, one space around each."""
-    return f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} "
+    """Lower-case words of letters and their marks, one space around each."""
+    return f" {_BETWEEN.sub(' ', text.lower()).strip()} "
 
 
 def _languages(labelled: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -59,18 +59,17 @@ def _languages(labelled: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     return usable, counts.withColumn("langs", F.count("*").over(Window.partitionBy()))
 
 
-def _shared(bound: int) -> Column:
-    """What of a bound each of `langs` languages may have."""
-    return F.greatest(F.lit(1), F.floor(F.lit(bound) * F.least(F.lit(1.0), F.lit(LANGUAGES) / F.col("langs")))).cast("int")
+def _shared(bound: int, of_all: int) -> Column:
+    """What each of `langs` languages may have where each has a bound and all have one together."""
+    return F.greatest(F.lit(1), F.least(F.lit(bound), F.floor(F.lit(of_all) / F.col("langs")))).cast("int")
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
     """At most `rows` distinct texts (lang, text) of each language, chosen by a hash of the text."""
     usable, counts = _languages(labelled, seed)
-    # One row a language.
-    counts = counts.withColumn("rows", _shared(rows))
+    counts = counts.withColumn("rows", _shared(rows, ALL_ROWS))
     # A hash threshold first leaves about twice the bound, so that the ranking below is small for any language.
-    near = usable.join(F.broadcast(counts), "lang").filter(F.shiftrightunsigned("key", 33) < (F.lit(2.0) * F.col("rows") + 40) / F.col("texts") * F.lit(2.0**31))
+    near = usable.join(counts, "lang").filter(F.shiftrightunsigned("key", 33) < (F.lit(2.0) * F.col("rows") + 40) / F.col("texts") * F.lit(2.0**31))
     # Copies of one text are one row, put together before the shuffle.
     near = near.select("lang", "text", "key", "n", "texts", "rows", "langs").distinct()
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text")))
@@ -80,7 +79,7 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> DataF
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES) -> list[tuple[str, bytes]]:
     """[(lang, dictionary)], languages with more training rows first. Bounded by rows and dict_bytes a language."""
     # Of a longer text, a slice that a hash of the text places; a language's slices fill its dictionary about twice.
-    size = F.greatest(F.lit(CARRIER), _shared(dict_bytes))
+    size = F.greatest(F.lit(CARRIER), _shared(dict_bytes, ALL_BYTES))
     share = F.greatest(F.least(F.lit(2000), size), F.lit(2) * size / F.col("used")).cast("int")
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - share, F.lit(0)) + 1).cast("int") + 1
     got = sample(labelled, rows).select("lang", "n", "r", size.alias("size"), F.substring("text", start, share).alias("text"))
@@ -99,55 +98,47 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYT
     return model
 
 
+class _Encoders:
+    """One encoder a dictionary, or one without, at one level."""
+
+    def __init__(self, dictionaries: list[bytes | None], level: int):
+        self.each = []
+        for data in dictionaries:
+            if data:
+                known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                known.precompute_compress(level=level)
+                encoder = zstandard.ZstdCompressor(dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
+            else:
+                # The tables are made for frames of this size; those for unknown sizes are slow to clear.
+                asked = zstandard.ZstdCompressionParameters.from_level(level, source_size=CHUNK, write_content_size=0, write_checksum=0, write_dict_id=0)
+                encoder = zstandard.ZstdCompressor(compression_params=asked)
+            # A frame of a few bytes is stored as it is; after the dictionary's end, which costs one match, it is encoded.
+            carrier = data[-CARRIER:] if data else b""
+            self.each.append((encoder, carrier, len(encoder.compress(carrier))))
+
+    def sizes(self, data: bytes) -> list[int]:
+        """Bytes that data takes with each dictionary, in frames."""
+        frames = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
+        return [sum(max(1, len(encoder.compress(carrier + x)) - alone) for x in frames) for encoder, carrier, alone in self.each]
+
+
 class Classifier:
     """Encoders of one model; made once in each Python worker."""
 
     def __init__(self, model: list[tuple[str, bytes]]):
         self.langs = [lang for lang, _ in model]
-        self.long = [self._encoder(data, LEVEL) for _, data in model]
-        self.short = [self._encoder(data, SHORT_LEVEL) for _, data in model]
-        # A block of a few bytes is stored as it is; after a carrier from the dictionary, which costs one match, it is encoded.
-        self.carrier = [data[-CARRIER:] for _, data in model]
-        self.base = [len(x.compress(c)) for x, c in zip(self.short, self.carrier)]
-        self.plain = [zstandard.ZstdCompressor(level=x, write_content_size=False, write_checksum=False) for x in (LEVEL, SHORT_LEVEL)]
-        self.plain_base = len(self.plain[1].compress(b""))
-
-    @staticmethod
-    def _encoder(data: bytes, level: int) -> zstandard.ZstdCompressor:
-        known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        known.precompute_compress(level=level)
-        return zstandard.ZstdCompressor(dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
-
-    def sizes(self, data: bytes) -> list[int]:
-        if len(data) < SHORT:
-            return self.short_sizes(data)
-        parts = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
-        return [sum(len(x.compress(part)) for part in parts) for x in self.long]
-
-    def short_sizes(self, data: bytes) -> list[int]:
-        return [max(1, len(x.compress(c + data)) - b) for x, c, b in zip(self.short, self.carrier, self.base)]
-
-    def plain_size(self, data: bytes) -> int:
-        """What data takes without a dictionary."""
-        if len(data) < SHORT:
-            return max(1, len(self.plain[1].compress(data)) - self.plain_base)
-        return sum(len(self.plain[0].compress(data[i : i + CHUNK])) for i in range(0, len(data), CHUNK))
+        # The last one has no dictionary.
+        dictionaries = [*(data for _, data in model), None]
+        self.whole, self.distinct = _Encoders(dictionaries, LEVEL), _Encoders(dictionaries, DISTINCT_LEVEL)
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """(lang_pred, score, margin in bytes, rejected)."""
-        words = normalised(text) if text else ""
-        if not words.strip() or not self.langs:
+        if not text or not self.langs or not _LETTER.search(text):
             return "und", 0.0, 0.0, True
-        data = words.encode()
-        sizes, plain = self.sizes(data), self.plain_size(data)
-        least = sorted(sizes)
-        if len(least) > 1 and least[1] - least[0] < SECOND_LOOK * least[0]:
-            # Repetition hides the language: add what each distinct word costs on its own.
-            distinct = f" {' '.join(dict.fromkeys(words.split()))} ".encode()
-            parts = [distinct[i : i + SHORT - 1] for i in range(0, len(distinct), SHORT - 1)]
-            again = [sum(s) for s in zip(*map(self.short_sizes, parts))]
-            alone = sum(map(self.plain_size, parts))
-            sizes, plain = (again, alone) if len(distinct) * 2 < len(words) else ([a + b for a, b in zip(sizes, again)], plain + alone)
+        words = normalised(text)
+        whole = self.whole.sizes(words.encode("utf-8", "replace"))
+        distinct = self.distinct.sizes(f" {' '.join(dict.fromkeys(words.split()))} ".encode("utf-8", "replace"))
+        *sizes, plain = (a + b for a, b in zip(whole, distinct))
         best = min(range(len(sizes)), key=sizes.__getitem__)
         margin = min((s for i, s in enumerate(sizes) if i != best), default=sizes[best] + 1) - sizes[best]
         score = 1 / sum(math.exp(-BYTE_WEIGHT * (s - sizes[best])) for s in sizes)
@@ -179,9 +170,9 @@ def held_out(doc_id: Column) -> Column:
 
 def identify(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
     """docs with lang_pred, score, margin (bytes) and rejected."""
-    names = ("lang_pred", "score", "margin", "rejected")
-    found = docs.drop(*names).withColumn("_found", predictor(docs.sparkSession, model)("text"))
-    return found.select("*", *(F.col(f"_found.{x}") for x in names)).drop("_found")
+    kept = columns(docs, ("lang_pred", "score", "margin", "rejected"))
+    found = predictor(docs.sparkSession, model)(F.col("text"))
+    return docs.select(F.struct(*kept).alias("row"), found.alias("found")).select("row.*", "found.*")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -196,4 +187,4 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; lang is left as it was."""
-    return identify(docs, fit(training_rows(docs))).filter(~F.col("rejected")).select(*docs.columns)
+    return identify(docs, fit(training_rows(docs))).filter(~F.col("rejected")).select(*columns(docs))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import table, written
+from .common import spread, table, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -280,8 +280,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = written(fingerprinted(table(spark, sf_dir, "documents"), "doc_id"), "simhash")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = least.join(classes(fps), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.select("fp", "component").join(smallest, "component").select("fp", "component_id")
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id")).select(spread(F.col("component")).alias("component"), "component_id")
+    of = named.select("fp", "component").join(smallest, "component").select(spread(F.col("fp")).alias("fp"), "component_id")
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -1,5 +1,6 @@
 """Results that must be whole: what a winner, a tie, copies or a separator once hid."""
 
+import os
 import random
 from itertools import combinations
 
@@ -7,6 +8,9 @@ import pytest
 
 from spanview.llm import decontaminate, html_text, language_id, secret_scan
 
+DATA, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
+needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+
 # 3 ---------------------------------------------------------------------------
 
 
@@ -49,11 +53,43 @@ def test_copies_do_not_take_a_language_out_of_the_sample(spark):
     assert language_id.sample(many).count() == language_id.SAMPLE_ROWS
 
 
-def test_rare_languages_have_a_dictionary(spark):
-    n = language_id.LANGUAGES + 5
-    df = spark.range(n * 20).selectExpr(f"concat('l', id % {n}) as lang", "concat('text ', translate(cast(id as string), '0123456789', 'abcdefghij')) as text")
+def test_as_many_languages_as_there_are_can_be_predicted(spark):
+    r, n = random.Random(3), 140
+    words = [made_up(r, "abcdefghijklmnopqrstuvwxyz", 60) for _ in range(n)]
+    rows = [(f"l{i:03}", said(r, words[i], 30)) for i in range(n) for _ in range(12)]
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert {x for x, _ in model} == {f"l{i:03}" for i in range(n)}
+    classifier = language_id.Classifier(model)
+    assert all(classifier.predict(said(r, words[i], 25))[::3] == (f"l{i:03}", False) for i in range(n))
+
+
+def test_the_bound_of_all_languages_leaves_none_without_a_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ALL_ROWS", 40)
+    monkeypatch.setattr(language_id, "ALL_BYTES", 20 * 400)
+    df = spark.range(20 * 20).selectExpr("concat('l', id % 20) as lang", "concat('text ', translate(cast(id as string), '0123456789', 'abcdefghij')) as text")
     model = language_id.fit(df)
-    assert {x for x, _ in model} == {f"l{i}" for i in range(n)} and all(data for _, data in model)
+    assert {x for x, _ in model} == {f"l{i}" for i in range(20)} and all(0 < len(data) <= 400 for _, data in model)
+
+
+def test_only_letters_make_a_language():
+    classifier = language_id.Classifier([("aa", b" kala muna rotu seli vado " * 40), ("hi", " कि हिन्दी में लिखा है ".encode() * 40)])
+    for text in ("½", "² ³", "Ⅷ", "①", "12 34", "__", "\u0301", "", None):
+        assert classifier.predict(text) == ("und", 0.0, 0.0, True)
+    assert language_id.normalised("कि, हिन्दी! É 12") == " कि हिन्दी é "
+    assert classifier.predict("हिन्दी में लिखा है कि")[::3] == ("hi", False)
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    df = spark.createDataFrame([(1, "kala muna", "x", "y", "z", "w")], "doc_id bigint, text string, found string, row string, _found string, `a.b` string")
+    out = language_id.identify(df.selectExpr("*", "'old' as Margin"), [("aa", b" kala muna rotu " * 20)])
+    assert out.columns == [*df.columns, "lang_pred", "score", "margin", "rejected"] and out.first()[:7] == (1, "kala muna", "x", "y", "z", "w", "aa")
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the driver's tables")
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    out = language_id.op3_language_id(spark, LARGER).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred != 'und'").toPandas()
+    assert len(out) > 2000 and (out.lang == out.lang_pred).mean() >= 0.995 and out.rejected.mean() <= 0.005
 
 
 # 4 ---------------------------------------------------------------------------
