@@ -85,6 +85,17 @@ def columns(df: DataFrame, without: Iterable[str] = ()) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in left_out]
 
 
+def numbered(df: DataFrame, without: Iterable[str] = (), **more: Column) -> tuple[DataFrame, list[Column]]:
+    """df with its columns named by number, and more columns beside them; and the columns to select for the old names.
+
+    Whatever names df's columns have, they meet none of an operator's own.
+    """
+    kept = columns(df, without)
+    left_out = {x.lower() for x in without}
+    back = [F.col(f"_c{i}").alias(name) for i, name in enumerate(x for x in df.columns if x.lower() not in left_out)]
+    return df.select(*(c.alias(f"_c{i}") for i, c in enumerate(kept)), *(c.alias(name) for name, c in more.items())), back
+
+
 def spread(key: Column) -> Column:
     """A bigint key, its value unchanged, as a column that Spark deals out anew.
 

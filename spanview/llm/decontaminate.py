@@ -2,24 +2,30 @@
 
 A seed mask hashes the words at its chosen positions and ignores the others, so a passage
 with replaced words still shares hashes with its source. The two masks MASKS together hit
-every passage of 12 to 21 words of which a fifth was replaced, wherever; passages of fewer
-than SHORT_WORDS words have the shorter SHORT_MASKS, which do the same there. Hashes of all
-windows of the benchmark items fill a Bloom filter; windows of the documents that pass it
-are joined with the items' hashes, and each (item, offset) that meets is verified by
-counting equal words along that offset, with one shift of up to SHIFT words for a word
-added or lost. A document is contaminated where SIMILARITY or more of an item's words are found.
-
-Scale: the filter has a power of two of bits between 2^16 and 2^26 (8 MB), by the number of
-test hashes; beyond that size more windows pass it, and the join still decides exactly.
-Documents are read once; equal texts are handled once after that, and only stretches around
-hits move. Items are joined, not broadcast by us. Masks that no item has are not looked for;
-the short ones pass more windows.
+every passage of SHORT_WORDS or more words of which a fifth was replaced, wherever: r
+replaced words leave at least 4 r others in r + 1 runs. Without a hit of 11111 no run has
+over 4, and without one of 111011 two neighbouring runs lack 2 of 4 each, so that five or
+more replaced words leave too few others; fewer are enumerated by the tests. Passages of
+fewer than SHORT_WORDS words have the shorter SHORT_MASKS, which do the same there.
+
+Hashes of all windows of the benchmark items fill a Bloom filter; windows of the documents
+that pass it are joined with the items' hashes, and each (item, offset) that meets is
+verified by counting equal words along that offset, with one shift of up to SHIFT words for a
+word added or lost. A document is contaminated where SIMILARITY or more of an item's words
+are found.
+
+Scale: the filter has a power of two of bits between 2^16 and 2^27 (16 MB), 32 or more for
+each test hash up to 4 million of them; one in 5,000 other windows passes it then, and one in
+40 at 16 million. The join decides exactly whatever passes. Documents are read once; equal
+texts are handled once after that, and only stretches around hits move, of SPAN words and
+their surroundings at most. Items are joined, not broadcast by us. Masks that no item has
+are not looked for.
 
 Cases: null, empty and blank texts are clean. Items of fewer than MIN_WORDS words, and null
 items, are no passages and match nothing; items with the same words are one passage that
 carries all their ids. Texts are searched whole. Repeated rows are all reported, rows
 without doc_id as well. Empty documents or an empty benchmark give no leaks. Other columns
-pass through; a column named item_ids or overlap is replaced.
+pass through, whatever their names; a column named item_ids or overlap is replaced.
 """
 
 from __future__ import annotations
@@ -33,14 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import numbered, table, written
 
 MASKS = ("11111", "111011")
 #: Of items below SHORT_WORDS words.
 SHORT_MASKS, SHORT_WORDS = ("1101", "1011"), 12
 MIN_WORDS, SIMILARITY, SHIFT = 5, 0.8, 3
-#: Words that are hashed together.
-WORDS_AT_ONCE = 400_000
+#: Words that are hashed together; words from the first to the last hit of one stretch.
+WORDS_AT_ONCE, SPAN = 400_000, 4_096
+#: Places that a hash has in the filter, and the powers of two of its bits.
+PROBES, LEAST_BITS, MOST_BITS = 4, 16, 27
 
 _WORD = re.compile(r"\w+")
 _POSITIONS = [np.array([i for i, x in enumerate(m) if x == "1"]) for m in (*MASKS, *SHORT_MASKS)]
@@ -112,21 +120,34 @@ def test_hashes(items: DataFrame) -> DataFrame:
 
 
 def bloom(hashes: DataFrame) -> np.ndarray:
-    """Bit set of the hashes' low bits: at most 2^26 bits, gathered as at most 2^20 words."""
+    """Bit set of PROBES places of each hash, gathered as at most 2^21 words."""
     n = hashes.count()
-    bits = 1 << min(26, max(16, (32 * max(1, n) - 1).bit_length()))
-    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    words = hashes.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (32 * max(1, n) - 1).bit_length()))
+    low = F.lit(bits - 1)
+    first, step = F.col("hash").bitwiseAND(low), F.shiftright("hash", 32).bitwiseAND(low)
+    place = F.explode(F.array(*((first + step * j).bitwiseAND(low) for j in range(PROBES))))
+    places = hashes.select(place.alias("p"))
+    words = places.select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(bits // 64, dtype=np.int64)
     got = words.toArrow()
     out[got.column("w").to_numpy()] = got.column("b").to_numpy()
     return out.view(np.uint64)
 
 
+def passing(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Indexes of the hashes that pass the filter."""
+    low, left = np.uint64(len(bits) * 64 - 1), None
+    for j in range(PROBES):
+        own = h if left is None else h[left]
+        p = ((own & low) + ((own >> np.uint64(32)) & low) * np.uint64(j)) & low
+        ok = np.flatnonzero(bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1))
+        left = ok if left is None else left[ok]
+    return left
+
+
 def _hits(batches: Iterator[pd.DataFrame], bits: np.ndarray, around: int, masks: list[int]) -> Iterator[pd.DataFrame]:
     """(text_key, seg, words, hits) of the stretches around windows that pass the filter."""
     hashes = _Hashes()
-    mask = np.uint64(len(bits) * 64 - 1)
     for pdf in batches:
         texts, keys = pdf["text"].tolist(), pdf["text_key"].tolist()
         lengths = np.cumsum([0, *(len(x or "") // 5 + 1 for x in texts)])
@@ -137,11 +158,9 @@ def _hits(batches: Iterator[pd.DataFrame], bits: np.ndarray, around: int, masks:
             found: list[tuple[np.ndarray, np.ndarray]] = []
             owner = np.repeat(np.arange(j - i), np.diff(ends))
             for k in masks:
-                at = _POSITIONS[k]
                 h = _windows(words, k)
-                low = h & mask
-                ok = np.flatnonzero(bits[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1))
-                ok = ok[owner[ok] == owner[ok + int(at[-1])]]
+                ok = passing(h, bits)
+                ok = ok[owner[ok] == owner[ok + int(_POSITIONS[k][-1])]]
                 found.append((ok, h[ok]))
             where = np.concatenate([x for x, _ in found])
             if len(where):
@@ -153,14 +172,18 @@ def _hits(batches: Iterator[pd.DataFrame], bits: np.ndarray, around: int, masks:
 
 
 def _stretches(where, what, words, ends, owner, keys, around) -> pd.DataFrame:
+    """Hits that lie close together and the words around them; a long run of hits is cut, and each part has its surroundings."""
     new = np.concatenate(([True], (np.diff(where) > 2 * around) | (np.diff(owner[where]) != 0)))
+    part = (where - np.maximum.accumulate(np.where(new, where, 0))) // SPAN
+    new[1:] |= part[1:] != part[:-1]
     first = np.flatnonzero(new)
     rows = []
     for seg, (a, b) in enumerate(zip(first, [*first[1:], len(where)])):
         doc = owner[where[a]]
         lo, hi = max(ends[doc], where[a] - around), min(ends[doc + 1], where[b - 1] + around + 1)
         hits = [{"hash": int(h), "place": int(p - lo)} for p, h in zip(where[a:b], what[a:b])]
-        rows.append((keys[doc], int(lo - ends[doc]), short(words[lo:hi]), hits))
+        # Named by its place in the text, a stretch of equal texts is the same one.
+        rows.append((keys[doc], int(where[a] - ends[doc]), short(words[lo:hi]), hits))
     return pd.DataFrame(rows, columns=["text_key", "seg", "words", "hits"])
 
 
@@ -169,25 +192,25 @@ def short(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def similarity(item: np.ndarray, words: np.ndarray, offset: int) -> float:
-    """Share of the item's words found along offset, or along it up to some place and up to SHIFT beside it from there."""
-
-    def equal(at: int) -> np.ndarray:
-        out = np.zeros(len(item), dtype=np.int64)
-        lo, hi = max(0, -at), min(len(item), len(words) - at)
-        if hi > lo:
-            out[lo:hi] = item[lo:hi] == words[lo + at : hi + at]
-        return out
-
-    own = equal(offset)
-    best, before = int(own.sum()), np.concatenate(([0], np.cumsum(own)))
-    if best < SIMILARITY * len(item):
+def similarity(item: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> float:
+    """Largest share of the item's words found along one of the offsets, or along it up to some place and up to SHIFT beside it from there on."""
+    best, n = 0, len(item)
+    at_once = max(1, 100_000 // n)
+    for i in range(0, len(offsets), at_once):
+        part = offsets[i : i + at_once]
+        at = np.unique((part[:, None] + np.arange(-SHIFT, SHIFT + 1)).ravel())
+        index = at[:, None] + np.arange(n)
+        same = (index >= 0) & (index < len(words)) & (words[np.clip(index, 0, len(words) - 1)] == item)
+        before = np.zeros((len(at), n + 1), dtype=np.int32)
+        np.cumsum(same, axis=1, out=before[:, 1:])
+        after = before[:, -1:] - before
+        own = np.searchsorted(at, part)
         for d in range(-SHIFT, SHIFT + 1):
-            if d:
-                other = np.concatenate(([0], np.cumsum(equal(offset + d))))
-                # The other offset holds after the place where it takes over, or before it.
-                best = max(best, int((before + other[-1] - other).max()), int((other + before[-1] - before).max()))
-    return best / len(item)
+            other = np.searchsorted(at, part + d)
+            best = max(best, int((before[own] + after[other]).max()), int((before[other] + after[own]).max()))
+            if best == n:
+                return 1.0
+    return best / n
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,7 +218,7 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, passage, offsets, words, item in zip(pdf["text_key"], pdf["passage"], pdf["offsets"], pdf["words"], pdf["item"]):
             words, item = np.asarray(words), short(np.asarray(item, dtype=np.int64).view(np.uint64))
-            rows.append((key, passage, max(similarity(item, words, int(o)) for o in offsets)))
+            rows.append((key, passage, similarity(item, words, np.asarray(offsets))))
         yield pd.DataFrame(rows, columns=["text_key", "passage", "overlap"])
 
 
@@ -209,8 +232,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity_at_least: float = SI
     around = int(longest) + SHIFT + 1
     texts = docs.select(F.md5("text").alias("text_key"), "text").filter("text IS NOT NULL")
     found = texts.mapInPandas(lambda it: _hits(it, bits.value, around, masks), "text_key string, seg bigint, words array<int>, hits array<struct<hash: bigint, place: int>>")
-    # Equal texts have equal stretches under the same key: their offsets fall together, and their copies are verified alike.
-    found = written(found, "stretches")
+    # Equal texts have equal stretches under the same key; their copies are put together before the shuffle.
+    found = written(found.groupBy("text_key", "seg").agg(F.first("words").alias("words"), F.first("hits").alias("hits")), "stretches")
     hits = found.select("text_key", "seg", F.explode("hits").alias("h")).select("text_key", "seg", F.col("h.hash").alias("hash"), F.col("h.place").alias("at"))
     meets = hits.join(tests, "hash").groupBy("text_key", "seg", "passage").agg(F.collect_set(F.col("at") - F.col("place")).alias("offsets"))
     whole = meets.join(items.select("passage", F.col("words").alias("item")), "passage").join(found.select("text_key", "seg", "words"), ["text_key", "seg"])
@@ -222,14 +245,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity_at_least: float = SI
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated rows of docs with item_ids and overlap."""
     found = written(leaks(docs, benchmark), "leaks")
-    keyed = docs.drop("item_ids", "overlap").withColumn("_key", F.md5("text"))
-    return keyed.join(found, keyed["_key"] == found["text_key"]).drop("_key", "text_key")
+    rows, back = numbered(docs, ("item_ids", "overlap"), key=F.md5(F.col("text")))
+    return rows.join(found, rows["key"] == found["text_key"]).select(*back, "item_ids", "overlap")
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows."""
     found = written(leaks(docs, benchmark), "leaks")
-    return docs.join(found, F.md5(docs["text"]) == found["text_key"], "left_anti")
+    rows, back = numbered(docs, key=F.md5(F.col("text")))
+    return rows.join(found, rows["key"] == found["text_key"], "left_anti").select(*back)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns, table
+from .common import columns, numbered, table
 
 #: Bounds of the training sample: texts and bytes of each language's dictionary, and of all languages together.
 SAMPLE_ROWS, DICT_BYTES = 600, 262_144
@@ -170,9 +170,9 @@ def held_out(doc_id: Column) -> Column:
 
 def identify(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
     """docs with lang_pred, score, margin (bytes) and rejected."""
-    kept = columns(docs, ("lang_pred", "score", "margin", "rejected"))
     found = predictor(docs.sparkSession, model)(F.col("text"))
-    return docs.select(F.struct(*kept).alias("row"), found.alias("found")).select("row.*", "found.*")
+    rows, back = numbered(docs, ("lang_pred", "score", "margin", "rejected"), found=found)
+    return rows.select(*back, "found.*")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

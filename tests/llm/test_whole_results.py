@@ -95,7 +95,7 @@ def test_held_out_accuracy(spark):
 # 4 ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("n", range(decontaminate.MIN_WORDS, 22))
+@pytest.mark.parametrize("n", range(decontaminate.MIN_WORDS, 25))
 def test_masks_hit_whatever_words_are_replaced(n):
     masks = [decontaminate._POSITIONS[k].tolist() for k in decontaminate._masks(n)]
     windows = [{i + p for p in m} for m in masks for i in range(n - m[-1])]
@@ -117,6 +117,76 @@ def test_short_items_with_replaced_words_are_found(spark):
         assert got == {i: [n] for i, t in rows for n in have if f"i{n}w" in t}
 
 
+def brute_overlap(item, words, shift):
+    """Most equal words along one offset, or along two up to shift apart, one before and one after some place."""
+    same = {o: [0 <= o + i < len(words) and words[o + i] == w for i, w in enumerate(item)] for o in range(-len(item) - shift, len(words) + shift + 1)}
+    return max((sum(a[:c]) + sum(b[c:]) for o, a in same.items() for d in range(-shift, shift + 1) if (b := same.get(o + d)) for c in range(len(item) + 1)), default=0) / len(item)
+
+
+def test_leaks_by_comparing_all_pairs(spark):
+    r = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = {i: [r.choice(vocabulary) for _ in range(n)] for i, n in enumerate([*range(5, 26)] * 2)}
+    rows = []
+    for i in range(160):
+        body = [r.choice(vocabulary) for _ in range(r.randrange(0, 40))]
+        for _ in range(r.randrange(3)):
+            part = list(r.choice(list(items.values())))
+            for p in r.sample(range(len(part)), r.randrange(len(part) // 4 + 1)):
+                part[p] = r.choice([*vocabulary, "other"])
+            if r.random() < 0.3:
+                part.insert(r.randrange(len(part)), "more")
+            at = r.randrange(len(body) + 1)
+            body[at:at] = part
+        rows.append((i, " ".join(body)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id bigint, text string")
+    got = {x.doc_id: (set(x.item_ids), x.overlap) for x in decontaminate.contaminated(docs, bench).collect()}
+    straight = shifted = 0
+    for i, text in rows:
+        words = text.split()
+        along = {k for k, item in items.items() if brute_overlap(item, words, 0) >= 0.8}
+        near = {k: x for k, item in items.items() if (x := brute_overlap(item, words, decontaminate.SHIFT)) >= 0.8}
+        found, overlap = got.get(i, (set(), 0))
+        assert along <= found <= set(near), i
+        assert not found or overlap <= max(near.values()) + 1e-9
+        straight, shifted = straight + len(along), shifted + len(found - along)
+    assert straight > 60 and shifted > 5
+
+
+@pytest.mark.parametrize("n", [5, 7, 9, 11, 12, 15, 22, 30, 60])
+def test_recall_is_whole_at_every_length(spark, n):
+    r = random.Random(n)
+    items = [[f"i{n}x{k}w{j}" for j in range(n)] for k in range(20)]
+    rows = []
+    for k, item in enumerate(items):
+        for _ in range(10):
+            lost = set(r.sample(range(n), n // 5))
+            rows.append((len(rows), k, " ".join(["a", "b", *("sub" if j in lost else w for j, w in enumerate(item)), "c"])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, k bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert len(got) == len(rows) and all(x.item_ids == [x.k] for x in got)
+
+
+def test_a_long_text_of_one_window_is_cut_into_stretches(spark, monkeypatch):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    text = "one two three four five six " * 4_000
+    docs = spark.createDataFrame([(1, text), (2, text + item), (3, item + " " + text)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert {x.doc_id for x in decontaminate.contaminated(docs, bench).collect()} == {2, 3}
+
+
+def test_leaks_whatever_other_columns_are_called(spark):
+    text = "alpha bravo charlie delta echo foxtrot golf"
+    docs = spark.createDataFrame([(1, text, "a", "b", "c", "d"), (2, "clean", "a", "b", "c", "d"), (3, None, "a", "b", "c", "d")], "doc_id bigint, text string, text_key string, _key string, key string, `a.b` string")
+    bench = spark.createDataFrame([(1, text)], "item_id bigint, text string")
+    out = decontaminate.contaminated(docs, bench)
+    assert out.columns == [*docs.columns, "item_ids", "overlap"] and [tuple(x) for x in out.collect()] == [(1, text, "a", "b", "c", "d", [1], 1.0)]
+    clean = decontaminate.cleaned(docs, bench)
+    assert clean.columns == docs.columns and {x.doc_id for x in clean.collect()} == {2, 3} and clean.first()["text_key"] == "a"
+
+
 # 5 ---------------------------------------------------------------------------
 
 
