@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns, numbered, table
+from .common import columns, numbered, table, written
 
 #: Bounds of the training sample: texts and bytes of each language's dictionary, and of all languages together.
 SAMPLE_ROWS, DICT_BYTES = 600, 262_144
@@ -56,7 +56,9 @@ def _languages(labelled: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     usable = labelled.select("lang", "text").filter("lang IS NOT NULL AND lang != '' AND text IS NOT NULL AND text rlike '\\\\p{L}'").withColumn("key", F.xxhash64("text", F.lit(seed)))
     # Copies are put together before the shuffle, so that no more than hashes of distinct texts move.
     counts = usable.groupBy("lang", "key").count().groupBy("lang").agg(F.sum("count").alias("n"), F.count("*").alias("texts"))
-    return usable, counts.withColumn("langs", F.count("*").over(Window.partitionBy()))
+    # Written, so that Spark knows the size of this table of one row a language when it joins it.
+    counts = written(counts, "languages")
+    return usable, counts.withColumn("langs", F.lit(max(1, counts.count())))
 
 
 def _shared(bound: int, of_all: int) -> Column:
