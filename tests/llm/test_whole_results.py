@@ -1,12 +1,16 @@
 """Results that must be whole: what a winner, a tie, copies or a separator once hid."""
 
+import gzip
+import io
 import os
 import random
+import zlib
 from itertools import combinations
 
 import pytest
 
-from spanview.llm import decontaminate, html_text, language_id, secret_scan
+from spanview.llm import decontaminate, html_text, language_id, secret_scan, warc
+from spanview.llm.common import new_path
 
 DATA, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
@@ -206,6 +210,63 @@ def test_every_dense_subtree_is_kept(page, kept, left_out):
     assert all(words.count(w) == 3 * 80 for w in ("alpha", "beta"))
 
 
+# 9 ---------------------------------------------------------------------------
+
+
+def pages_with_copies(spark, n=400):
+    r = random.Random(5)
+    rows = [(i, f"http://h/{i}", "p" * r.randrange(5) + str(r.randrange(150)) + "é" * r.randrange(3)) for i in range(n)]
+    rows += [(None, None, rows[0][2]), (None, "u", "only here"), (None, "v", "only here"), (7, "w", rows[7][2]), (n, "x", None), (n + 1, "y", "")]
+    return rows, spark.createDataFrame([(*x, 1, 2, "z") for x in rows], "page_id bigint, url string, html string, original int, _in int, bytes string")
+
+
+@pytest.mark.parametrize("bits", [64, 256, 1 << 23])
+def test_archives_are_the_same_however_full_the_filter_is(spark, monkeypatch, bits):
+    monkeypatch.setattr(warc, "FILTER_BITS", bits)
+    rows, df = pages_with_copies(spark)
+    path = new_path(spark, "w")
+    warc.write_archives(df, path)
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    want = sorted(repr((i, u, h or "", "response" if i == first.get(h or "", i) else "revisit")) for i, u, h in rows)
+    got = warc.resolved(warc.read_archives(spark, path, payloads=True)).collect()
+    assert sorted(repr((x.page_id, x.url, bytes(x.payload).decode(), x.record_type)) for x in got) == want
+    assert all(x.refers_to == (first[bytes(x.payload).decode()] if x.record_type == "revisit" else None) for x in got)
+
+
+def test_every_record_is_a_gzip_member_of_its_own(spark):
+    rows, df = pages_with_copies(spark)
+    path = new_path(spark, "w")
+    warc.write_archives(df, path)
+    files = [x.content for x in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    n = 0
+    for data in map(bytes, files):
+        while data:
+            d = zlib.decompressobj(31)
+            record = d.decompress(data)
+            assert d.eof and (not record or record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n"))
+            data, n = d.unused_data, n + bool(record)
+        assert data == b""
+    assert n == len(rows)
+    # Any reader of the format finds the records of the file as a stream.
+    assert sum(1 for x in files for _ in warc.parse_records(gzip.GzipFile(fileobj=io.BytesIO(bytes(x))))) == len(rows)
+
+
+def test_a_file_is_read_in_splits(spark):
+    rows, df = pages_with_copies(spark, 2000)
+    path = new_path(spark, "w")
+    warc.write_archives(df.coalesce(1), path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = warc.read_archives(spark, path)
+        assert got.rdd.getNumPartitions() > 5 and got.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 # 10 --------------------------------------------------------------------------
 
 SECRET = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
