@@ -230,11 +230,84 @@ def test_pages(spark):
 # 6 ---------------------------------------------------------------------------
 
 
-def test_targets_and_seats():
-    assert mixing.targets([100, 100], [1, 2]) == [200 / 3, 400 / 3]
-    assert mixing.targets([10, 100, 100], [3, 1, 2]) == [30.0, 60.0, 120.0] and mixing.targets([0, 0], [1, 2]) == [0.0, 0.0] and mixing.targets([], []) == []
-    assert mixing.sainte_lague(np.array([53, 24, 23]), 7, np.array([9, 9, 9])).tolist() == [3, 2, 2]
-    assert mixing.sainte_lague(np.array([1, 1]), 9, np.array([2, 3])).tolist() == [2, 3]
+def plain_targets(sizes, weights, repeats=3):
+    """Targets by capping and sharing again, round by round."""
+    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+    while open_:
+        total = sum(weights[i] for i in open_)
+        above = {i for i in open_ if left * weights[i] / total > repeats * sizes[i]}
+        for i in above or open_:
+            out[i] = float(repeats * sizes[i]) if above else left * weights[i] / total
+        if not above:
+            break
+        left, open_ = left - sum(out[i] for i in above), open_ - above
+    return out
+
+
+def plain_seats(shares, seats, caps):
+    """Seats one by one, each to the highest quotient."""
+    out = [0] * len(shares)
+    for _ in range(seats):
+        free = [i for i in range(len(shares)) if out[i] < caps[i] and shares[i] > 0]
+        if not free:
+            break
+        out[max(free, key=lambda i: (shares[i] / (2 * out[i] + 1), -i))] += 1
+    return out
+
+
+def test_targets_and_seats_by_brute_force(spark):
+    r = random.Random(17)
+    for n in (0, 1, 40):
+        sizes = [r.choice([0, 1, 50, 50, 50, 333, 5000]) for _ in range(n)]
+        rows = [(None if i == n - 1 else f"s{i:03}", x, 1) for i, x in enumerate(sizes)]
+        r.shuffle(rows)
+        sums = spark.createDataFrame(rows, "source string, source_size bigint, n bigint")
+        sources = mixing.with_targets(mixing.ordered(sums.repartition(5)))
+        got = sorted(sources.collect(), key=lambda x: x.place)
+        assert [x.place for x in got] == list(range(n)) and [x.source_size for x in got] == sizes
+        want = plain_targets(sizes, [i % 3 + 1 for i in range(n)])
+        assert [x.target for x in got] == pytest.approx(want)
+        caps = [-(-3 * x // 32) for x in sizes]
+        for seats in {0, 1, sum(sizes) // 32, sum(caps) + 5}:
+            blocks = mixing.with_blocks(sources, seats, F.ceil(F.col("source_size") * 3 / 32)).orderBy("place").collect()
+            assert [x.blocks for x in blocks] == plain_seats([x.target for x in got], seats, caps), (n, seats)
+            assert mixing.sainte_lague(np.array(sizes), seats, np.array(caps, dtype=np.int64)).tolist() == plain_seats(sizes, seats, caps)
+
+
+def test_mix_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 900)
+    r = random.Random(18)
+    rows = [(i if r.random() < 0.9 else None, " ".join(f"w{r.randrange(99)}" for _ in range(r.randrange(0, 90))), "en", r.choice(["a", "b", "b", "b", "c", None]), 1) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = mixing.mixed(df, block=8).withColumn("hash", F.xxhash64("doc_id", "text", F.lit(mixing.SEED))).collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    names = ["a", "b", "c", None]
+    sums = [sum(size(x[1]) for x in rows if x[3] == n) for n in names]
+    want = plain_targets(sums, [1, 2, 3, 1])
+    blocks = plain_seats(want, round(sum(sums) / 8), [-(-3 * n // 8) for n in sums])
+    starts = {}
+    for k, name in enumerate(names):
+        shards = max(1, -(-sums[k] // 900))
+        own = [[] for _ in range(shards)]
+        for x in out:
+            if x.source == name:
+                own[x.hash % shards].append(x)
+        stocks = [sum(x.size for x in s) for s in own]
+        quota = plain_seats(stocks, blocks[k], [-(-3 * n // 8) for n in stocks])
+        for i, (s, stock, q) in enumerate(zip(own, stocks, quota)):
+            if not stock:
+                continue
+            key = (name, i)
+            starts[key] = spark.range(1).select(F.xxhash64(F.lit(name).cast("string"), F.lit(i).cast("bigint"), F.lit(mixing.SEED))).first()[0] % -(-stock // 8) * 8
+            words = min(q * 8, stock * 3)
+            times = [words // stock] * stock
+            for w in range(words % stock):
+                times[(min(starts[key], stock - 1) + w) % stock] += 1
+            at = 0
+            for x in sorted(s, key=lambda x: (x.hash, x.doc_id is not None, x.doc_id or 0, x.size)):
+                assert x.taken == sum(times[at : at + x.size]), (name, i)
+                at += x.size
+    assert len(starts) > 8
 
 
 def test_mix(spark):
@@ -248,7 +321,7 @@ def test_mix(spark):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     names = sorted({x[3] for x in rows if x[3] is not None}) + [None]
     sums = [sum(size(x[1]) for x in rows if x[3] == n) for n in names]
-    want = dict(zip(names, mixing.targets(sums, [i % 3 + 1 for i in range(len(names))])))
+    want = dict(zip(names, plain_targets(sums, [i % 3 + 1 for i in range(len(names))])))
     for n in names:
         own = [x for x in out if x.source == n]
         assert abs(sum(x.taken for x in own) - want[n]) <= 8 and {(x.source_size, round(x.target, 6)) for x in own} == {(sums[names.index(n)], round(want[n], 6))}
@@ -258,6 +331,15 @@ def test_mix(spark):
     assert mixing.mixed(df.limit(0)).count() == 0 and mixing.stage(spark, df.limit(0), "").count() == 0
 
 
+def test_mix_whatever_other_columns_are_called(spark):
+    names = ["quota", "stock", "place", "shard", "hash", "doc", "_t", "turns", "size", "weight", "blocks", "a.b"]
+    df = spark.createDataFrame([(i, "one two three", "s", *names) for i in range(9)], ["doc_id", "text", "source", *names])
+    out = mixing.mixed(df)
+    assert out.columns == ["doc_id", "text", "source", *(x for x in names if x not in mixing.RESULTS), *mixing.RESULTS] and out.first().quota == "quota"
+    mix = mixing.stage(spark, df, "")
+    assert mix.columns == df.columns and mix.count() >= 9 and tuple(mix.first())[3:] == tuple(names)
+
+
 # 7 ---------------------------------------------------------------------------
 
 
