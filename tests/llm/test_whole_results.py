@@ -1,9 +1,13 @@
 """Results that must be whole: what a winner, a tie, copies or a separator once hid."""
 
 import gzip
+import html
 import io
+import math
 import os
 import random
+import re
+import time
 import zlib
 from itertools import combinations
 
@@ -210,6 +214,130 @@ def test_every_dense_subtree_is_kept(page, kept, left_out):
     assert all(words.count(w) == 3 * 80 for w in ("alpha", "beta"))
 
 
+@pytest.mark.parametrize("page, kept, left_out", [
+    # Nothing inside furniture wins, however long it is.
+    (f"<body><div><p>{'alpha ' * 20}</p></div><footer><div>{paragraphs('foot', 9)}</div></footer></body>", "alpha", "foot"),
+    (f"<body><article><p>{'alpha ' * 20}</p></article><aside><section>{paragraphs('side', 9)}</section></aside></body>", "alpha", "side"),
+    (f"<body><article>{paragraphs('alpha')}</article><section id='comments'>{paragraphs('talk', 30)}</section></body>", "alpha", "talk"),
+    (f"<body><div class='cookie-banner'>{paragraphs('side')}</div><div>{paragraphs('alpha', 5)}</div><div class='post-comments'>{paragraphs('talk')}</div></body>", "alpha", "side talk"),
+    # Names that speak of the layout, and names of what holds the article.
+    (f"<body class='modal'><div class='content no-sidebar'>{paragraphs('alpha')}</div></body>", "alpha", ""),
+    (f"<body><div class='has-sidebar with-comments'>{paragraphs('alpha')}<div class='sidebar'>{paragraphs('side', 1)}</div></div></body>", "alpha", "side"),
+    (f"<body><div class='press-release notice'>{paragraphs('alpha')}</div><footer>foot</footer></body>", "alpha", "foot"),
+    (f"<body><div class='entry related-news'><h1>beta</h1>{paragraphs('alpha')}</div></body>", "beta alpha", ""),
+    (f"<body><div id='sidebar-layout' class='sidebar'><article>{paragraphs('alpha')}</article></div></body>", "alpha", ""),
+    (f"<body><form id='all'><div>{paragraphs('alpha')}</div></form></body>", "alpha", ""),
+    (f"<body><div>{paragraphs('alpha', 1)}<div class='product-search'>{paragraphs('beta', 1)}</div></div></body>", "alpha beta", ""),
+    (f"<body><article>{paragraphs('alpha')}<section class='related-work'>{paragraphs('beta')}</section></article></body>", "alpha beta", ""),
+    # The same name on a list of links leaves it out.
+    (f"<body><article>{paragraphs('alpha')}<section class='related'><a href=x>{'side ' * 9}</a> <a href=y>{'side ' * 9}</a></section></article></body>", "alpha", "side"),
+    (f"<body><article>{paragraphs('alpha')}<div class='ad'>foot</div><div class='comment-list'>{paragraphs('talk')}</div></article></body>", "alpha", "foot talk"),
+    (f"<body><article>{paragraphs('alpha')}<div style='display: none'>{paragraphs('side')}</div></article></body>", "alpha", "side"),
+])
+def test_furniture_is_left_out_and_articles_are_not(page, kept, left_out):
+    words = set(html_text.main_text(page).split())
+    assert set(kept.split()) <= words and not words & set(left_out.split())
+    for word in ("alpha", "beta"):
+        assert html_text.main_text(page).split().count(word) == (page.count(word) if word in kept else 0)
+
+
+@pytest.mark.parametrize("page", ["<div>", "<b><ul>", "<li><b>", "<div></x>", "<body>", "<span><table><tr><td>"])
+def test_deep_pages_take_time_in_proportion(page):
+    def took(n):
+        began = time.process_time()
+        assert html_text.main_text(page * n + "<p>x</p>").split() == ["x"]
+        return time.process_time() - began
+
+    took(100)
+    small, large = took(10_000), took(200_000)
+    assert large < 3 or large < 60 * max(small, 0.05)
+
+
+def plain_measures(node, in_link=False):
+    """(chars, tags, link chars, link tags) of a subtree, by walking all of it."""
+    chars = tags = link_chars = link_tags = 0
+    in_link = in_link or node.name == "a"
+    if node.furniture == html_text.DECIDED or node.name in html_text.RAW:
+        return 0, 0, 0, 0
+    for x in node.children:
+        if isinstance(x, str):
+            n = 0 if x.isspace() else len(x.replace(" ", ""))
+            chars, link_chars = chars + n, link_chars + n * in_link
+        elif x.furniture == html_text.NONE:
+            a, b, c, d = plain_measures(x, in_link)
+            chars, tags, link_chars, link_tags = chars + a, tags + b + 1, link_chars + c, link_tags + d + (x.name == "a")
+    return chars, tags, link_chars, link_tags
+
+
+def plain_density(measures, body):
+    """Characters a tag times the logarithm, to a base that grows with the links, of characters a link character times tags a link."""
+    c, t, lc, lt = measures
+    if not c:
+        return 0.0
+    base = math.log(c / max(1, c - lc) * max(1, lc) + (body[2] / body[0] if body[0] else 0) * c + math.e)
+    ratio = max(c / max(1, lc) * max(1, t) / max(1, lt), 1.0000001)
+    return c / max(1, t) * max(0.0, math.log(ratio) / math.log(max(base, 1.0000001)))
+
+
+def tree(node):
+    yield node
+    for x in node.children:
+        if not isinstance(x, str):
+            yield from tree(x)
+
+
+def inside_furniture(node, body):
+    while node is not body:
+        if node.furniture != html_text.NONE or node.name in html_text.RAW:
+            return True
+        node = node.parent
+    return False
+
+
+@needs_data
+def test_densities_by_brute_force_on_all_pages(spark):
+    made = [f"<body><div>{paragraphs('a', 2)}<ul><li><a href=x>one</a> two</ul></div><div class=related><p>b</p></div><footer><p>{'c ' * 99}</p></footer>{paragraphs('d', 1)}</body>", "<p>x", "x"]
+    pages = [x.html for x in spark.read.parquet(f"{DATA}/pages.parquet").select("html").collect() if x.html]
+    assert len(pages) > 200
+    for page in [*made, *pages]:
+        root = html_text.parse(page)
+        body = next((n for n in tree(root) if n.name == "body"), root)
+        nodes = html_text._measure(body)
+        top, threshold = html_text._densest(body, nodes)
+        assert {id(n) for n in nodes} == {id(n) for n in tree(body)}
+        whole = plain_measures(body)
+        density = {id(n): plain_density(plain_measures(n, any(p.name == "a" for p in up(n, body))), whole) for n in nodes}
+        assert all(n.density == pytest.approx(density[id(n)]) for n in nodes)
+        total = {id(n): sum(density[id(x)] for x in n.children if not isinstance(x, str) and x.furniture == html_text.NONE) or density[id(n)] for n in nodes if not inside_furniture(n, body)}
+        assert total[id(top)] == pytest.approx(max(total.values()))
+        assert threshold == pytest.approx(min(density[id(n)] for n in [top, *up(top, body)]))
+
+
+def up(node, body):
+    while node is not body:
+        node = node.parent
+        yield node
+
+
+def article_text(page):
+    """The text of the only article of one of the driver's pages, by cutting the markup away."""
+    part = re.split("</article>|<footer", page[page.index("<article>") + 9 :])[0]
+    part = re.sub(r"<(?:/?(?:p|h[1-6]|br|li|ul|ol|div))\b[^>]*>", " ", re.sub("<!--.*?-->", "", part, flags=re.S))
+    return re.sub(r"\s+", " ", html.unescape(re.sub("</?[a-zA-Z][^>]*>", "", part))).strip()
+
+
+@needs_data
+def test_the_article_of_every_page(spark):
+    rows = html_text.op5_html_text(spark, DATA).join(spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    assert len(rows) > 200 and all(x.text == article_text(x.html) and x.n_chars == len(x.text) for x in rows)
+
+
+def test_pages_whatever_other_columns_are_called(spark):
+    df = spark.createDataFrame([(1, "<p>x</p>", "old", "y")], "page_id int, html string, Main_Text string, `a.b` string")
+    out = html_text.extracted(df)
+    assert out.columns == ["page_id", "html", "a.b", "main_text"] and tuple(out.first()) == (1, "<p>x</p>", "y", "x")
+
+
 # 9 ---------------------------------------------------------------------------
 
 
