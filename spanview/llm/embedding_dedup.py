@@ -9,11 +9,12 @@ when its boxes are farther apart than epsilon in the leading directions, else ha
 both have LEAF vectors at most, whose cosines are computed in double precision.
 
 Scale: equal vectors of a label are joined once, with their number. Intervals are formed by
-a range partitioning of the sequence, so no label or cell meets in one task, and each pair
-of intervals is a task's unit of work. Pairs of intervals come from their boxes alone, by an
-equality join on the cells of the first direction. A pair gives link counts for its vectors
-and the links of a spanning forest, so a group of copies of any size gives linearly many
-rows. Directions come from a sample of SAMPLE vectors, chosen by hash; they decide what
+a range partitioning of the sequence, so no label or cell meets in one task. Pairs of
+intervals come from their boxes alone, by an equality join on the cells of the first two
+directions. A task's unit of work is a pair of groups of GROUP consecutive intervals, so that an
+interval's vectors move once for all its partners in a group. A pair gives link counts for its
+vectors and the links of a spanning forest, so a group of copies of any size gives linearly
+many rows. Directions come from a sample of SAMPLE vectors, chosen by hash; they decide what
 is skipped early, never what links.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows
@@ -31,14 +32,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import spread, table, written
 from .components import components
 
 COSINE = 0.98
-LEADING, BLOCK, LEAF, SAMPLE = 6, 2_048, 128, 4_096
+LEADING, BLOCK, GROUP, LEAF, SAMPLE = 6, 2_048, 4, 128, 4_096
 
 _USABLE = (
     "label is not null and embedding is not null and size(embedding) > 0"
@@ -83,7 +84,7 @@ def _celled(axes: dict[int, np.ndarray], epsilon: float):
     return run
 
 
-def _intervals(axes: dict[int, np.ndarray], block: int):
+def _intervals(axes: dict[int, np.ndarray], block: int, epsilon: float):
     """Consecutive rows of one label and length, up to block of them, as one row with their box."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +104,7 @@ def _intervals(axes: dict[int, np.ndarray], block: int):
                 raw = np.stack(part["embedding"].to_numpy())
                 places = project(unit(raw), axes)
                 out.append({
-                    "block": top + number, "label": label[0], "dim": int(dim[0]), "lo": places.min(axis=0), "hi": places.max(axis=0),
+                    "block": top + number, "cells": [{"x": int(i), "y": int(j)} for i, j in np.unique(np.floor(places[:, :2] / epsilon).astype(np.int32), axis=0)], "label": label[0], "dim": int(dim[0]), "lo": places.min(axis=0), "hi": places.max(axis=0),
                     "raw": raw.astype(raw.dtype.newbyteorder("<")).tobytes(), "wide": raw.dtype.itemsize == 8,
                     "uids": part["uid"].to_numpy(dtype="<i8").tobytes(), "copies": part["copies"].to_numpy(dtype="<i8").tobytes(),
                 })
@@ -137,14 +138,7 @@ def join_intervals(x: Interval, y: Interval, cosine: float, epsilon: float) -> l
     """Adds to the link counts of x and y, and returns a spanning forest of their links as uid pairs; y may be x."""
     same, edges = x is y, []
     offset = 0 if same else len(x.uids)
-    root = list(range(len(x.uids) + (0 if same else len(y.uids))))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    root = np.arange(len(x.uids) + (0 if same else len(y.uids)))
     stack = [(0, len(x.uids), 0, len(y.uids))]
     while stack:
         a, b, c, d = stack.pop()
@@ -161,13 +155,16 @@ def join_intervals(x: Interval, y: Interval, cosine: float, epsilon: float) -> l
             x.links[a:b] += linked @ y.copies[c:d]
             if not same or a != c:
                 y.links[c:d] += linked.T @ x.copies[a:b]
-            # One link a row and root is enough for the forest.
-            for i, row in enumerate(linked):
-                for j in np.flatnonzero(row).tolist():
-                    p, q = find(a + i), find(offset + c + j)
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-                        edges.append((int(x.uids[a + i]), int(y.uids[c + j])))
+            # One link a row and tree is enough for the forest, and none between what one tree holds already.
+            apart = linked & (root[a:b, None] != root[None, offset + c : offset + d])
+            for i in np.flatnonzero(apart.any(axis=1)).tolist():
+                others = np.flatnonzero(linked[i])
+                trees, first = np.unique(root[offset + c + others], return_index=True)
+                new = trees != root[a + i]
+                if new.any():
+                    edges += [(int(x.uids[a + i]), int(y.uids[c + j])) for j in others[first[new]].tolist()]
+                    joined = np.append(trees[new], root[a + i])
+                    root[np.isin(root, joined)] = joined.min()
             continue
         m, n = (a + b) // 2 if b - a > LEAF else b, (c + d) // 2 if d - c > LEAF else d
         for p, q in ((a, m), (m, b)):
@@ -178,15 +175,21 @@ def join_intervals(x: Interval, y: Interval, cosine: float, epsilon: float) -> l
 
 
 def _joined(axes: dict[int, np.ndarray], cosine: float, epsilon: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x = Interval(r.dim, r.raw, r.wide, r.uids, r.copies, axes)
-                y = x if r.block == r.block2 else Interval(r.dim, r.raw2, r.wide2, r.uids2, r.copies2, axes)
-                edges = join_intervals(x, y, cosine, epsilon)
-                counts = [(False, int(u), int(n)) for z in ([x] if x is y else [x, y]) for u, n in zip(z.uids, z.links) if n]
-                if counts:
-                    yield pd.DataFrame([*counts, *((True, a, b) for a, b in edges)], columns=["edge", "a", "b"])
+    """Links within a group of intervals, or between two."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = key
+        pdf = pdf.sort_values("block", ignore_index=True)
+        intervals = [Interval(r.dim, r.raw, r.wide, r.uids, r.copies, axes) for r in pdf.itertuples(index=False)]
+        kind, group = list(zip(pdf["label"], pdf["dim"])), pdf["group"].tolist()
+        counts, edges = [], []
+        for i, x in enumerate(intervals):
+            for j in range(i, len(intervals)):
+                if kind[i] == kind[j] and (group[i], group[j]) == (one, two):
+                    edges += join_intervals(x, intervals[j], cosine, epsilon)
+        for x in intervals:
+            counts += [(False, int(u), int(n)) for u, n in zip(x.uids, x.links) if n]
+        return pd.DataFrame([*counts, *((True, a, b) for a, b in edges)], columns=["edge", "a", "b"])
 
     return run
 
@@ -206,27 +209,31 @@ def linked(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Da
         _celled(axes, epsilon), f"uid bigint, copies bigint, label string, embedding {dict(distinct.dtypes)['embedding']}, dim int, {', '.join(f'{c} int' for c in cells)}"
     )
     sequence = celled.repartitionByRange("label", "dim", *cells, "uid").sortWithinPartitions("label", "dim", *cells, "uid")
-    blocks = written(
-        sequence.mapInPandas(_intervals(axes, block), "block bigint, label string, dim int, lo array<double>, hi array<double>, raw binary, wide boolean, uids binary, copies binary"),
-        "intervals",
+    sequence = sequence.mapInPandas(
+        _intervals(axes, block, epsilon), "block bigint, cells array<struct<x: int, y: int>>, label string, dim int, lo array<double>, hi array<double>, raw binary, wide boolean, uids binary, copies binary"
     )
+    blocks = written(sequence.withColumn("group", F.floor(F.col("block") / GROUP).cast("bigint")), "intervals")
+
+    def beside(c: Column) -> Column:
+        return F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((c["x"] + i).alias("x"), (c["y"] + j).alias("y")))))
 
-    boxes = blocks.select("block", "label", "dim", "lo", "hi")
-    first, last = F.floor(F.element_at("lo", 1) / epsilon), F.floor(F.element_at("hi", 1) / epsilon)
-    one = boxes.withColumn("cell", F.explode(F.sequence(first, last)))
-    two = boxes.select(F.col("block").alias("block2"), "label", "dim", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(first - 1, last + 1)).alias("cell"))
+    boxes = blocks.select("block", "group", "label", "dim", "lo", "hi", "cells")
+    one = boxes.withColumn("cell", F.explode("cells")).drop("cells")
+    cells_beside = F.explode(F.array_distinct(F.flatten(F.transform("cells", beside))))
+    two = boxes.select(F.col("block").alias("block2"), F.col("group").alias("group2"), "label", "dim", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), cells_beside.alias("cell"))
     gaps = F.zip_with(F.zip_with("lo", "hi2", lambda a, b: a - b), F.zip_with("lo2", "hi", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
     near = F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g) <= epsilon * epsilon
-    pairs = one.join(two, ["label", "dim", "cell"]).filter((F.col("block") <= F.col("block2")) & near).select("block", "block2").distinct()
-    other = blocks.select(F.col("block").alias("block2"), *(F.col(c).alias(f"{c}2") for c in ("raw", "wide", "uids", "copies")))
-    work = pairs.join(blocks.drop("lo", "hi", "label"), "block").join(other, "block2")
-    found = written(work.mapInPandas(_joined(axes, cosine, epsilon), "edge boolean, a bigint, b bigint"), "vector-links")
+    pairs = one.join(two, ["label", "dim", "cell"]).filter((F.col("block") <= F.col("block2")) & near).select("group", "group2").distinct()
+    # Block numbers rise with the sequence, so that a pair of blocks is in the unit of their groups alone.
+    sides = pairs.select(F.col("group").alias("one"), F.col("group2").alias("two"), F.explode(F.array_distinct(F.array("group", "group2"))).alias("group"))
+    work = sides.join(blocks.select("group", "block", "label", "dim", "raw", "wide", "uids", "copies"), "group")
+    found = written(work.groupBy("one", "two").applyInPandas(_joined(axes, cosine, epsilon), "edge boolean, a bigint, b bigint"), "vector-links")
 
     counts = found.filter("not edge").groupBy(F.col("a").alias("uid")).agg(F.sum("b").alias("n"))
     classes = components(found.filter("edge").select("a", "b")).withColumnRenamed("node", "uid")
     named = distinct.select("k1", "k2", "uid", "least", "copies").join(counts, "uid", "left").join(classes, "uid", "left")
     named = named.withColumn("component", F.coalesce("component", "uid"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id")).select(spread(F.col("component")).alias("component"), "component_id")
     of = named.join(smallest, "component").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = keyed.select("vec_id", "k1", "k2").join(of, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~usable).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))

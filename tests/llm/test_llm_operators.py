@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -80,6 +81,18 @@ def test_vectors_link_as_by_brute_force(spark, block):
     assert sum(x[0] for x in got.values()) > 100
 
 
+def test_a_block_of_near_copies_gives_a_forest():
+    r = np.random.default_rng(6)
+    raw = np.float32(r.normal(size=(1, 32)) + 0.01 * r.normal(size=(2000, 32)))
+    uids, ones = np.arange(2000, dtype="<i8").tobytes(), np.ones(2000, dtype="<i8").tobytes()
+    x, y = (embedding_dedup.Interval(32, raw.tobytes(), False, u, ones, {}) for u in (uids, np.arange(2000, 4000, dtype="<i8").tobytes()))
+    began = time.process_time()
+    edges = embedding_dedup.join_intervals(x, x, 0.98, 0.21)
+    across = embedding_dedup.join_intervals(x, y, 0.98, 0.21)
+    assert time.process_time() - began < 5 and x.links.min() == x.links.max() == 3999 and y.links.min() == 2000
+    assert len(edges) == 1999 and len(set(union(2000, edges))) == 1 and len(set(union(4000, across))) == 1
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<double>, label int")
     assert embedding_dedup.linked(df).count() == 0
