@@ -13,7 +13,7 @@ from itertools import combinations
 
 import pytest
 
-from spanview.llm import decontaminate, html_text, language_id, secret_scan, warc
+from spanview.llm import decontaminate, html_text, language_id, license_scan, secret_scan, warc
 from spanview.llm.common import new_path
 
 DATA, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -338,6 +338,56 @@ def test_pages_whatever_other_columns_are_called(spark):
     assert out.columns == ["page_id", "html", "a.b", "main_text"] and tuple(out.first()) == (1, "<p>x</p>", "y", "x")
 
 
+# 8 ---------------------------------------------------------------------------
+
+
+def plain_places(text):
+    """(template, start, share) by comparing every template with the words at every place."""
+    words, out = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), []
+    for n, t in enumerate(license_scan.templates()):
+        for s in range(-len(t.words), len(words)):
+            if all(s + k >= 0 and words[s + k : s + k + len(key)] == key for k, key in t.keys):
+                share = sum(0 <= s + i < len(words) and words[s + i] == w for i, w in enumerate(t.words)) / len(t.words)
+                if share >= license_scan.SHARE:
+                    out.append((n, s, share))
+    return sorted(out)
+
+
+def test_licenses_by_comparing_every_place(spark):
+    r = random.Random(31)
+    wordings = [w for _, _, w in license_scan.TEMPLATES] + [w for w, _ in license_scan.BASE]
+    texts = [None, "", "?", "license " * 5000, "mit license " * 300, "gnu general public lesser license " * 2000]
+    for i in range(250):
+        words = []
+        for _ in range(r.randrange(1, 4)):
+            part = r.choice(wordings).split()
+            for p in r.sample(range(len(part)), r.randrange(len(part) // 4 + 1)):
+                part[p] = r.choice(["other", "the", "license", "Software"])
+            words += [r.choice(["a", "license", "the"]) for _ in range(r.randrange(4))] + part[r.choice([0, 0, 0, 1, 3]) :]
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(i if i % 9 else None, t, i, "old", "w", "p") for i, t in enumerate(texts)], "doc_id bigint, text string, n int, places string, words string, present string")
+    out = license_scan.scanned(df)
+    assert out.columns == ["doc_id", "n", "words", "present", "n_words", "places"]
+    found = 0
+    for x in out.collect():
+        want = plain_places(texts[x.n])
+        assert sorted((p.template, p.start, round(p.share, 9)) for p in x.places or []) == [(n, s, round(share, 9)) for n, s, share in want], texts[x.n]
+        found += len(want)
+    assert found > 250
+
+
+def test_the_index_is_data_not_plan(spark, monkeypatch):
+    words = [f"w{i}x{j}" for i in range(300) for j in range(30)]
+    many = tuple((f"l{i}", [" ".join(words[30 * i : 30 * i + 4])], " ".join(words[30 * i : 30 * i + 30])) for i in range(300))
+    monkeypatch.setattr(license_scan, "TEMPLATES", many)
+    rows = [(i, f"some words {many[i * 7 % 300][2]} and more") for i in range(40)]
+    out = license_scan.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all([p.template for p in x.places] == [x.doc_id * 7 % 300 + len(license_scan.BASE)] and x.places[0].share == 1 for x in out)
+    monkeypatch.setattr(license_scan, "INDEX_WORDS", 100)
+    with pytest.raises(ValueError):
+        license_scan.scanned(spark.createDataFrame(rows, "doc_id bigint, text string"))
+
+
 # 9 ---------------------------------------------------------------------------
 
 
