@@ -110,16 +110,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_sql() -> str:
-    """The same in DuckDB SQL: spans of each kind from what lies between matches; opaque ones as whole runs, for want of lookaround, so that none is found right after a "="."""
+    """The same in DuckDB SQL: spans of each kind from what lies between matches; opaque ones as whole runs with their padding, for want of lookaround."""
     simple = {
         0: ("(?i:password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1, 12), 1: ("AKIA[A-Z0-9]+", 0, 18), 2: ("[0-9a-f]+", 0, 16),
-        3: ("(?i:client|account|access|key|user|tenant|app)[_-]?(?i:key[_-]?)?(?i:id|name)[\"'']?\\x20*[:=]\\x20*[\"'']?[A-Za-z0-9][A-Za-z0-9._@-]{3,}", 0, 0), 4: ("[A-Za-z0-9+/=_-]+", 0, 32),
+        3: ("(?i:client|account|access|key|user|tenant|app)[_-]?(?i:key[_-]?)?(?i:id|name)[\"'']?\\x20*[:=]\\x20*[\"'']?[A-Za-z0-9][A-Za-z0-9._@-]{3,}", 0, 0), 4: ("[A-Za-z0-9+/_-]+=*", 0, 32),
         5: ("(?i:https?|postgres(?:ql)?|mysql|mongodb(?:\\+srv)?|redis|amqps?|s3|ftps?|ssh)://[A-Za-z0-9][A-Za-z0-9._~:@/?#%&=+-]*", 0, 0),
     }
     parts = []
     for kind, (p, g, least) in simple.items():
-        extra = " AND regexp_matches(m[i], '^[A-Za-z0-9+/_-]{32,}={0,2}$') AND regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[A-Z]') AND regexp_matches(m[i], '[a-z]')" if kind == 4 else ""
-        only = {2: " AND regexp_matches(t, '[0-9a-f]{16}')", 4: " AND regexp_matches(t, '[A-Za-z0-9+/=_-]{32}')"}.get(kind, "")
+        # Padding of which another run follows at once is an equals sign before a value.
+        extra = " AND NOT (i < len(m) AND s[i + 1] = '') AND regexp_matches(m[i], '^[A-Za-z0-9+/_-]{32,}={0,2}$') AND regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[A-Z]') AND regexp_matches(m[i], '[a-z]')" if kind == 4 else ""
+        only = {2: " AND regexp_matches(t, '[0-9a-f]{16}')", 4: " AND regexp_matches(t, '[A-Za-z0-9+/_-]{32}')"}.get(kind, "")
         parts.append(
             f"SELECT doc_id, {kind} AS kind, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'e': CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS BIGINT),"
             f" 'n': length(m[i]), 'ok': length(c[i]) >= {least}{extra}}}), lambda z: z.ok)) AS z FROM (SELECT doc_id, string_split_regex(t, '{p}') AS s, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {g}) AS c FROM d WHERE regexp_matches(t, '{p}'){only})"
