@@ -10,13 +10,20 @@ has the cumulative lengths of its segments from 0, and resets the places at whic
 ids start from 0 again. segments names each segment's document, its first token in the
 document and its length.
 
+write_matrices() puts the rows into files of fixed-size records, which numpy maps as they are
+(record_type()), with a table of the lengths, resets and segments beside them, and
+read_matrices() reads both back.
+
 Scale: nothing is shuffled. A task packs windows of WINDOW_TOKENS of its own partition, so
-its memory is bounded, and a lost task packs the same rows again.
+its memory is bounded, and a lost task packs the same rows again. Rows are not carried from
+one window into the next; a window is some thousand rows, so that few of them have space
+left. Files of records have FILE_BYTES at most.
 
 Cases: null and empty texts are an end mark alone. Texts are encoded whole, however long.
 Ties of length go to the earlier document, ties of free space to the row opened last.
 Repeated rows are packed again; rows without doc_id have a null in segments. An empty table
-gives no rows. Other columns are not read, whatever their names.
+gives no rows, and files without records. Other columns are not read, whatever their names.
+Every machine must have the vocabulary file under the path that is a parameter.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -37,7 +44,7 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: How the vocabulary's authors split text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50_256
-LENGTH, WINDOW_TOKENS = 2_048, 2_000_000
+LENGTH, WINDOW_TOKENS, FILE_BYTES = 2_048, 2_000_000, 64_000_000
 
 SCHEMA = (
     "shard int, row bigint, ids binary, n_tokens int, cu_seqlens array<int>, resets array<int>,"
@@ -169,6 +176,43 @@ def packed(docs: DataFrame, length: int = LENGTH, tokenizers: str = TOKENIZERS,
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
+def record_type(length: int = LENGTH) -> np.dtype:
+    """One record of the files: a row of the id matrix, its name and a line end."""
+    return np.dtype([("shard", ">i4"), ("row", ">i8"), ("ids", "<u2", (length,)), ("end", "S1")])
+
+
+def write_matrices(rows: DataFrame, path: str, length: int = LENGTH) -> None:
+    """Packed rows (a written table, as it is read twice) as records under path/ids, and all else of them under path/index."""
+
+    def big_endian(name: str, digits: int) -> Column:
+        return F.unhex(F.lpad(F.hex(F.col(name).cast("bigint")), digits, "0"))
+
+    line = F.concat(big_endian("shard", 8), big_endian("row", 16), F.col("ids"))
+    lines = rows.select(line.cast("string").alias("value"))
+    lines.write.option("lineSep", "\n").option("maxRecordsPerFile", max(1, FILE_BYTES // record_type(length).itemsize)).text(f"{path}/ids")
+    rows.drop("ids").write.parquet(f"{path}/index")
+
+
+def read_matrices(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
+    """The packed rows under path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                records = np.frombuffer(content.as_py(), dtype=record_type(length))
+                if not (records["end"] == b"\n").all():
+                    raise ValueError(f"not records of {length} ids")
+                for i in range(0, len(records), 256):
+                    part = records[i : i + 256]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part["shard"].astype(np.int32)), pa.array(part["row"].astype(np.int64)), pa.array([x.tobytes() for x in part["ids"]], pa.binary())], names=["shard", "row", "ids"]
+                    )
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/ids").select("content")
+    ids = files.mapInArrow(run, "shard int, row bigint, ids binary")
+    return ids.join(spark.read.schema(SCHEMA).parquet(f"{path}/index").drop("ids"), ["shard", "row"])
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 

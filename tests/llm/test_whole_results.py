@@ -12,14 +12,51 @@ import zlib
 from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from spanview.llm import decontaminate, html_text, language_id, license_scan, secret_scan, warc
-from spanview.llm.common import new_path
+from spanview.llm import decontaminate, html_text, language_id, license_scan, packing, secret_scan, warc
+from spanview.llm.common import new_path, written
 
 DATA, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 
+# 2 ---------------------------------------------------------------------------
+
+
+def test_matrices_are_written_and_read_back(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FILE_BYTES", 2000)
+    texts = {i: " ".join(f"t{i}\n{j}" for j in range(i * 7 % 90)) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    rows = written(packing.packed(df, length=64, window=1500), "packed")
+    path = new_path(spark, "m")
+    packing.write_matrices(rows, path, 64)
+    got = packing.read_matrices(spark, path, 64).select(*rows.columns).collect()
+    key = lambda x: (x.shard, x.row)
+    assert sorted(got, key=key) == sorted(rows.collect(), key=key) and len(got) > 30
+    # numpy maps the files as they are.
+    files = [x for x in os.listdir(f"{path}/ids") if x.startswith("part-")]
+    matrices = np.concatenate([np.memmap(f"{path}/ids/{x}", dtype=packing.record_type(64), mode="r") for x in files])
+    assert len(files) > 3 and len(matrices) == len(got) and all(os.path.getsize(f"{path}/ids/{x}") <= 2000 for x in files)
+    ids = {(int(x["shard"]), int(x["row"])): x["ids"] for x in matrices}
+    parts = {}
+    for x in got:
+        for a, s in zip(x.cu_seqlens, x.segments):
+            parts.setdefault(s.doc_id, []).append((s["first"], ids[key(x)][a : a + s.n].tolist()))
+    known = packing.encoder()
+    assert {i: known.decode([t for _, p in sorted(parts[i]) for t in p][:-1]) for i in parts} == texts
+    empty = new_path(spark, "m")
+    packing.write_matrices(rows.limit(0), empty, 64)
+    assert packing.read_matrices(spark, empty, 64).count() == 0
+
+
+@needs_data
+def test_rows_are_nearly_full(spark):
+    filled = packing.op2_packing(spark, DATA).agg(F.sum("n_tokens") / F.sum(F.lit(packing.LENGTH))).first()[0]
+    assert filled > 0.99
+
+
 # 3 ---------------------------------------------------------------------------
 
 
