@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanview.llm import decontaminate, language_id, mixing, packing, simhash
-from spanview.llm.common import table, written
+from spanview.llm.common import dropped, settled, table
 
 #: Documents of a known language; one of each near-duplicate group; those without benchmark
 #: passages; the mix by source weights; packed token rows.
@@ -22,8 +22,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage has written on its way is deleted once its result stands."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, before = settled(lambda: stage(spark, docs, sf_dir), f"pipeline-{name}"), docs  # noqa: B023
+        if name != STAGES[0][0]:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
