@@ -39,7 +39,7 @@ ALL_ROWS, ALL_BYTES = 128 * SAMPLE_ROWS, 128 * DICT_BYTES
 #: Bytes of one frame, the levels for a text and for its distinct words, and the dictionary's end that each frame starts with.
 CHUNK, LEVEL, DISTINCT_LEVEL, CARRIER = 16_384, 3, 7, 256
 #: Relative margin under which a text is rejected.
-MARGIN = 0.02
+MARGIN = 0.01
 #: Odds of the best language fall by this power of e with each byte of lead.
 BYTE_WEIGHT = 0.35
 
