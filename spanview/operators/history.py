@@ -219,6 +219,48 @@ def pairing_errors(calls: DataFrame, results: DataFrame) -> DataFrame:
     return both.withColumn("error", error).groupBy("session").agg(F.min("error").alias("error")).withColumn("error", F.substring("error", 3, 100))
 
 
+def order_changes(now: DataFrame, captured: DataFrame) -> DataFrame:
+    """(session, error) of sessions whose calls or results (session, seq, kind, call_id) do not follow each other as they were captured."""
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        order = Window.partitionBy("session", "kind").orderBy("seq", "call_id")
+        return df.select("session", "kind", F.row_number().over(order).alias("place"), F.col("call_id").alias(name))
+
+    both = placed(now, "now").join(placed(captured, "then"), ["session", "kind", "place"], "full_outer")
+    changed = both.filter(~F.col("now").eqNullSafe(F.col("then")))
+    return changed.groupBy("session").agg(F.concat(F.min("kind"), F.lit("-order-changed")).alias("error"))
+
+
+def request_facts(messages: DataFrame) -> DataFrame:
+    """(session, users, replied) of messages (session, seq, role, text): how many a user wrote, and whether an answer with text stands between the first two."""
+    user = F.col("role") == "user"
+    before = F.sum(user.cast("int")).over(Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    rows = messages.withColumn("_users", before)
+    says = (F.col("role") == "assistant") & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0) & (F.col("_users") == 1)
+    out = rows.groupBy("session").agg(F.count_if(user).alias("users"), F.count_if(says).alias("_answers"))
+    return out.select("session", "users", ((F.col("users") > 1) & (F.col("_answers") > 0)).alias("replied"))
+
+
+def promoted(pending: DataFrame, messages: DataFrame) -> DataFrame:
+    """pending (session, projection, after_user) with outcome, by the messages (session, seq, role, text, calls) of the session's next request.
+
+    A pending projection is committed where a user message is its very text, or where the user
+    message after which it was sent has an answer with text or calls before the next user
+    message; else it is discarded. A session without messages discards.
+    """
+    p = pending.select("session", "projection", "after_user")
+    rows = p.join(messages.select("session", "seq", "role", "text", "calls"), "session", "left")
+    user, later = F.col("role") == "user", F.col("seq") > F.col("after_user")
+    answers = (F.col("role") == "assistant") & ((F.length(F.trim(F.coalesce("text", F.lit("")))) > 0) | (F.coalesce("calls", F.lit(0)) > 0))
+    facts = rows.groupBy("session", "projection", "after_user").agg(
+        F.coalesce(F.bool_or(user & (F.col("text") == F.col("projection")) & (F.length("projection") > 0)), F.lit(False)).alias("_applied"),
+        F.coalesce(F.bool_or(user & (F.col("seq") == F.col("after_user"))), F.lit(False)).alias("_is_user"),
+        F.min(F.when(user & later, F.col("seq"))).alias("_next"), F.min(F.when(answers & later, F.col("seq"))).alias("_answer"),
+    )
+    answered = F.col("_is_user") & F.col("_answer").isNotNull() & (F.col("_next").isNull() | (F.col("_answer") < F.col("_next")))
+    return facts.select("session", "projection", "after_user", F.when(F.col("_applied") | answered, "committed").otherwise("discarded").alias("outcome"))
+
+
 def acknowledged(deliveries: DataFrame) -> DataFrame:
     """Two-phase delivery: each pending (session, seq, unit_id, revision) with outcome committed or discarded, by the session's next event.
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions.numbers import estimated_tokens
@@ -62,8 +67,8 @@ def turn_errors(turns: DataFrame) -> DataFrame:
 def arm_comparison(sums: DataFrame, baseline: str) -> DataFrame:
     """Differences of each arm's totals from the baseline arm's, null where either is."""
     values = ["request_bytes", "prompt_tokens", "cost", "cost_estimated"]
-    base = sums.filter(F.col("arm") == baseline).select(F.struct(*values).alias("_base"))
-    # One row of totals beside one row an arm.
+    # An aggregate without keys is one row, whatever the sums hold: that is the bound of what is broadcast.
+    base = sums.filter(F.col("arm") == baseline).agg(F.first(F.struct(*values)).alias("_base")).filter(F.col("_base").isNotNull())
     return sums.crossJoin(F.broadcast(base)).select("arm", *((F.col(v) - F.col(f"_base.{v}")).alias(f"{v}_delta") for v in values))
 
 
@@ -157,11 +162,45 @@ def spend(usages: DataFrame, prompt_price: float, completion_price: float) -> Da
     return out.withColumn("usd", F.col("prompt_tokens") / 1e6 * prompt_price + F.col("completion_tokens") / 1e6 * completion_price)
 
 
-_SECRET = r"(?i)(authorization|proxy-authorization|cookie|set-cookie|x-api-key|api[_-]?key|token|secret|password)"
-
-
-def redacted(body: Column) -> Column:
-    """JSON text with the string, number or literal values of secret keys replaced, at any depth."""
-    value = r'("(?:\\.|[^"\\])*"|-?\d[\d.eE+-]*|true|false)'
-    key = rf'("[^"]*(?:{_SECRET[4:]})[^"]*"\s*:\s*)'
-    return F.regexp_replace(body, "(?i)" + key + value, '$1"[redacted]"')
+#: Keys whose values are secret, wherever the words stand in them.
+_SECRET = re.compile(r"authorization|cookie|api[-_]?key|token|secret|password", re.I)
+_PART = re.compile(r'"((?:\\.|[^"\\])*)"(\s*:\s*)?|[{}\[\]]|[^"{}\[\]]+|"', re.S)
+_SCALAR = re.compile(r"[^\s,}\]]*")
+REDACTED = '"[redacted]"'
+
+
+def _unescaped(key: str) -> str:
+    try:
+        return json.loads(f'"{key}"', strict=False)
+    except ValueError:
+        return key
+
+
+def redact(body: str) -> str:
+    """JSON text with the values of secret keys replaced, whole objects and arrays too, at any depth; all else stays as it is written."""
+    out, pos = [], 0
+    while pos < len(body):
+        m = _PART.match(body, pos)
+        out.append(m[0])
+        pos = m.end()
+        if m[2] is None or not _SECRET.search(_unescaped(m[1])):
+            continue
+        out.append(REDACTED)
+        depth, begun = 0, False
+        while pos < len(body) and (depth or not begun):
+            if not depth and body[pos] not in '"{[':
+                pos = _SCALAR.match(body, pos).end()
+                break
+            m = _PART.match(body, pos)
+            if m[0] == '"':  # a string without its end
+                return "".join(out)
+            depth += (m[0] in ("{", "[")) - (m[0] in ("}", "]"))
+            # A string right after the key is the value; what follows it is not.
+            pos, begun = (m.end(1) + 1 if m[1] is not None and not depth else m.end()), True
+    return "".join(out)
+
+
+@F.pandas_udf(StringType())
+def redacted(body: pd.Series) -> pd.Series:
+    """redact() of each text; null stays null. Arbitrary depth has no form in column functions."""
+    return body.map(redact, na_action="ignore")

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..engine import Unit, resolve
 from ..functions import text
@@ -39,47 +38,67 @@ def exact(units: DataFrame) -> DataFrame:
 def boundary_pairs(units: DataFrame, key: list[str]) -> DataFrame:
     """The best pairs of boundary lines: (key, start_at, end_at, span_delta, distance, rank, tied).
 
-    units has key, current and anchors. Lines meet anchors by equality. For each start only the
-    ends next to the expected one can rank among the two best: the latest at or before it and
-    the earliest after it; both come from one window over the unit's boundary lines, so a line
-    as common as a closing brace makes no product of starts and ends.
+    units has key, current and anchors. A unit and its file are one row, so that pairs are made
+    and ranked there, without a shuffle. For each start only the ends next to the expected one
+    can rank among the two best: the latest at or before it and the earliest after it. They
+    come from a search in a text of one letter a line, so a line as common as a closing brace
+    makes no product of starts and ends.
     """
-    # Only boundary lines leave a unit's row, so those alone are dealt out.
-    lines = units.select(*key, F.col("anchors").alias("a"), F.posexplode(text.normal_lines(F.col("current"))).alias("at", "line"))
-    lines = lines.filter((F.col("a.first") != "") & (F.col("a.last") != "") & ((F.col("line") == F.col("a.first")) | (F.col("line") == F.col("a.last"))))
-    own = [F.col(k) for k in key]
-    starts = lines.filter(F.col("line") == F.col("a.first")).select(*own, "a", F.col("at").alias("s"), (F.col("at") + F.col("a.line_count") - 1).alias("at"), F.lit(1).alias("is_start"))
-    ends = lines.filter(F.col("line") == F.col("a.last")).select(*own, "a", F.lit(None).cast("int").alias("s"), "at", F.lit(0).alias("is_start"))
-    both = starts.unionByName(ends)
-    order = Window.partitionBy(*key).orderBy("at", "is_start")
-    end = F.when(F.col("is_start") == 0, F.col("at"))
-    near = both.withColumns({
-        "before": F.last(end, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "after": F.first(end, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)),
-    }).filter("is_start = 1")
-    pairs = near.select(*own, "a", "s", F.explode(F.array("before", "after")).alias("e")).filter("e >= s")
-    span = F.abs(F.col("e") - F.col("s") + 1 - F.col("a.line_count"))
-    far = F.abs(F.col("s") + 1 - F.col("a.start_line"))
-    ranked = pairs.select(*own, F.col("s").alias("start_at"), F.col("e").alias("end_at"), span.alias("span_delta"), far.alias("distance"))
-    by = Window.partitionBy(*key)
-    tie = F.count("*").over(Window.partitionBy(*key, "span_delta", "distance")) > 1
-    return ranked.withColumns({"rank": F.row_number().over(by.orderBy("span_delta", "distance", "start_at", "end_at")), "tied": tie})
+    a = F.col("anchors")
+    rows = units.select(*key, a.alias("_a"), text.normal_lines(F.col("current")).alias("_c"))
+    rows = rows.filter((F.col("_a.first") != "") & (F.col("_a.last") != ""))
+    rows = rows.withColumn("_e", F.array_join(F.transform("_c", lambda x: F.when(x == F.col("_a.last"), "e").otherwise(".")), ""))
+    rows = rows.withColumns({"_back": F.reverse("_e"), "_n": F.length("_e"), "_was": F.col("_a.start_line"), "_lines": F.col("_a.line_count"), "_first": F.col("_a.first")})
+    starts = F.filter(F.transform("_c", lambda x, i: F.when(x == F.col("_first"), i)), lambda i: i.isNotNull())
+
+    def pair(s: Column, e: Column) -> Column:
+        return F.struct(F.abs(e - s + 1 - F.col("_lines")).alias("span_delta"), F.abs(s + 1 - F.col("_was")).alias("distance"), s.alias("start_at"), e.alias("end_at"))
+
+    def pairs_of(s: Column) -> Column:
+        expected = F.least(s + F.col("_lines") - 1, F.col("_n") - 1)
+        before = F.col("_n") - F.call_function("locate", F.lit("e"), F.col("_back"), F.col("_n") - expected)
+        after = F.call_function("locate", F.lit("e"), F.col("_e"), expected + 2) - 1
+        near = F.array(F.when(before < F.col("_n"), before), F.when(after >= 0, after))
+        return F.transform(F.filter(near, lambda e: e >= s), lambda e: pair(s, e))
+
+    rows = rows.withColumn("_pairs", F.array_sort(F.flatten(F.transform(starts, pairs_of))))
+
+    def alike(p: Column, other: Column) -> Column:
+        return F.coalesce((p["span_delta"] == other["span_delta"]) & (p["distance"] == other["distance"]), F.lit(False))
+
+    ties = F.transform("_pairs", lambda p, i: F.struct(p.alias("p"), (alike(p, F.get("_pairs", i - 1)) | alike(p, F.get("_pairs", i + 1))).alias("tied")))
+    out = rows.select(*key, F.posexplode(ties).alias("_i", "_p"))
+    return out.select(*key, "_p.p.start_at", "_p.p.end_at", "_p.p.span_delta", "_p.p.distance", (F.col("_i") + 1).alias("rank"), "_p.tied")
 
 
 def consensus_votes(units: DataFrame, key: list[str]) -> DataFrame:
-    """(key, start_at, support, interior, rank): where the region's lines that are unique in the file place its start."""
-    # Lines of the file that the region has too are all that is dealt out.
+    """(key, start_at, support, interior, rank): where the region's lines that are unique in the file place its start.
+
+    A unit and its file are one row, so that votes are counted there, without a shuffle.
+    """
     rows = units.select(*key, text.normal_lines(F.col("content")).alias("_r"), text.normal_lines(F.col("current")).alias("_c"), F.col("anchors.line_count").alias("_n"), F.col("anchors.start_line").alias("_was"))
-    shared = rows.select(*key, "_r", "_n", "_was", F.size("_c").alias("_lines"), F.posexplode("_c").alias("at", "line")).filter((F.col("line") != "") & F.array_contains("_r", F.col("line")))
-    current = shared.groupBy(*key, "line").agg(F.count("*").alias("n"), F.min("at").alias("now"), *(F.first(c).alias(c) for c in ("_n", "_was", "_lines"))).filter("n = 1")
     full = F.filter(F.transform("_r", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"] != "")
-    region = rows.select(*key, full.alias("f")).select(*key, F.explode("f").alias("x"), F.get("f", F.lit(0))["at"].alias("_a"), F.get("f", F.size("f") - 1)["at"].alias("_z"))
-    region = region.select(*key, F.col("x.at").alias("at"), F.col("x.line").alias("line"), ((F.col("x.at") == F.col("_a")) | (F.col("x.at") == F.col("_z"))).alias("edge"))
-    votes = region.join(current, [*key, "line"]).withColumn("start_at", F.col("now") - F.col("at"))
-    fitting = votes.filter((F.col("start_at") >= 0) & (F.col("start_at") + F.col("_n") <= F.col("_lines")))
-    sums = fitting.groupBy(*key, "start_at").agg(F.count("*").alias("support"), F.count_if(~F.col("edge")).alias("interior"), F.first("_was").alias("_was"))
-    order = Window.partitionBy(*key).orderBy(F.col("support").desc(), F.abs(F.col("start_at") + 1 - F.col("_was")), "start_at")
-    return sums.withColumn("rank", F.row_number().over(order)).drop("_was")
+    rows = rows.withColumn("_full", full).withColumn("_own", F.array_distinct(F.transform("_full", lambda x: x["line"])))
+    # Lines of the file that the region has too; only these are compared with its lines.
+    shared = F.filter(F.transform("_c", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: F.array_contains("_own", x["line"]))
+    rows = rows.withColumns({"_shared": shared, "_size": F.size("_c"), "_first": F.get("_full", F.lit(0))["at"], "_last": F.get("_full", F.size("_full") - 1)["at"]})
+
+    def vote(x: Column) -> Column:
+        now = F.filter("_shared", lambda y: y["line"] == x["line"])
+        edge = (x["at"] == F.col("_first")) | (x["at"] == F.col("_last"))
+        return F.when(F.size(now) == 1, F.struct((F.get(now, F.lit(0))["at"] - x["at"]).alias("start_at"), edge.alias("edge")))
+
+    fits = F.filter(F.transform("_full", vote), lambda v: (v["start_at"] >= 0) & (v["start_at"] + F.col("_n") <= F.col("_size")))
+    rows = rows.withColumn("_votes", fits)
+
+    def counted(s: Column) -> Column:
+        mine = F.filter("_votes", lambda v: v["start_at"] == s)
+        support = F.size(mine)
+        return F.struct((-support).alias("order"), F.abs(s + 1 - F.col("_was")).alias("distance"), s.alias("start_at"), F.size(F.filter(mine, lambda v: ~v["edge"])).alias("interior"))
+
+    starts = F.array_distinct(F.transform("_votes", lambda v: v["start_at"]))
+    out = rows.select(*key, F.posexplode(F.array_sort(F.transform(starts, counted))).alias("_i", "_s"))
+    return out.select(*key, "_s.start_at", (-F.col("_s.order")).cast("bigint").alias("support"), F.col("_s.interior").cast("bigint").alias("interior"), (F.col("_i") + 1).alias("rank"))
 
 
 def consensus(votes: DataFrame, key: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import replay
+from .. import families, replay
 from ..functions import text
 
 EVENT = "struct<type:string,path:string,scope:string,start_line:int,end_line:int,selector:string,expected:string,replacement:string,task:string,budget:int,required:array<struct<path:string,selector:string,sha256:string>>>"
@@ -30,7 +30,8 @@ def replayed(traces: DataFrame, systems: tuple[str, ...] = replay.SYSTEMS, parse
     fields = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Traces hold whole files; few at a time become Python objects.
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             for r in batch.to_pylist():
                 base = {"trace": r["name"], "repo": replay.repository(r["repository"], r["name"]), "family": replay.family(r["name"]), "system": r["system"]}
                 try:
@@ -44,6 +45,26 @@ def replayed(traces: DataFrame, systems: tuple[str, ...] = replay.SYSTEMS, parse
     return rows.select("name", "repository", "files", "events", "system").mapInArrow(run, schema)
 
 
+def generated(files: DataFrame, first: int, last: int) -> DataFrame:
+    """Traces of lines first to last of each file (name, path, content): one of each family that the region admits, named after the file.
+
+    Files that are null or too short for the region have none.
+    """
+    event = pa.struct([*((n, pa.string()) for n in ("type", "path", "scope")), ("start_line", pa.int32()), ("end_line", pa.int32()), *((n, pa.string()) for n in ("selector", "expected", "replacement", "task")),
+                       ("budget", pa.int32()), ("required", pa.list_(pa.struct([(n, pa.string()) for n in ("path", "selector", "sha256")])))])
+    schema = pa.schema([("name", pa.string()), ("repository", pa.string()), ("files", pa.map_(pa.string(), pa.string())), ("events", pa.list_(event))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["content"] is None or r["content"].count("\n") + 1 < last:
+                    continue
+                rows = families.generate({r["path"]: r["content"]}, r["path"], first, last, r["name"])
+                yield pa.RecordBatch.from_pylist([{**x, "files": list(x["files"].items())} for x in rows], schema=schema)
+
+    return files.select("name", "path", "content").mapInArrow(run, TRACE)
+
+
 def events_of(traces: DataFrame) -> DataFrame:
     """(trace, seq, ...) of all events."""
     return traces.select(F.col("name").alias("trace"), F.posexplode("events").alias("seq", "e")).select("trace", "seq", "e.*")

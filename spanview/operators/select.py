@@ -1,8 +1,8 @@
 """Scores, ranks and budgeted selection of units for a task.
 
 The greedy choice skips what doesn't fit and goes on with smaller units, so it is a fold in
-rank order and no window. Groups are folded where they are: each is dealt to one task and
-sorted there, streamed in rank order with one running total a group, and never collected.
+rank order and no window. A session is dealt to one task, sorted there and streamed in rank order
+with one running total, never collected; a unit is five numbers there, whatever its text.
 """
 
 from __future__ import annotations
@@ -53,32 +53,33 @@ def selected(units: DataFrame, turn: int, budget: int = POLICY["budget_chars"])
     """Scored units with disposition (selected, unresolved or budget) and used, the total after each.
 
     Changed units are taken first, over budget if need be; then all that fit, in rank order.
+    session and unit_id name a unit; units without a session are a session of their own.
     """
-    keys = ["_forced", "pinned", "score", "unit_id"]
-    rows = units.withColumn("_forced", forced(turn))
-    dealt = rows.repartition("session").sortWithinPartitions("session", *(F.col(k).desc() for k in keys[:3]), "unit_id")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields]
+    kinds = dict(units.dtypes)
+    slim = units.select("session", "unit_id", "size", "score", forced(turn).alias("forced"), "pinned")
+    dealt = slim.repartition("session").sortWithinPartitions("session", *(F.col(k).desc() for k in ("forced", "pinned", "score")), "unit_id")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, used = None, 0
+        session, used, started = None, 0, False
         for batch in batches:
-            cols = {n: batch.column(batch.schema.names.index(n)) for n in ("session", "size", "score", "_forced")}
-            kinds, totals = [], []
-            for key, size, score, must in zip(*(cols[n].to_pylist() for n in cols)):
-                if key != session or not kinds and session is None:
-                    session, used = key, 0
+            cols = {n: batch.column(batch.schema.names.index(n)) for n in ("session", "unit_id", "size", "score", "forced")}
+            found, totals = [], []
+            for key, size, score, must in zip(*(cols[n].to_pylist() for n in ("session", "size", "score", "forced"))):
+                if key != session or not started:
+                    session, used, started = key, 0, True
                 if score == float("-inf"):
                     kind = "unresolved"
                 elif must or not size or used + size <= budget:
                     kind, used = "selected", used + size
                 else:
                     kind = "budget"
-                kinds.append(kind)
+                found.append(kind)
                 totals.append(used)
-            arrays = [*batch.columns, pa.array(kinds, pa.string()), pa.array(totals, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "disposition", "used"])
+            yield pa.RecordBatch.from_arrays([cols["session"], cols["unit_id"], pa.array(found, pa.string()), pa.array(totals, pa.int64())], names=["_session", "_unit", "disposition", "used"])
 
-    return dealt.mapInArrow(fold, ", ".join([*fields, "disposition string", "used bigint"])).drop("_forced")
+    folded = dealt.mapInArrow(fold, f"_session {kinds['session']}, _unit {kinds['unit_id']}, disposition string, used bigint")
+    same = F.col("session").eqNullSafe(F.col("_session")) & F.col("unit_id").eqNullSafe(F.col("_unit"))
+    return units.join(folded, same).drop("_session", "_unit")
 
 
 def dispositions(chosen: DataFrame) -> DataFrame:

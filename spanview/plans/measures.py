@@ -31,21 +31,25 @@ def _facts(spark, sf_dir):
 
 
 def _required(spark, sf_dir):
-    """Each benchmark item required of the document (payload) with the id of its own number."""
+    """Of each document (payload, capture) a benchmark item is required: that of its number, counted round the items."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("gold"))
-    return b.select(F.col("item_id").alias("capture"), F.col("item_id").alias("place"), F.col("item_id").cast("string").alias("key"), F.concat(F.lit("b"), (F.col("item_id") % 3).cast("string")).alias("path"), "gold")
+    # One number of the table, beside which the items are dealt to the documents.
+    items = (b.agg(F.max("item_id")).first()[0] or 0) + 1
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("capture"), (F.col("doc_id") % items).alias("item_id"))
+    return d.join(b, "item_id").select("capture", F.col("item_id").alias("place"), F.col("item_id").cast("string").alias("key"), F.concat(F.lit("b"), (F.col("item_id") % 3).cast("string")).alias("path"), "gold")
 
 
 def _payloads(spark, sf_dir):
-    """A payload for each item: the document of its number, with the item in it twice, once or not."""
+    """Each document's text, with its required item twice, once or not at its end."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("capture"), F.coalesce("text", F.lit("")).alias("t"))
     n = (F.col("capture") % 3).cast("int")
     return d.join(_required(spark, sf_dir).select("capture", "gold"), "capture").select("capture", F.concat(F.col("t"), F.repeat(F.concat(F.lit("\n\n"), F.col("gold")), n)).alias("payload"))
 
 
-_PAYLOADS_SQL = """
-req AS (SELECT item_id AS capture, 'b' || (item_id % 3) AS path, coalesce(text, '') AS gold FROM benchmark),
-pay AS (SELECT r.capture, path, gold, coalesce(d.text, '') || repeat(chr(10) || chr(10) || gold, CAST(r.capture % 3 AS INT)) AS payload FROM req r JOIN documents d ON d.doc_id = r.capture),
+_REQUIRED_SQL = """
+req AS (SELECT d.doc_id AS capture, 'b' || (item_id % 3) AS path, coalesce(b.text, '') AS gold, coalesce(d.text, '') AS t FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark))"""
+_PAYLOADS_SQL = f"""{_REQUIRED_SQL},
+pay AS (SELECT capture, path, gold, t || repeat(chr(10) || chr(10) || gold, CAST(capture % 3 AS INT)) AS payload FROM req),
 cnt AS (SELECT *, CAST((length(payload) - length(replace(payload, gold, ''))) // length(gold) AS BIGINT) AS n FROM pay)"""
 
 
@@ -82,14 +86,14 @@ def gold_in_payload(spark, sf_dir):
 
 
 def passage_occurrences(spark, sf_dir):
-    """Documents that hold the first item of each number of words, by exact text."""
+    """How often each document's text, with its required item at its end, holds that item."""
     rows = _payloads(spark, sf_dir).join(_required(spark, sf_dir).select("capture", "gold"), "capture")
     return rows.select("capture", text.occurrences(F.col("payload"), F.col("gold")).alias("n"))
 
 
 def prefix_reuse(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    p = c.select("conv_id", "turn", F.concat(F.lit("system prompt\n"), F.when(F.col("turn") % 3 == 0, F.substring("text", 1, 5)).otherwise(F.col("text"))).alias("payload"))
+    p = c.select("conv_id", "turn", F.concat(F.lit("system prompt\n"), F.col("text")).alias("payload"))
     return metrics.prefix_reuse(p, ["conv_id"], "turn").select("conv_id", "turn", F.round("reuse", 9).alias("reuse"))
 
 
@@ -163,7 +167,7 @@ def tier_deltas(spark, sf_dir):
 
 
 def determinism(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", F.md5(F.substring("text", 1, 3)).alias("digest"))
+    d = table(spark, sf_dir, "documents").select("source", F.md5("text").alias("digest"))
     return metrics.determinism(d, ["source"], "digest").withColumn("agreement", F.round("agreement", 9))
 
 
@@ -276,7 +280,9 @@ def spend_rollup(spark, sf_dir):
 
 def redaction(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
-    body = F.concat(F.lit('{"a": {"api_key": "s'), k, F.lit('", "n": '), k, F.lit('}, "Authorization": "B"}'))
+    body = F.concat(
+        F.lit('{"a": {"api_key": "s'), k, F.lit('", "n": '), k, F.lit('}, "Authorization": ["Bearer '), k, F.lit('", {"x": [1]}], "list": [{"token": {"v": "'), k, F.lit('"}, "m": '), k, F.lit("}], \"note\": \"a \\\"token\\\": b\"}")
+    )
     return table(spark, sf_dir, "events").select("event_id", ledger.redacted(body).alias("body"))
 
 
@@ -397,13 +403,13 @@ _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 ORACLE_SQL = {
     "required_recall": f"WITH {_PAYLOADS_SQL} SELECT capture, CAST(1 AS BIGINT) AS required, CAST(CASE WHEN capture % 2 = 0 OR n > 0 THEN 1 ELSE 0 END AS BIGINT) AS hits, CASE WHEN capture % 2 = 0 OR n > 0 THEN 1.0 ELSE 0.0 END AS recall FROM cnt",
-    "exact_current_rate": "SELECT item_id AS capture, CAST(item_id % 2 = 0 AS BIGINT) AS exact, CAST(1 AS BIGINT) AS projected, CASE WHEN item_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS exact_rate FROM benchmark",
+    "exact_current_rate": f"WITH {_REQUIRED_SQL} SELECT capture, CAST(capture % 2 = 0 AS BIGINT) AS exact, CAST(1 AS BIGINT) AS projected, CASE WHEN capture % 2 = 0 THEN 1.0 ELSE 0.0 END AS exact_rate FROM req",
     "stale_bytes": f"WITH {_PAYLOADS_SQL}, s AS (SELECT capture, gold, CASE WHEN capture % 5 = 0 THEN 0 ELSE n END AS n FROM cnt) SELECT capture, CAST(1 AS BIGINT) AS reads, CAST(n > 0 AS BIGINT) AS stale_units, CAST(n * strlen(gold) AS BIGINT) AS stale_bytes, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS stale_rate FROM s",
     "duplicate_units": f"WITH {_PAYLOADS_SQL} SELECT capture, greatest(n - 1, 0) AS duplicate_units, CAST(greatest(n - 1, 0) * strlen(gold) AS BIGINT) AS duplicate_bytes FROM cnt",
     "byte_sizes": f"WITH {_PAYLOADS_SQL} SELECT capture, CAST(strlen(payload) AS BIGINT) AS payload_bytes, CAST(CASE WHEN capture % 2 = 0 THEN 6 ELSE strlen(payload) END AS BIGINT) AS projection_bytes FROM cnt",
     "gold_in_payload": f"WITH {_PAYLOADS_SQL} SELECT capture, n > 0 AS found FROM cnt",
     "passage_occurrences": f"WITH {_PAYLOADS_SQL} SELECT capture, n FROM cnt",
-    "prefix_reuse": """WITH p AS (SELECT conv_id, turn, CAST(encode('system prompt' || chr(10) || CASE WHEN turn % 3 = 0 THEN left(text, 5) ELSE text END) AS BLOB) AS b, 'system prompt' || chr(10) || CASE WHEN turn % 3 = 0 THEN left(text, 5) ELSE text END AS t FROM conversations),
+    "prefix_reuse": """WITH p AS (SELECT conv_id, turn, CAST(encode('system prompt' || chr(10) || text) AS BLOB) AS b FROM conversations),
 q AS (SELECT conv_id, turn, hex(b) AS h, lag(hex(b)) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM p)
 SELECT conv_id, turn, CASE WHEN g IS NULL THEN 1.0 ELSE round(coalesce(list_position(list_transform(range(CAST(least(length(g), length(h)) // 2 AS BIGINT)), lambda i: substr(g, 2 * i + 1, 2) <> substr(h, 2 * i + 1, 2)), true) - 1, least(length(g), length(h)) // 2) / (length(g) / 2), 9) END AS reuse FROM q""",
     "changed_bytes": """WITH q AS (SELECT conv_id, turn, hex(encode('<<' || text || '>>')) AS h, lag(hex(encode('<<' || text || '>>'))) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations),
@@ -427,7 +433,7 @@ SELECT *, CAST(0 AS BIGINT) AS stale_units, CAST(0 AS BIGINT) AS duplicate_units
 SELECT *, candidate_bytes - baseline_bytes AS delta FROM p WHERE candidate_bytes IS NOT NULL AND baseline_bytes IS NOT NULL""",
     "arm_deltas": f"WITH {FACTS_SQL}, s AS (SELECT trace, system, CAST(sum(bytes) AS BIGINT) AS bytes FROM facts GROUP BY trace, system) SELECT s.trace, s.system, s.bytes - c.bytes AS bytes_delta, c.bytes IS NULL AS missing FROM s LEFT JOIN s c ON c.trace = s.trace AND c.system = 'append-only' WHERE s.system <> 'append-only'",
     "tier_deltas": f"WITH {FACTS_SQL}, s AS (SELECT trace, system, CAST(sum(bytes) AS BIGINT) AS bytes FROM facts GROUP BY trace, system) SELECT *, bytes - lead(bytes) OVER w AS to_coarser, bytes - last_value(bytes) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS to_base FROM s WINDOW w AS (PARTITION BY trace ORDER BY system)",
-    "determinism": "WITH e AS (SELECT source, md5(left(text, 3)) AS d, count(*) AS n FROM documents GROUP BY ALL) SELECT source, CAST(sum(n) AS BIGINT) AS runs, count(*) AS distinct, round(max(n) / sum(n), 9) AS agreement, count(*) = 1 AS deterministic FROM e GROUP BY source",
+    "determinism": "WITH e AS (SELECT source, md5(text) AS d, count(*) AS n FROM documents GROUP BY ALL) SELECT source, CAST(sum(n) AS BIGINT) AS runs, count(*) AS distinct, round(max(n) / sum(n), 9) AS agreement, count(*) = 1 AS deterministic FROM e GROUP BY source",
     "determinism_check": "SELECT o_orderkey, o_orderstatus, 'first' AS only_in FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT o_orderkey, 'X', 'second' FROM orders WHERE o_orderkey % 100 = 0",
     "recorded_values": "WITH a AS (SELECT n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN '9' ELSE CAST(n_regionkey AS VARCHAR) END AS v FROM nation WHERE n_nationkey % 5 > 0) SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS expected, v AS actual FROM nation LEFT JOIN a ON a.name = n_name WHERE CAST(n_regionkey AS VARCHAR) IS DISTINCT FROM v",
     "pareto_front": "WITH s AS (SELECT s_suppkey, s_suppkey % 17 AS cost, s_acctbal AS gain FROM supplier) SELECT * FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.cost <= a.cost AND b.gain >= a.gain AND (b.cost < a.cost OR b.gain > a.gain))",
@@ -449,7 +455,7 @@ SELECT task, CASE WHEN f = 0 AND p > 0 THEN 'pass' ELSE 'fail' END AS verdict, C
     "scan_ingest": f"WITH {READS_SQL} SELECT 's' || session AS arm, CASE WHEN k % 2 = 0 THEN seq + 1000 ELSE row_number() OVER (PARTITION BY session ORDER BY event_id) END AS turn, k AS request_bytes, CASE WHEN k % 3 = 0 THEN k + 1 ELSE k END AS last_prompt_tokens, CASE WHEN k % 3 = 0 THEN 2 * k + 1 ELSE k END AS prompt_tokens FROM reads",
     "answer_scoring": f"SELECT event_id, {_K} = event_id % 100 AS right FROM events",
     "spend_rollup": f"WITH {READS_SQL} SELECT kind AS arm, count(*) AS requests, CAST(sum(k) AS BIGINT) AS prompt_tokens, CAST(sum(seq) AS BIGINT) AS completion_tokens, round(sum(k) / 1e6 * 0.22 + sum(seq) / 1e6 * 0.66, 12) AS usd FROM reads GROUP BY ROLLUP (kind)",
-    "redaction": f"""SELECT event_id, '{{"a": {{"api_key": "[redacted]", "n": ' || {_K} || '}}, "Authorization": "[redacted]"}}' AS body FROM events""",
+    "redaction": f"""SELECT event_id, '{{"a": {{"api_key": "[redacted]", "n": ' || {_K} || '}}, "Authorization": "[redacted]", "list": [{{"token": "[redacted]", "m": ' || {_K} || '}}], "note": "a \\"token\\": b"}}' AS body FROM events""",
     "attestation_errors": "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'missing attestedAt' WHEN o_orderkey % 5 = 0 THEN 'freezeCommitSha invalid' WHEN o_orderkey % 7 = 0 THEN 'no production run id' END AS error FROM orders",
     "classification_steps": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = o_custkey % 5 THEN NULL WHEN o_custkey % 5 <= o_orderkey % 5 AND o_orderkey % 5 <> 1 THEN 'regress' WHEN o_custkey % 5 - o_orderkey % 5 > 1 AND o_custkey % 5 <> 1 THEN 'skip' END AS error FROM orders""",
     "earned_classification": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 > 0 AND o_orderkey % 7 > 0 THEN 'sealed' END WHEN 3 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'remotely-attested' END WHEN 2 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'locally-frozen' END WHEN 1 THEN 'candidate' END AS earned FROM orders",

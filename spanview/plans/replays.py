@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from .. import families
 from ..functions import text
-from ..operators import metrics, relocate, replay, symbols
-from ..sources import writers
+from ..operators import metrics, provenance, relocate, replay, symbols
+from ..sources import readers, writers
 from ..streaming import sessions
-from .tables import TASK, table
+from .tables import TASK, scratch, table
 
 FIRST, LAST = 2, 4
 
@@ -95,25 +92,46 @@ def symbol_resolve(spark, sf_dir):
     return symbols.resolved_symbols(wanted, symbols.symbols(s))
 
 
-def _traces(spark):
-    source = "import os\n\n\ndef alpha(x):\n    y = x + 1\n    z = y * 2\n    return z\n\n\ndef beta(x):\n    return x\n"
-    rows = families.generate({"a.py": source}, "a.py", 4, 7)
-    return spark.createDataFrame(rows, replay.TRACE)
+def _traces(spark, sf_dir, docs=None):
+    """Lines 2 to 4 of each document through every mutation family that they admit."""
+    d = table(spark, sf_dir, "documents") if docs is None else docs
+    return replay.generated(d.select(F.col("doc_id").cast("string").alias("name"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content")), FIRST, LAST)
 
 
 def trace_replay(spark, sf_dir):
-    """Every mutation family through every system."""
-    out = replay.replayed(_traces(spark))
+    """Every mutation family of every document through every system."""
+    out = replay.replayed(_traces(spark, sf_dir))
     return out.select("trace", "family", "system", "capture", "method", "recall", "exact_rate", "stale_bytes", "duplicate_units", "payload_bytes", "error")
 
 
 def trace_events(spark, sf_dir):
-    """Reads, edits and captures of the generated traces, by kind."""
-    return replay.events_of(_traces(spark)).groupBy("type").agg(F.count("*").alias("n"))
+    """Reads, edits and captures of the traces of all documents, by kind."""
+    return replay.events_of(_traces(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def _sampled(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("repo"), F.lit("abc123").alias("commit"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("selector"), F.lit("interior-edit").alias("scenario"), F.lit(None).cast("string").alias("reason"))
+    return _traces(spark, sf_dir, provenance.hash_sample(d, ["repo"], 5).filter("disposition = 'selected'"))
+
+
+def sampled_traces(spark, sf_dir):
+    """Traces generated from the sample of five documents a source, by family."""
+    family = F.get(F.split("name", "/"), F.lit(1))
+    return _sampled(spark, sf_dir).groupBy(family.alias("family")).agg(F.count("*").alias("traces"), F.min(F.size("events")).alias("least_events"))
+
+
+def trace_pack(spark, sf_dir):
+    """The sampled traces written as a pack, one JSON file each, and read back: events by trace, and whether the pack breaks the format."""
+    path = scratch(spark, "pack")
+    writers.trace_files(_sampled(spark, sf_dir), path)
+    back = readers.traces(spark, path)
+    errors = readers.trace_errors(back).select("name", F.array_join("errors", ",").alias("errors"))
+    shots = F.size(F.filter("events", lambda e: e["type"] == "capture-request"))
+    return back.select("name", F.size("events").alias("events"), shots.alias("captures"), F.size("files").alias("files")).join(errors, "name", "left")
 
 
 def budget_pressure(spark, sf_dir):
-    out = metrics.final_captures(replay.replayed(replay.under_pressure(_traces(spark)), ("unit-region", "whole-file")), ["trace", "system"], "capture")
+    out = metrics.final_captures(replay.replayed(replay.under_pressure(_traces(spark, sf_dir)), ("unit-region", "whole-file")), ["trace", "system"], "capture")
     return out.groupBy("system").agg(F.count("*").alias("traces"), F.max("projection_bytes").alias("largest"), F.sum("stale_bytes").alias("stale_bytes"))
 
 
@@ -142,7 +160,7 @@ def stream_tracked(spark, sf_dir):
     stream = _stream(spark, sf_dir, "conversations", source.schema)
     reads = stream.select(
         F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), F.col("turn"), F.concat(F.lit("src/"), "role").alias("path"), F.lit("file").alias("scope"), F.lit(None).cast("string").alias("selector"),
-        F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.substring("text", 1, 1).alias("content"),
+        F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("text").alias("content"),
     )
     return _streamed(sessions.tracked(reads)).select("session", "seq", "unit_id", "revision", "change_count", "changed_at")
 
@@ -172,7 +190,7 @@ def _stream(spark, sf_dir: str, name: str, schema):
 def _streamed(df, mode: str = "append"):
     """What a stream over the files there gives, written by its own sink."""
     spark = df.sparkSession
-    top = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/spanview-streams/{uuid.uuid4().hex}"
+    top = scratch(spark, "streams")
     out = df.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True)
     if mode == "append":
         out.format("parquet").option("path", f"{top}/rows").start().awaitTermination()
@@ -207,7 +225,7 @@ SELECT path, 'class' AS kind, path || '::C' || doc_id AS qualified_selector, 1 A
 UNION ALL SELECT path, 'function', path || '::f' || doc_id, 6, 7, NULL FROM d WHERE k = 0 UNION ALL SELECT path, 'function', path || '::g' || doc_id, 1, 3, NULL FROM d WHERE k = 1
 UNION ALL SELECT path, NULL, NULL, NULL, NULL, CASE k WHEN 2 THEN 'parser-not-implemented' ELSE 'parse-broken' END FROM d WHERE k > 1""",
     "symbol_resolve": "SELECT CAST(doc_id AS VARCHAR) AS unit_id, CASE WHEN doc_id % 4 = 0 THEN 'resolved' ELSE 'unresolved' END AS state, CASE WHEN doc_id % 4 = 0 THEN 'isolated-semantic-engine' ELSE 'isolated-semantic-engine-unresolved' END AS method, CASE WHEN doc_id % 4 = 0 THEN 6 END AS start_line, CASE WHEN doc_id % 4 = 0 THEN 7 END AS end_line FROM documents",
-    "stream_tracked": """WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS session, turn AS seq, 'fc_' || left(sha256('src/' || role || chr(0) || 'file' || chr(0) || '1:1'), 16) AS unit_id, 'sha256:' || sha256(left(text, 1)) AS revision FROM conversations),
+    "stream_tracked": """WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS session, turn AS seq, 'fc_' || left(sha256('src/' || role || chr(0) || 'file' || chr(0) || '1:1'), 16) AS unit_id, 'sha256:' || sha256(text) AS revision FROM conversations),
 l AS (SELECT *, lag(revision) OVER (PARTITION BY session, unit_id ORDER BY seq) AS b FROM r)
 SELECT session, seq, unit_id, revision, CAST(sum(CASE WHEN b <> revision THEN 1 ELSE 0 END) OVER w AS BIGINT) AS change_count, max(CASE WHEN b IS NULL OR b <> revision THEN seq END) OVER w AS changed_at FROM l WINDOW w AS (PARTITION BY session, unit_id ORDER BY seq ROWS UNBOUNDED PRECEDING)""",
     "stream_delivery": """WITH d AS (SELECT CAST(conv_id AS VARCHAR) AS session, turn AS seq, CASE WHEN turn % 3 = 0 THEN 'pending' WHEN turn % 2 = 0 THEN 'sent' ELSE 'failed' END AS kind, sha256(text) AS revision FROM conversations),

@@ -260,6 +260,29 @@ ver AS (SELECT session, unit_id, revision, arg_max(content, turn) AS content, ma
 disp AS (SELECT session, unit_id, path, CASE change_count % 3 WHEN 0 THEN 'selected' WHEN 1 THEN 'budget' ELSE 'unresolved' END AS disposition FROM cur)"""
 _PATHS = f"{_TRACKED}, pd AS (SELECT session, path, arg_min(disposition, CASE disposition WHEN 'selected' THEN 0 WHEN 'unresolved' THEN 1 ELSE 2 END) AS disposition FROM disp GROUP BY session, path)"
 
+def pairing_order(spark, sf_dir):
+    """Sessions whose views or clicks no longer follow each other as captured: some calls have changed places with their neighbours."""
+    r = reads(spark, sf_dir)
+    rows = r.select("session", "seq", F.when(F.col("kind") == "view", "call").otherwise("result").alias("kind"), "call_id", "k")
+    moved = F.when(F.col("session") % 3 == 0, F.col("seq") + F.when(F.col("k") % 13 == 0, 3).otherwise(0)).otherwise(F.col("seq"))
+    return history.order_changes(rows.withColumn("seq", moved), rows)
+
+
+def request_facts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    text_of = F.when((F.col("conv_id") % 5 == 0) & (F.col("role") == "assistant"), " ").otherwise(F.col("text"))
+    return history.request_facts(c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "role", text_of.alias("text")))
+
+
+def delivery_promotion(spark, sf_dir):
+    """A projection is pending in every conversation: the text of its first turn, or one that no message has, after a turn that its number names."""
+    c = table(spark, sf_dir, "conversations")
+    m = c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "role", "text", F.lit(0).alias("calls"))
+    first = c.groupBy(F.col("conv_id").alias("session")).agg(F.min_by("text", "turn").alias("first"))
+    pending = first.select("session", F.when(F.col("session") % 3 == 0, F.col("first")).otherwise(F.lit("none")).alias("projection"), F.when(F.col("session") % 2 == 0, F.col("session") % 4).alias("after_user"))
+    return history.promoted(pending, m).select("session", "after_user", "outcome")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and getattr(v, "__module__", "") == __name__}
 
 ORACLE_SQL = {
@@ -330,3 +353,14 @@ SELECT conv_id AS session, count(*) AS messages, CAST(sum(strlen(t)) AS BIGINT)
     "fail_open_envelope": "SELECT conv_id AS session, turn AS seq, sha256(CASE WHEN conv_id % 3 = 2 THEN 'x' ELSE text END) AS text_sha256, conv_id % 3 = 2 AS applied FROM conversations",
     "shell_discovery": f"WITH {READS_SQL} SELECT session, call_id, path, 'file' AS scope FROM reads WHERE kind <> 'view' AND k % 5 <> 0",
 }
+
+ORACLE_SQL |= {
+    "pairing_order": f"""WITH {READS_SQL}, a AS (SELECT session, seq, CASE WHEN kind = 'view' THEN 'call' ELSE 'result' END AS kind, call_id, seq + CASE WHEN session % 3 = 0 AND k % 13 = 0 THEN 3 ELSE 0 END AS moved FROM reads),
+n AS (SELECT session, kind, call_id, row_number() OVER (PARTITION BY session, kind ORDER BY moved, call_id) AS p FROM a), t AS (SELECT session, kind, call_id, row_number() OVER (PARTITION BY session, kind ORDER BY seq, call_id) AS p FROM a)
+SELECT n.session, min(n.kind) || '-order-changed' AS error FROM n JOIN t ON t.session = n.session AND t.kind = n.kind AND t.p = n.p WHERE n.call_id <> t.call_id GROUP BY n.session""",
+    "request_facts": """WITH u AS (SELECT *, CASE WHEN conv_id % 5 = 0 AND role = 'assistant' THEN ' ' ELSE text END AS t, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+SELECT conv_id AS session, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'user') > 1 AND count(*) FILTER (role = 'assistant' AND n = 1 AND trim(coalesce(t, '')) <> '') > 0 AS replied FROM u GROUP BY conv_id""",
+    "delivery_promotion": """WITH p AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN arg_min(text, turn) ELSE 'none' END AS projection, CASE WHEN conv_id % 2 = 0 THEN conv_id % 4 END AS a FROM conversations GROUP BY conv_id)
+SELECT conv_id AS session, a AS after_user, CASE WHEN EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = p.conv_id AND role = 'user' AND text = projection) OR EXISTS (SELECT 1 FROM conversations u JOIN conversations r ON r.conv_id = u.conv_id AND r.turn > u.turn AND r.role = 'assistant' AND trim(coalesce(r.text, '')) <> ''
+  WHERE u.conv_id = p.conv_id AND u.turn = a AND u.role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = u.conv_id AND x.role = 'user' AND x.turn > u.turn AND x.turn < r.turn)) THEN 'committed' ELSE 'discarded' END AS outcome FROM p""",
+}

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from .plans import measures, replays, selection, sessions
+    from .plans import files, measures, replays, selection, sessions
 
-    return [selection, sessions, measures, replays]
+    return [selection, sessions, measures, replays, files]
 
 
 def queries() -> dict:

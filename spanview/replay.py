@@ -111,6 +111,15 @@ class _System:
         return []
 
 
+def common_start(a: bytes, b: bytes) -> int:
+    """Bytes in which both agree from the start, by bisection."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
 def measure(system: _System, payload: str, projection: str, reads: list[dict], required: list[dict], gold: Mapping[str, str], before: str) -> dict:
     shown = system.units(payload)
     hits = sum(any(p == r["path"] and c == gold[r["key"]] for p, c in shown) or occurrences(payload, gold[r["key"]]) > 0 for r in required)
@@ -119,7 +128,7 @@ def measure(system: _System, payload: str, projection: str, reads: list[dict], r
     first = {r["path"]: gold[r["key"]] for r in reversed(required)}
     exact = sum(p in first and c == first[p] for p, c in shown)
     a, b = before.encode(), payload.encode()
-    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    same = common_start(a, b)
     return {
         "exact_rate": exact / max(1, len(shown)), "recall": hits / len(required) if required else 1.0, "stale_rate": sum(n > 0 for n, _ in old) / max(1, len(reads)),
         "stale_units": sum(n > 0 for n, _ in old), "stale_bytes": sum(n * s for n, s in old), "duplicate_units": sum(n for n, _ in more), "duplicate_bytes": sum(n * s for n, s in more),

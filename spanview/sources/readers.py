@@ -101,9 +101,16 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CAPTURE_SCHEMA).json(path).filter(F.coalesce("raw_bytes", F.lit(0)) <= BODY_LIMIT)
 
 
-def requests(spark: SparkSession, path: str) -> DataFrame:
-    """Request objects, one a file or line, as variants."""
-    return spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("request"))
+def requests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Request objects, one a file or one a line, as variants; null where it is no JSON."""
+    return spark.read.text(path, wholetext=not lines).select(F.try_parse_json("value").alias("request"))
+
+
+def latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a session state; unfinished ones are not seen."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version-*")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or ()
+    return spark.read.parquet(max(x.getPath().toString() for x in found))
 
 
 def experiment_ledger(spark: SparkSession, path: str) -> DataFrame:

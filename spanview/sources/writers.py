@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def refused(path: Column) -> Column:
+    """Whether a report must not go to a path: the recorded results, and what is sealed in a pack."""
+    return F.endswith(path, F.lit("results.jsonl")) | F.contains(path, F.lit("/packs/")) & F.contains(path, F.lit("sealed"))
+
+
 def guarded(path: str) -> str:
     """path, unless a report must not go there."""
     if path.endswith("results.jsonl") or "/packs/" in path and "sealed" in path:
@@ -23,13 +30,30 @@ def tsv(df: DataFrame, path: str, missing: str = "n/a") -> None:
 
 
 def state(df: DataFrame, path: str) -> None:
-    """Session state as a whole new version: readers see the old or the new one."""
-    df.write.mode("overwrite").parquet(path)
+    """Session state as a whole new version under path: written beside it and renamed when it is complete, so that readers see the old or the new one."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new = f"{path}/_new-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    number = max((int(x.getPath().getName().split("-")[1]) for x in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/version-*")) or ()), default=0) + 1
+    if not files.rename(jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(f"{path}/version-{number:09d}")):
+        raise OSError(f"could not commit {path}")
+
+
+#: Names of events in files, where they differ.
+_NAMES = {"start_line": "startLine", "end_line": "endLine", "budget": "budgetChars", "required": "requiredUnits"}
 
 
 def trace_files(traces: DataFrame, path: str) -> None:
-    """One JSON record a trace, partitioned by its name."""
-    traces.select("name", F.to_json(F.struct(*traces.columns)).alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+    """One JSON file a trace, in a folder of its own; fields as the format names them."""
+    kind = traces.schema["events"].dataType.elementType
+    event = F.transform("events", lambda e: F.struct(*(e[f.name].alias(_NAMES.get(f.name, f.name)) for f in kind.fields)))
+    out = traces.select(
+        F.lit(1).alias("schemaVersion"), "name", F.struct(F.col("repository").alias("repository")).alias("source"), F.col("files").alias("initialFiles"), event.alias("events"), F.sha2("name", 256).alias("trace"),
+    )
+    out.repartition("trace").write.mode("overwrite").partitionBy("trace").json(path)
 
 
 def fixed(x: Column, digits: int) -> Column:
