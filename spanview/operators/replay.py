@@ -45,26 +45,35 @@ def replayed(traces: DataFrame, systems: tuple[str, ...] = replay.SYSTEMS, parse
     return rows.select("name", "repository", "files", "events", "system").mapInArrow(run, schema)
 
 
-def generated(files: DataFrame, first: int, last: int) -> DataFrame:
-    """Traces of lines first to last of each file (name, path, content): one of each family that the region admits, named after the file.
-
-    Files that are null or too short for the region have none.
-    """
+def _generated(files: DataFrame, make) -> DataFrame:
+    """Traces that make(name, path, content) gives of each file (name, path, content)."""
     event = pa.struct([*((n, pa.string()) for n in ("type", "path", "scope")), ("start_line", pa.int32()), ("end_line", pa.int32()), *((n, pa.string()) for n in ("selector", "expected", "replacement", "task")),
                        ("budget", pa.int32()), ("required", pa.list_(pa.struct([(n, pa.string()) for n in ("path", "selector", "sha256")])))])
     schema = pa.schema([("name", pa.string()), ("repository", pa.string()), ("files", pa.map_(pa.string(), pa.string())), ("events", pa.list_(event))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             for r in batch.to_pylist():
-                if r["content"] is None or r["content"].count("\n") + 1 < last:
-                    continue
-                rows = families.generate({r["path"]: r["content"]}, r["path"], first, last, r["name"])
-                yield pa.RecordBatch.from_pylist([{**x, "files": list(x["files"].items())} for x in rows], schema=schema)
+                rows = make(r["name"], r["path"], r["content"]) if r["content"] is not None else []
+                if rows:
+                    yield pa.RecordBatch.from_pylist([{**x, "files": list(x["files"].items())} for x in rows], schema=schema)
 
     return files.select("name", "path", "content").mapInArrow(run, TRACE)
 
 
+def generated(files: DataFrame, first: int, last: int) -> DataFrame:
+    """Traces of lines first to last of each file (name, path, content): one of each family that the region admits, named after the file.
+
+    Files that are null or too short for the region have none.
+    """
+    return _generated(files, lambda name, path, text: families.generate({path: text}, path, first, last, name) if text.count("\n") + 1 >= last else [])
+
+
+def symbol_traces(files: DataFrame) -> DataFrame:
+    """Traces of the symbols of Python files (name, path, content)."""
+    return _generated(files, lambda name, path, text: families.symbol_traces(path, text, name))
+
+
 def events_of(traces: DataFrame) -> DataFrame:
     """(trace, seq, ...) of all events."""
     return traces.select(F.col("name").alias("trace"), F.posexplode("events").alias("seq", "e")).select("trace", "seq", "e.*")

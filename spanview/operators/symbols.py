@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+import signal
 from collections import Counter
 from collections.abc import Iterator
 
@@ -134,15 +135,75 @@ def enumerate_symbols(path: str, source: str) -> dict:
     return {"units": unique, "error": None if unique else "ambiguous" if units else "unresolved"}
 
 
+_INDENTED = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)")
+
+
+def indented_symbols(path: str, source: str) -> dict:
+    """{"units", "error"} of Python by indentation alone: a body goes on to the last line that stands further in than its header.
+
+    An enumerator of its own beside the parser, against which a resolved text is held. Text
+    inside strings of several lines is taken for code.
+    """
+    lines = source.replace("\r\n", "\n").split("\n")
+    depth = [len(x) - len(x.lstrip(" \t")) if x.strip() and not x.lstrip().startswith("#") else None for x in lines]
+    units, open_ = [], []
+    for i, line in enumerate(lines):
+        if depth[i] is None:
+            continue
+        while open_ and open_[-1][0] >= depth[i]:
+            open_.pop()
+        m = _INDENTED.match(line)
+        if m:
+            last = i
+            for j in range(i + 1, len(lines)):
+                if depth[j] is not None and depth[j] <= depth[i]:
+                    break
+                if depth[j] is not None:
+                    last = j
+            in_class = bool(open_) and open_[-1][2] == "class"
+            kind = "class" if m[2] == "class" else "method" if in_class else "function"
+            if not (kind == "method" and m[3] == "__init__"):
+                units.append(_unit(path, "python", "\n".join(lines), kind, m[3], [x[1] for x in open_], i + 1, last + 1))
+            open_.append((depth[i], m[3], m[2]))
+    counts = Counter(u["qualified_selector"] for u in units)
+    unique = [u for u in units if counts[u["qualified_selector"]] == 1]
+    return {"units": unique, "error": None if unique else "ambiguous" if units else "unresolved"}
+
+
+def limited(parse, seconds: float = 10.0, most: int = 16 * 1024 * 1024):
+    """parse(path, text) that raises where it takes longer or gives more than it may. Python workers are processes of their own, and parse in their main thread."""
+
+    def stop(*_) -> None:
+        raise TimeoutError("parser took too long")
+
+    def run(path: str, text: str) -> dict:
+        before = signal.signal(signal.SIGALRM, stop)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            out = parse(path, text)
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+        if sum(len(str(v)) for u in out["units"] for v in u.values()) > most:
+            raise ValueError("parser gave too much")
+        return out
+
+    return run
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """Symbols of files (path, content), one row each; a file without any gives one row with its error."""
     names = ["path", "language", "kind", "selector", "qualified_selector", "start_line", "end_line", "byte_start", "byte_end", "sha256", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parse = limited(enumerate_symbols)
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                out = enumerate_symbols(path, content or "")
+                try:
+                    out = parse(path, content or "")
+                except Exception:  # noqa: BLE001  any failure of the parser is the file's error
+                    out = {"units": [], "error": "isolated-semantic-engine-error"}
                 rows += [{**u, "error": None} for u in out["units"]] or [{"path": path, "language": language(path), "error": out["error"]}]
             yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("start_line", "end_line", "byte_start", "byte_end")})
 

@@ -17,7 +17,7 @@ STREAMS = {"stream_tracked", "stream_delivery", "stream_activity"}
 PYTHON = {
     "select_greedy_budget", "selection_summary", "render_order", "projection_text", "decode_frames", "canonical_payloads", "refresh_counters", "collapse_history", "shell_parse", "shell_stale_dumps", "shell_observed_span",
     "shell_discovery", "fail_open_envelope", "relocate_regions", "relocation_failures", "symbol_table", "symbol_resolve", "trace_replay", "budget_pressure", "document_replay",
-    "redaction", "trace_events", "sampled_traces", "trace_pack", "binding_hash",
+    "redaction", "symbol_pack", "trace_events", "sampled_traces", "trace_pack", "binding_hash",
 }
 
 

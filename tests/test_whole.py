@@ -6,7 +6,7 @@ import random
 import pytest
 
 from spanview import families, registry
-from spanview.operators import ledger, relocate, select
+from spanview.operators import ledger, relocate, select, symbols
 
 SECRETS = ("authorization", "cookie", "api_key", "api-key", "apikey", "token", "secret", "password")
 
@@ -137,3 +137,22 @@ def test_variants_of_families():
     text = "import os\n\n\ndef alpha(x):\n    y = x + 1\n    z = y * 2\n    return z\n\n\ndef beta(x):\n    return x\n"
     names = {t["name"].split("/")[1] for t in families.generate({"a.py": text}, "a.py", 4, 7)}
     assert {"insert-before-unique-last", "delete-fail-close", "duplicate-boundary-markers"} <= names
+
+
+def test_symbols_by_indentation_and_by_the_parser():
+    source = "import os\n\n\nclass A:\n    x = 1\n\n    def m(self):\n        # note\n        if x:\n            return 1\n\n        return 2\n\n    async def n(self): pass\n\n\ndef f(a,\n      b):\n    def g():\n        return 1\n    return g\n# end\n"
+    one, two = symbols.enumerate_symbols("a.py", source)["units"], symbols.indented_symbols("a.py", source)["units"]
+    fields = ("kind", "qualified_selector", "start_line", "end_line", "sha256", "byte_start", "byte_end")
+    assert [[u[f] for f in fields] for u in one] == [[u[f] for f in fields] for u in two] and len(one) == 5
+
+
+def test_a_parser_may_take_so_long_and_give_so_much():
+    def slow(path, text):
+        while True:
+            pass
+
+    with pytest.raises(TimeoutError):
+        symbols.limited(slow, seconds=0.2)("a.py", "")
+    with pytest.raises(ValueError):
+        symbols.limited(symbols.enumerate_symbols, most=10)("a.py", "def f():\n    pass\n")
+    assert symbols.limited(symbols.enumerate_symbols)("a.py", "def f():\n    pass\n")["error"] is None
