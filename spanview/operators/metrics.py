@@ -214,12 +214,20 @@ def recovery_ratio(wanted: DataFrame, found: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("wanted"), F.count("_f").alias("recovered")).withColumn("ratio", ratio(F.col("recovered"), F.col("wanted")))
 
 
-def pareto(systems: DataFrame, cost: str, gain: str) -> DataFrame:
-    """Systems that no other beats in both cost and gain: in order of cost, each that gains more than all cheaper ones."""
-    # Costs are few distinct values of a report; one window orders them.
-    best = systems.groupBy(cost).agg(F.max(gain).alias("_top"))
-    before = F.max("_top").over(Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("_before", before).filter("_before is null or _top > _before")
+def pareto(systems: DataFrame, cost: str, gain: str, buckets: int = 32) -> DataFrame:
+    """Systems that no other beats in both cost and gain: in order of cost, each that gains more than all cheaper ones.
+
+    Costs are dealt into buckets by approximate percentiles, whose number bounds what reaches
+    the driver and what one row's bucket is compared with; each bucket is ordered by itself.
+    """
+    bounds = systems.agg(F.percentile_approx(cost, [i / buckets for i in range(1, buckets)])).first()[0] or []
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(cost))) if bounds else F.lit(0)
+    best = systems.groupBy(cost).agg(F.max(gain).alias("_top")).withColumn("_bucket", place)
+    tops = best.groupBy("_bucket").agg(F.max("_top").alias("_most"))
+    # At most one row a bucket.
+    cheaper = tops.select(F.col("_bucket"), F.max("_most").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_below"))
+    before = F.max("_top").over(Window.partitionBy("_bucket").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+    front = best.withColumn("_before", before).join(cheaper, "_bucket").filter(F.coalesce(F.col("_top") > F.greatest("_before", "_below"), F.lit(True)))
     return systems.join(front.select(cost, F.col("_top").alias(gain)), [cost, gain])
 
 

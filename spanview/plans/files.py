@@ -41,7 +41,7 @@ def state_versions(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     path = scratch(spark, "state")
     for n in range(3):
-        writers.state(c.withColumn("version", F.lit(n)).filter(F.col("c_custkey") % 3 >= n), path)
+        writers.state(c.select("c_custkey", (F.col("c_acctbal") + n).alias("balance"), F.lit(n).alias("version")), path)
     return readers.latest_state(spark, path)
 
 
@@ -78,7 +78,7 @@ ORACLE_SQL = {
     "jsonl_results": "SELECT l_returnflag AS method, count(*) AS n, count(*) FILTER (l_linenumber > 1) AS recalls, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bytes, count(DISTINCT l_orderkey) AS cells FROM lineitem GROUP BY 1",
     "tsv_ledger": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS timestamp, o_orderkey AS "commit", o_orderstatus AS decision, CAST(CASE WHEN o_orderkey % 4 > 0 THEN o_custkey END AS DOUBLE) AS projection_bytes,
 CAST(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 100 END AS DOUBLE) AS train_score, CAST(NULL AS DOUBLE) AS required_recall FROM orders""",
-    "state_versions": "SELECT c_custkey, c_acctbal, 2 AS version FROM customer WHERE c_custkey % 3 >= 2",
+    "state_versions": "SELECT c_custkey, c_acctbal + 2 AS balance, 2 AS version FROM customer",
     "request_lines": "SELECT CASE WHEN turn % 7 < 6 THEN conv_id END AS id, CASE WHEN turn % 7 < 6 THEN role END AS role, CASE WHEN turn % 7 < 6 THEN length(text) END AS chars FROM conversations",
     "report_guard": "SELECT doc_id, doc_id % 5 = 0 OR (doc_id % 3 = 0 AND doc_id % 2 = 0) AS refused FROM documents",
     "binding_hash": """SELECT o_orderkey, sha256('{' || chr(10) || '  "packId": "p' || o_orderkey || '",' || chr(10) || '  "n": ' || o_custkey || chr(10) || '}' || chr(10)) AS binding_sha256 FROM orders""",

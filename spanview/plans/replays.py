@@ -73,8 +73,8 @@ def relocation_failures(spark, sf_dir):
     return relocate.failures(_relocated(spark, sf_dir))
 
 
-def _sources(spark, sf_dir):
-    """Documents as source files: each has the text, line by line, as comments inside a function."""
+def _sources(spark, sf_dir, kind=None):
+    """Documents as source files, of the kind that their number gives or of one kind: each has the text, line by line, as comments inside a function."""
     i = F.col("doc_id").cast("string")
     own = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\x00\x0C]", " "), "\n", -1)
 
@@ -84,13 +84,13 @@ def _sources(spark, sf_dir):
     body = F.concat(F.lit("class C"), i, F.lit(":\n    def m(self):\n        return "), i, F.lit("\n\n\ndef f"), i, F.lit("():\n"), comments("#"), F.lit("\n    pass\n"))
     script = F.concat(F.lit("export function g"), i, F.lit("(a) {\n"), comments("//"), F.lit("\n  return `}` + a;\n}\n"))
     d = table(spark, sf_dir, "documents")
-    kind = F.col("doc_id") % 4
+    kind = F.col("doc_id") % 4 if kind is None else F.lit(kind)
     return d.select("doc_id", F.concat(F.lit("s"), i, F.when(kind == 0, ".py").when(kind == 1, ".js").when(kind == 2, ".txt").otherwise(".ts")).alias("path"), F.when(kind == 0, body).when(kind == 3, F.concat(script, F.lit("{"))).otherwise(script).alias("content"))
 
 
 def symbol_pack(spark, sf_dir):
-    """Every symbol of the Python files read by its name, moved and edited, and found again by the parser: measures of each capture."""
-    files = _sources(spark, sf_dir).filter("path like '%.py'").select(F.col("doc_id").cast("string").alias("name"), "path", "content")
+    """Every symbol of the documents as Python files, read by its name, moved and edited, and found again by the parser: measures of each capture."""
+    files = _sources(spark, sf_dir, 0).select(F.col("doc_id").cast("string").alias("name"), "path", "content")
     out = replay.replayed(replay.symbol_traces(files), ("unit-region",), symbols.limited(symbols.enumerate_symbols))
     return out.select("trace", "capture", "method", "recall", "stale_units", "error")
 
@@ -238,7 +238,7 @@ SELECT path, 'class' AS kind, path || '::C' || doc_id AS qualified_selector, 1 A
 UNION ALL SELECT path, 'function', path || '::f' || doc_id, 6, 7 + n, NULL FROM d WHERE k = 0 UNION ALL SELECT path, 'function', path || '::g' || doc_id, 1, 3 + n, NULL FROM d WHERE k = 1
 UNION ALL SELECT path, NULL, NULL, NULL, NULL, CASE k WHEN 2 THEN 'parser-not-implemented' ELSE 'parse-broken' END FROM d WHERE k > 1""",
     "symbol_resolve": "SELECT CAST(doc_id AS VARCHAR) AS unit_id, CASE WHEN doc_id % 4 = 0 THEN 'resolved' ELSE 'unresolved' END AS state, CASE WHEN doc_id % 4 = 0 THEN 'isolated-semantic-engine' ELSE 'isolated-semantic-engine-unresolved' END AS method, CASE WHEN doc_id % 4 = 0 THEN 6 END AS start_line, CASE WHEN doc_id % 4 = 0 THEN 7 + len(string_split(coalesce(text, ''), chr(10))) END AS end_line FROM documents",
-    "symbol_pack": """WITH d AS (SELECT doc_id, doc_id || '/symbol-interior/s' || doc_id || '.py::' AS t FROM documents WHERE doc_id % 4 = 0), n AS (SELECT t || 'C' || doc_id AS trace FROM d UNION ALL SELECT t || 'C' || doc_id || '::m' FROM d UNION ALL SELECT t || 'f' || doc_id FROM d)
+    "symbol_pack": """WITH d AS (SELECT doc_id, doc_id || '/symbol-interior/s' || doc_id || '.py::' AS t FROM documents), n AS (SELECT t || 'C' || doc_id AS trace FROM d UNION ALL SELECT t || 'C' || doc_id || '::m' FROM d UNION ALL SELECT t || 'f' || doc_id FROM d)
 SELECT trace, c AS capture, 'isolated-semantic-engine' AS method, 1.0 AS recall, 0 AS stale_units, NULL AS error FROM n, (SELECT unnest([0, 1]) AS c)""",
     "stream_tracked": """WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS session, turn AS seq, 'fc_' || left(sha256('src/' || role || chr(0) || 'file' || chr(0) || '1:1'), 16) AS unit_id, 'sha256:' || sha256(text) AS revision FROM conversations),
 l AS (SELECT *, lag(revision) OVER (PARTITION BY session, unit_id ORDER BY seq) AS b FROM r)

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from spanview import families, registry
-from spanview.operators import ledger, relocate, select, symbols
+from spanview.operators import ledger, metrics, relocate, select, symbols
 
 SECRETS = ("authorization", "cookie", "api_key", "api-key", "apikey", "token", "secret", "password")
 
@@ -156,3 +156,12 @@ def test_a_parser_may_take_so_long_and_give_so_much():
     with pytest.raises(ValueError):
         symbols.limited(symbols.enumerate_symbols, most=10)("a.py", "def f():\n    pass\n")
     assert symbols.limited(symbols.enumerate_symbols)("a.py", "def f():\n    pass\n")["error"] is None
+
+
+def test_pareto_by_brute_force(spark):
+    r = random.Random(5)
+    rows = [(i, r.randrange(300) / 7, float(r.randrange(400))) for i in range(500)] + [(500, None, 1.0), (501, 2.0, None)]
+    got = {x.id for x in metrics.pareto(spark.createDataFrame(rows, "id int, cost double, gain double"), "cost", "gain").collect()}
+    whole = [x for x in rows if None not in x]
+    assert got == {i for i, c, g in whole if not any(d <= c and h >= g and (d < c or h > g) for _, d, h in whole)} and len(got) > 2
+    assert metrics.pareto(spark.createDataFrame([], "id int, cost double, gain double"), "cost", "gain").count() == 0
