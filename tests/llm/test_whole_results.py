@@ -16,7 +16,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanview.llm import decontaminate, html_text, language_id, license_scan, packing, secret_scan, warc
+from spanview.llm import decontaminate, embedding_dedup, html_text, language_id, license_scan, packing, secret_scan, simhash, warc
 from spanview.llm.common import new_path, written
 
 DATA, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -376,6 +376,23 @@ def test_pages_whatever_other_columns_are_called(spark):
     assert out.columns == ["page_id", "html", "a.b", "main_text"] and tuple(out.first()) == (1, "<p>x</p>", "y", "x")
 
 
+# 7 ---------------------------------------------------------------------------
+
+
+def test_copies_whatever_other_columns_are_called(spark):
+    names = ["fp", "uid", "row", "component", "best", "no_id", "a.b"]
+    text = " ".join(f"w{i}" for i in range(90))
+    df = spark.createDataFrame([(i, text if i < 4 else f"{i} other {i}", *names) for i in range(7)], ["doc_id", "text", *names])
+    kept = simhash.deduplicated(df)
+    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {0, 4, 5, 6} and tuple(kept.first())[2:] == tuple(names)
+
+
+def test_vectors_whatever_other_columns_are_called(spark):
+    names = ["uid", "k1", "k2", "copies", "least", "block", "component", "n_links"]
+    df = spark.createDataFrame([(i, [1.0, i / 100], 1, *names) for i in range(3)], ["vec_id", "embedding", "label", *names])
+    assert [tuple(x) for x in embedding_dedup.linked(df).orderBy("vec_id").collect()] == [(i, 2, 0, i == 0) for i in range(3)]
+
+
 # 8 ---------------------------------------------------------------------------
 
 
