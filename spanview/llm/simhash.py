@@ -17,7 +17,7 @@ Cases: null, empty or blank texts have fingerprint zero and link like any others
 fewer words than a shingle are one shingle. Repeated rows and equal texts share a fingerprint.
 Rows without doc_id get a fingerprint, and the smallest id of their group; null where the
 group has none. Ties for the document that stays go to the smaller id, then the
-row read first. Empty tables give empty results. Other columns pass through.
+row read first. Empty tables give empty results. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import spread, table, written
+from .common import numbered, spread, table, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -287,17 +287,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest doc_id."""
-    names = docs.columns
     # Row ids and fingerprints are fixed by writing them beside the rows; the texts are hashed once.
-    rows = written(
-        docs.select(F.struct(*names).alias("row"), fingerprint_of(F.col("text").cast("binary")).alias("fp"), F.monotonically_increasing_id().alias("uid")),
-        "simhash-rows",
-    )
-    rank = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), F.col("uid").alias("uid"))
+    rows, back = numbered(docs, fp=fingerprint_of(F.col("text").cast("binary")), uid=F.monotonically_increasing_id(), doc=F.col("doc_id"))
+    rows = written(rows, "simhash-rows")
+    rank = F.struct(F.col("doc").isNull().alias("no_id"), F.col("doc"), F.col("uid"))
     best = rows.groupBy("fp").agg(F.min(rank).alias("best"))
     named = best.join(classes(rows), "fp", "left")
     stay = named.groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"))
-    return rows.join(stay, "uid", "left_semi").select("row.*")
+    return rows.join(stay, "uid", "left_semi").select(*back)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
