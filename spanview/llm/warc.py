@@ -216,5 +216,6 @@ def resolved(read: DataFrame) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    out = resolved(read_archives(spark, path))
+    # Written, as responses and revisits are looked at apart; the archives are parsed once.
+    out = resolved(written(read_archives(spark, path), "warc-read"))
     return out.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
