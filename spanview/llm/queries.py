@@ -11,6 +11,7 @@ from .mixing import op6_mixing
 from .packing import op2_packing
 from .secret_scan import op10_secret_scan, secret_sql
 from .simhash import op7_simhash
+from .spelling import op11_spelling, spelling_sql
 from .warc import op9_warc
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
+    "op11_spelling": op11_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -36,6 +38,7 @@ least AS (SELECT a, min(r) AS c FROM reach GROUP BY a), n AS (SELECT a, count(*)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id""",
     "op8_license_scan": license_sql(),
     "op10_secret_scan": secret_sql(),
+    "op11_spelling": spelling_sql(),
     "op9_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
 n AS (SELECT page_id, d, CAST(strlen(h) AS BIGINT) AS b, list_transform(range(8), lambda i: list_reduce(list_transform(range(5), lambda j: strpos('0123456789abcdef', substr(d, 5 * i + j + 1, 1)) - 1), lambda x, y: 16 * x + y)) AS v FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY d, b) AS o FROM n)
