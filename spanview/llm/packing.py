@@ -19,7 +19,7 @@ its memory is bounded, and a lost task packs the same rows again. Rows are not c
 one window into the next; a window is some thousand rows, so that few of them have space
 left. Files of records have FILE_BYTES at most.
 
-Cases: null and empty texts are an end mark alone. Texts are encoded whole, however long.
+Cases: null and empty texts are an end mark alone. Texts are encoded whole, however long, runs of millions of spaces, letters or signs too (tokens.py).
 Ties of length go to the earlier document, ties of free space to the row opened last.
 Repeated rows are packed again; rows without doc_id have a null in segments. An empty table
 gives no rows, and files without records. Other columns are not read, whatever their names.
@@ -28,21 +28,18 @@ Every machine must have the vocabulary file under the path that is a parameter.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .tokens import TOKENIZERS, ByteBPE, byte_bpe
 
-TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
-#: How the vocabulary's authors split text before merging.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 50_256
 LENGTH, WINDOW_TOKENS, FILE_BYTES = 2_048, 2_000_000, 64_000_000
 
@@ -104,21 +101,9 @@ def best_fit_decreasing(lengths: list[int], most: int) -> list[list[int]]:
     return bins
 
 
-_encoders: dict[str, tiktoken.Encoding] = {}
-
-
-def encoder(tokenizers: str = TOKENIZERS) -> tiktoken.Encoding:
-    path = f"{tokenizers}/{VOCABULARY}"
-    if path not in _encoders:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
-
-
-def tokens(text: str | None, known: tiktoken.Encoding) -> np.ndarray:
+def tokens(text: str | None, known: ByteBPE) -> np.ndarray:
     """Ids of the whole text and the end mark."""
-    return np.array([*known.encode_ordinary(text or ""), END], dtype="<u2")
+    return np.append(known.encode(text or ""), np.array([END], dtype="<u2"))
 
 
 def _row(shard: int, number: int, parts: list[tuple], length: int) -> dict:
@@ -157,7 +142,7 @@ def packed(docs: DataFrame, length: int = LENGTH, tokenizers: str = TOKENIZERS,
     """Packed rows of docs (doc_id, text); shard and row together name a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, shard = encoder(tokenizers), TaskContext.get().partitionId()
+        known, shard = byte_bpe(f"{tokenizers}/{VOCABULARY}"), TaskContext.get().partitionId()
 
         def ids() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in batches:

@@ -121,7 +121,7 @@ def test_packing_is_lossless(spark):
     texts = ["short", None, "", "wörd 語 😀 " * 900, "same", "same", "x" * 5000] + [f"text number {i} " * (i % 30) for i in range(80)]
     df = spark.createDataFrame([(i if i != 2 else None, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, ids string")
     rows = packing.packed(df, length=128, window=2000).collect()
-    known, parts = packing.encoder(), {}
+    known, parts = packing.byte_bpe(f"{packing.TOKENIZERS}/{packing.VOCABULARY}"), {}
     for r in rows:
         ids = np.frombuffer(r.ids, dtype="<u2")
         assert len(ids) == 128 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and r.resets == r.cu_seqlens[:-1] and set(ids[r.n_tokens :]) <= {packing.END}
@@ -130,7 +130,7 @@ def test_packing_is_lossless(spark):
             parts.setdefault(s.doc_id, []).append((s["first"], ids[a:b].tolist()))
     for i, t in enumerate(texts):
         ids = [x for _, part in sorted(parts[i if i != 2 else None]) for x in part]
-        assert ids[-1] == packing.END and known.decode(ids[:-1]) == (t or "")
+        assert ids[-1] == packing.END and known.encoding.decode(ids[:-1]) == (t or "")
     assert len({(r.shard, r.row) for r in rows}) == len(rows)
     assert packing.packed(df.limit(0)).count() == 0
 
@@ -534,7 +534,7 @@ def test_pipeline_stages_by_brute_force(spark):
     assert {x.doc_id for x in three.collect()} == kept - {201}
     words = sum(len(x.text.split()) for x in three.collect())
     assert abs(sum(len(x.text.split()) for x in four.collect()) - words) <= mixing.BLOCK_WORDS
-    assert sum(x.n_tokens for x in five.collect()) == sum(len(packing.tokens(x.text, packing.encoder())) for x in four.collect())
+    assert sum(x.n_tokens for x in five.collect()) == sum(len(packing.tokens(x.text, packing.byte_bpe(f"{packing.TOKENIZERS}/{packing.VOCABULARY}"))) for x in four.collect())
     assert corpus_pipeline.run(spark, path).count() == five.count()
 
 

@@ -44,8 +44,8 @@ def test_matrices_are_written_and_read_back(spark, monkeypatch):
     for x in got:
         for a, s in zip(x.cu_seqlens, x.segments):
             parts.setdefault(s.doc_id, []).append((s["first"], ids[key(x)][a : a + s.n].tolist()))
-    known = packing.encoder()
-    assert {i: known.decode([t for _, p in sorted(parts[i]) for t in p][:-1]) for i in parts} == texts
+    known = packing.byte_bpe(f"{packing.TOKENIZERS}/{packing.VOCABULARY}")
+    assert {i: known.encoding.decode([t for _, p in sorted(parts[i]) for t in p][:-1]) for i in parts} == texts
     empty = new_path(spark, "m")
     packing.write_matrices(rows.limit(0), empty, 64)
     assert packing.read_matrices(spark, empty, 64).count() == 0
