@@ -7,6 +7,7 @@ from .embedding_dedup import op1_embedding_dedup
 from .html_text import op5_html_text
 from .language_id import op3_language_id
 from .license_scan import license_sql, op8_license_scan
+from .lp_packing import op12_lp_packing
 from .mixing import op6_mixing
 from .packing import op2_packing
 from .secret_scan import op10_secret_scan, secret_sql
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
     "op11_spelling": op11_spelling,
+    "op12_lp_packing": op12_lp_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
