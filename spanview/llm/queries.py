@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .decontaminate import op4_decontamination
 from .embedding_dedup import op1_embedding_dedup
 from .html_text import op5_html_text
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_spelling": op11_spelling,
     "op12_lp_packing": op12_lp_packing,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
