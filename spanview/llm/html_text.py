@@ -5,8 +5,10 @@ grows against that of the body. A node's density sum adds up the densities of it
 children. The threshold is the smallest density on the path from the body to the node of
 the largest density sum. That node, widened to its ancestors while all that stands beside it
 reaches the threshold, belongs to the article, and so does every other subtree of the body
-that reaches the threshold, with the headings above what is kept. Text and inline elements
-between blocks count as a block of their own.
+that reaches the threshold, with the headings above what is kept. Beside it, short parts that are
+not mostly links belong to it as well where it and they stand under one heading in one element. Text and
+inline elements between blocks count as a block of their own. A list of links is left out where it
+stands outside an article element.
 
 Furniture (menus, adverts, forms, comments) counts no text, is left out, and neither it nor
 what is inside it can be the densest part. Elements and roles decide; a class or id only
@@ -304,12 +306,22 @@ def _content(body: Node) -> tuple[list[Node], float]:
     # Headings and parts beside the densest part belong to the article while they reach the threshold themselves.
     while top is not body and (p := top.parent) is not None and p is not body:
         beside = [x for x in p.children if isinstance(x, Node) and x is not top and x.chars and not _left_out(x, threshold) and x.name not in HEADINGS]
-        if p.name != "article" and any(x.density < threshold for x in beside):
+        if p.name != "article" and any(x.density < threshold and (x.link_chars > LINKED * x.chars or not _headed(p, top)) for x in beside):
             break
         top = p
     return _kept(body, nodes, top, threshold), threshold
 
 
+def _headed(n: Node, top: Node) -> bool:
+    """Whether n holds a heading right before top or other parts: then these are one article, however short some are."""
+    for x in n.children:
+        if x is top:
+            return False
+        if isinstance(x, Node) and x.chars and (_rank(x) if x.name in HEADINGS else 0):
+            return True
+    return False
+
+
 def _rank(n: Node) -> int:
     """1 to 6 of a heading; 0 of what else stands with headings."""
     return int(n.name[1]) if n.name[0] == "h" and n.name[1:].isdigit() else 0
@@ -377,7 +389,8 @@ def _kept(body: Node, nodes: list[Node], top: Node, threshold: float) -> list[No
 
 
 def _is_link_list(n: Node, threshold: float) -> bool:
-    return n.link_tags > 1 and n.density < threshold and n.link_chars > 0.9 * n.chars and n.name in ("ul", "ol", "div", "section", "table")
+    """Whether a part outside articles is nothing but links; inside one, such a list is of references, and only names and elements leave it out."""
+    return not n.in_article and n.link_tags > 1 and n.density < threshold and n.link_chars > 0.9 * n.chars and n.name in ("ul", "ol", "div", "section", "table")
 
 
 def _blocks(top: Node, threshold: float) -> list[str]:

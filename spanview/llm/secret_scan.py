@@ -70,8 +70,10 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     """spans without the weak ones whose complements are not in scope."""
-    order = Window.partitionBy("uid").orderBy("start", "end", "kind")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # Both frames grow from the first row, so that a row costs one step; what follows is seen in the reversed order.
+    grows = (Window.unboundedPreceding, -1)
+    before = Window.partitionBy("uid").orderBy("start", "end", "kind").rowsBetween(*grows)
+    after = Window.partitionBy("uid").orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(*grows)
 
     def near(kinds: tuple[int, ...]) -> Column:
         mine = F.col("kind").isin(*kinds)
