@@ -149,12 +149,14 @@ def pruned(messages: DataFrame, dropped: DataFrame, replaced: DataFrame) -> Data
     """
     keys = ["session", "call_id"]
     gone = dropped.select(*keys).distinct().join(replaced.select(*keys), keys, "left_anti")
-    by_session = gone.groupBy("session").agg(F.collect_set("call_id").alias("_gone"))
+    # The dropped calls of one message, by a row for each call that it makes; a session's are never gathered.
+    made = messages.filter(F.size("tool_calls") > 0).select("session", "seq", F.explode("tool_calls.id").alias("call_id"))
+    of_message = made.join(gone, keys).groupBy("session", "seq").agg(F.collect_set("call_id").alias("_gone"))
     marks = replaced.groupBy(*keys).agg(F.min("marker").alias("_marker"))
-    out = messages.join(by_session, "session", "left").join(marks, keys, "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<string>")))
-    out = out.filter(~((F.col("role") == "tool") & F.array_contains("_gone", F.coalesce("call_id", F.lit("")))))
+    results = messages.filter(F.col("role") == "tool").join(gone, keys, "left_anti").select(*messages.columns)
+    out = results.unionByName(messages.filter(~F.col("role").eqNullSafe("tool"))).join(of_message, ["session", "seq"], "left").join(marks, keys, "left")
     had = F.size("tool_calls") > 0
-    left = F.filter("tool_calls", lambda c: ~F.array_contains("_gone", c["id"]))
+    left = F.when(F.col("_gone").isNull(), F.col("tool_calls")).otherwise(F.filter("tool_calls", lambda c: ~F.array_contains("_gone", c["id"])))
     out = out.withColumns({"_had": F.coalesce(had, F.lit(False)), "tool_calls": left, "text": F.coalesce("_marker", "text")})
     says = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
     return out.filter(~((F.col("role") == "assistant") & F.col("_had") & (F.size("tool_calls") == 0) & ~says)).drop("_gone", "_marker", "_had")
@@ -267,8 +269,9 @@ def acknowledged(deliveries: DataFrame) -> DataFrame:
     deliveries: (session, seq, kind, unit_id, revision), kind one of pending, sent, completed,
     failed. The first event after a pending one that isn't pending itself settles it.
     """
-    order = Window.partitionBy("session").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    following = F.first(F.when(F.col("kind") != "pending", F.col("kind")), ignorenulls=True).over(order)
+    # Read backwards, the frame grows by a row at each step.
+    order = Window.partitionBy("session").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last(F.when(F.col("kind") != "pending", F.col("kind")), ignorenulls=True).over(order)
     rows = deliveries.withColumn("next", following).filter("kind = 'pending'")
     outcome = F.when(F.col("next").isin("sent", "completed"), "committed").when(F.col("next").isNotNull(), "discarded").otherwise("pending")
     return rows.select("session", "seq", "unit_id", "revision", outcome.alias("outcome"))
