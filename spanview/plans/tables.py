@@ -6,13 +6,12 @@ of a session, one a user; conversations are transcripts; benchmark items are req
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ids, text
+from ..shared import scratch as scratch
 
 TASK, TURN, BUDGET = "review the context and restore the working state of this thing", 9, 12_000
 
@@ -51,17 +50,6 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and the executors share (spark.checkpoint.dir); it goes when the driver ends. Only one machine does without the setting."""
-    top, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if not top and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-    path = f"{top or '/tmp/checkpoints'}/spanview-{name}/{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 #: The same in SQL.
 UNITS_SQL = """
 units AS (

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from .plans import files, measures, replays, selection, sessions
+    from .plans import files, measures, replays, selection, sessions, snapshots
 
-    return [selection, sessions, measures, replays, files]
+    return [selection, sessions, measures, replays, files, snapshots]
 
 
 def queries() -> dict:
