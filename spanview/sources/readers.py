@@ -6,6 +6,10 @@ executors, from any file system that Spark reaches.
 
 from __future__ import annotations
 
+import os
+from urllib.parse import unquote, urlsplit
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,16 +48,48 @@ def unsafe_path(path: Column) -> Column:
     return F.startswith(path, F.lit("/")) | path.rlike(r"^[A-Za-z]:") | F.arrays_overlap(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1), F.array(F.lit("..")))
 
 
-def workspace(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
-    """(path, content) of the text files under root, with LF line ends. With a limit in bytes, larger files and those with NUL are left out."""
+def _in_place(root: str, links: str) -> Column:
+    """Whether a file is where its path says (refuse), or at least under root (contain). Asked where the file is read, as only its machine sees its links."""
+
+    def local(uri: str) -> str:
+        return unquote(urlsplit(uri).path) if uri.startswith("file:") else uri
+
+    @F.pandas_udf("boolean")
+    def asked(uris: pd.Series) -> pd.Series:
+        top = os.path.realpath(local(root))
+
+        def ok(uri: str) -> bool:
+            path = local(uri)
+            real = os.path.realpath(path)
+            if links == "refuse":
+                return real == os.path.join(top, os.path.relpath(path, os.path.abspath(local(root))))
+            return os.path.commonpath([real, top]) == top
+
+        return uris.map(ok)
+
+    return asked(F.col("_metadata.file_path"))
+
+
+def workspace(spark: SparkSession, root: str, limit: int | None = None, links: str = "refuse") -> DataFrame:
+    """(path, content) of the text files under root, with LF line ends. With a limit in bytes, larger files and those with NUL are left out.
+
+    links: refuse leaves out what is reached through a symbolic link, contain what such a link leads out of root; follow takes
+    all. Only file systems of machines have such links; other stores are read as they are.
+    """
+    if links not in ("refuse", "contain", "follow"):
+        raise ValueError(f"links must be refuse, contain or follow, not {links}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if links != "follow" and where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
+        files = files.filter(_in_place(root, links))
     files = files.filter(F.col("length") <= limit) if limit else files
     out = files.select(_relative(root).alias("path"), text.unix_lines(F.decode("content", "UTF-8")).alias("content"))
     return out.filter(~F.contains("content", F.lit("\0"))) if limit else out
 
 
 def live_files(spark: SparkSession, root: str) -> DataFrame:
-    return workspace(spark, root, LIVE_LIMIT)
+    """Files that a live session may read: small ones that really are under root."""
+    return workspace(spark, root, LIVE_LIMIT, "contain")
 
 
 def source_walk(spark: SparkSession, root: str) -> DataFrame:

@@ -108,3 +108,30 @@ def test_lexically(spark, path, safe):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(ln.lexically_safe(F.lit(path))).first()[0] is safe
+
+
+def test_readers_refuse_or_contain_links(spark, tmp_path):
+    from spanview.sources import readers
+
+    root = tmp_path / "work space"
+    (root / "a/b").mkdir(parents=True)
+    (tmp_path / "out").mkdir()
+    (root / "a/b/f é.txt").write_text("f")
+    (root / "g.txt").write_text("g")
+    (tmp_path / "out/secret.txt").write_text("s")
+    os.symlink("a/b/f é.txt", root / "inside")
+    os.symlink("a", root / "folder")
+    os.symlink("../out", root / "away")
+    os.symlink("../out/secret.txt", root / "leak")
+    os.symlink(root, tmp_path / "alias")
+    plain = {"a/b/f é.txt", "g.txt"}
+
+    def paths(df):
+        return {x.path for x in df.collect()}
+
+    assert paths(readers.workspace(spark, str(root))) == plain
+    assert paths(readers.workspace(spark, str(tmp_path / "alias"))) == plain
+    assert paths(readers.live_files(spark, str(root))) == plain | {"inside", "folder/b/f é.txt"}
+    assert paths(readers.workspace(spark, str(root), links="follow")) == plain | {"inside", "folder/b/f é.txt", "away/secret.txt", "leak"}
+    with pytest.raises(ValueError):
+        readers.workspace(spark, str(root), links="maybe")
