@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from .plans import files, measures, replays, selection, sessions, snapshots
+    from .plans import files, measures, replays, selection, sessions, snapshots, streams
 
-    return [selection, sessions, measures, replays, files, snapshots]
+    return [selection, sessions, measures, replays, files, snapshots, streams]
 
 
 def queries() -> dict:
