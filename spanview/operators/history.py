@@ -20,7 +20,7 @@ PRECEDENCE = ("selected", "budget", "unresolved")
 
 
 def read_marker(unit_id: Column, path: Column) -> Column:
-    return F.concat(F.lit("[span:"), unit_id, F.lit(" path="), path, F.lit("] Current content is supplied in the live projection."))
+    return F.concat(F.lit("[span:"), unit_id, F.lit(" path="), path, F.lit("] Its text as it is now stands in the context below."))
 
 
 def rewritten(messages: DataFrame, units: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def path_dispositions(units: DataFrame) -> DataFrame:
 
 
 def omitted_marker(path: Column, disposition: Column) -> Column:
-    reason = F.when(disposition == "budget", "Current content was omitted from the live projection for budget.").otherwise("Current content is not supplied in the live projection.")
+    reason = F.when(disposition == "budget", "Its text did not fit into the budget of this context.").otherwise("Its text is not part of this context.")
     return F.concat(F.lit("[span:omitted-read path="), path, F.lit("] "), reason)
 
 
@@ -81,20 +81,20 @@ def dump_marker(paths: Column, dispositions: Column, untracked: Column) -> Colum
     """Marker in place of a shell dump of tracked paths; dispositions is aligned with paths, null where there is none."""
     kind = F.get(dispositions, F.lit(0))
     one = (
-        F.when(kind == "selected", "Current content is supplied in the live projection.")
-        .when(kind == "budget", "Current content was omitted from the live projection for budget.")
-        .when(kind == "unresolved", "Current content is not supplied because the tracked unit is unresolved.")
-        .otherwise("Current content is not supplied in the live projection.")
+        F.when(kind == "selected", "Its text as it is now stands in the context below.")
+        .when(kind == "budget", "Its text did not fit into the budget of this context.")
+        .when(kind == "unresolved", "Its text is not shown, as the unit has not been found again.")
+        .otherwise("Its text is not part of this context.")
     )
     each = F.array_join(F.zip_with(paths, dispositions, lambda p, d: F.concat(p, F.lit("="), F.coalesce(d, F.lit("absent")))), "; ")
-    many = F.concat(F.lit("[span:stale-dump paths="), F.array_join(paths, ", "), F.lit("] Per-path live projection status: "), each, F.lit("."))
+    many = F.concat(F.lit("[span:stale-dump paths="), F.array_join(paths, ", "), F.lit("] What the context has of each path: "), each, F.lit("."))
     body = F.when(F.size(paths) == 1, F.concat(F.lit("[span:stale-dump path="), F.get(paths, F.lit(0)), F.lit("] "), one)).otherwise(many)
-    rest = F.concat(F.lit(" Untracked named paths are not supplied: "), F.array_join(untracked, ", "), F.lit("."))
+    rest = F.concat(F.lit(" Paths named there that nobody tracks: "), F.array_join(untracked, ", "), F.lit("."))
     return F.concat(body, F.when(F.size(untracked) > 0, rest).otherwise(""))
 
 
 def served_marker(units: Column, current: bool) -> Column:
-    tail = "Current tracked content was already served and disk is unchanged." if current else "Historical projection omitted; see latest live projection below."
+    tail = "All tracked text was shown before and no file has changed since." if current else "An older context stood here; the newest one follows below."
     return F.concat(F.lit("[span:already-served units="), units.cast("string"), F.lit(f"] {tail}"))
 
 

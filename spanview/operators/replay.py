@@ -109,7 +109,7 @@ def baseline_payloads(reads: DataFrame, captures: DataFrame, files: DataFrame) -
     """
     shown = reads.groupBy("trace").agg(
         F.array_sort(F.collect_list(F.struct("seq", F.col("content").alias("t")))).alias("raw"),
-        F.array_sort(F.collect_list(F.struct("seq", F.concat(F.lit("[observation-mask:"), "path", F.lit("] Historical read masked; no live projection supplied.")).alias("t")))).alias("mask"),
+        F.array_sort(F.collect_list(F.struct("seq", F.concat(F.lit("[observation-mask:"), "path", F.lit("] An earlier read stood here; this system shows no text instead.")).alias("t")))).alias("mask"),
         F.array_sort(F.collect_list(F.struct("seq", F.concat(F.lit("sync: "), "path").alias("t")))).alias("sync"),
     )
     synced = reads.select("trace", "path").distinct().join(files, ["trace", "path"]).groupBy("trace").agg(F.array_sort(F.collect_list(F.struct("path", F.concat(F.lit('[whole-file path="'), "path", F.lit('"]\n'), "content").alias("t")))).alias("now"))
@@ -126,8 +126,8 @@ def baseline_payloads(reads: DataFrame, captures: DataFrame, files: DataFrame) -
 
 def under_pressure(traces: DataFrame, budget: int = 4_000, fillers: int = 4, lines: int = 120) -> DataFrame:
     """traces with filler files read first and the budget of each capture overridden."""
-    names = [f"lab/filler/filler-{i:03d}.dat" for i in range(1, fillers + 1)]
-    texts = ["".join(f"# budget-pressure-filler-{i} {n}\n" for n in range(lines)) for i in range(1, fillers + 1)]
+    names = [f"extra/load-{i}.txt" for i in range(1, fillers + 1)]
+    texts = ["".join(f"load {i}, line {n}\n" for n in range(lines)) for i in range(1, fillers + 1)]
     extra = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, texts)))
 
     def event(path: str) -> Column:

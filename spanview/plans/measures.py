@@ -472,7 +472,7 @@ SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN now WHEN n[1] = l[1] OR len(
     "replace_exact": "SELECT doc_id, CASE WHEN instr(text, 'th') > 0 THEN sha256(substr(text, 1, instr(text, 'th') - 1) || '[$1]' || substr(text, instr(text, 'th') + 2)) END AS text_sha256 FROM documents",
     "baseline_payloads": f"""WITH {READS_SQL}, r AS (SELECT session AS trace, seq, path, content FROM reads), n AS (SELECT trace, path, arg_max(content, seq) AS content FROM r WHERE path <> 'src/f3.py' GROUP BY trace, path),
 m AS (SELECT trace, string_agg('[whole-file path="' || path || '"]' || chr(10) || content, chr(10) || chr(10) ORDER BY path) AS now FROM n GROUP BY trace),
-a AS (SELECT trace, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS raw, string_agg('[observation-mask:' || path || '] Historical read masked; no live projection supplied.', chr(10) || chr(10) ORDER BY seq) AS mask, string_agg('sync: ' || path, chr(10) || chr(10) ORDER BY seq) AS sync FROM r GROUP BY trace)
+a AS (SELECT trace, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS raw, string_agg('[observation-mask:' || path || '] An earlier read stood here; this system shows no text instead.', chr(10) || chr(10) ORDER BY seq) AS mask, string_agg('sync: ' || path, chr(10) || chr(10) ORDER BY seq) AS sync FROM r GROUP BY trace)
 SELECT trace, 'append-only' AS system, sha256(raw || chr(10) || chr(10) || 'TASK: go') AS payload_sha256 FROM a UNION ALL SELECT trace, 'observation-mask', sha256(mask || chr(10) || chr(10) || 'TASK: go') FROM a
 UNION ALL SELECT a.trace, 'whole-file', sha256(sync || chr(10) || chr(10) || 'TASK: go' || coalesce(chr(10) || chr(10) || now, '')) FROM a LEFT JOIN m ON m.trace = a.trace""",
     "markdown_cells": "SELECT n_nationkey, 0 AS row, 'name' AS column, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 0, 'key', CAST(n_nationkey AS VARCHAR) FROM nation",

@@ -166,7 +166,7 @@ SELECT doc_id, coalesce(f[1], '') AS first, coalesce(f[-1], '') AS last, CAST(en
     "projection_text": f"""{_CHOSEN}, p AS (
   SELECT session, list({_FRAME} ORDER BY change_count, unit_id) FILTER (disposition = 'selected') AS f, count(*) FILTER (disposition = 'unresolved') AS u, count(*) FILTER (disposition = 'budget') AS b FROM chosen GROUP BY session),
 t AS (SELECT session, array_to_string(list_concat(['<span-context turn="{TURN}" selected="' || len(coalesce(f, [])) || '" unresolved="' || u || '" budget-omitted="' || b || '">' ||
-  CASE WHEN len(coalesce(f, [])) > 0 THEN 'The following code is the current workspace state. Historical read markers refer here.' ELSE '' END], coalesce(f, []), ['</span-context>']), chr(10)) AS text FROM p)
+  CASE WHEN len(coalesce(f, [])) > 0 THEN 'Files as they are now. Marks left by earlier reads point to this list.' ELSE '' END], coalesce(f, []), ['</span-context>']), chr(10)) AS text FROM p)
 SELECT session, sha256(text) AS text_sha256, CAST(strlen(text) AS BIGINT) AS bytes FROM t""",
     "decode_frames": f"{_CHOSEN} SELECT session, unit_id, path, CAST(strlen(content) AS BIGINT) AS content_bytes, sha256(content) AS sha256 FROM chosen WHERE disposition = 'selected'",
     "budget_resolution": """SELECT doc_id, CAST(CASE WHEN n_chars % 7 = 0 AND n_chars * 3 > 0 THEN n_chars * 3 WHEN n_chars % 5 = 0 AND n_chars > 0 THEN n_chars

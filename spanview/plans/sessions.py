@@ -301,7 +301,7 @@ SELECT c.session, c.capture, w.path, arg_max({{'c': CASE WHEN deleted THEN NULL
 r AS (SELECT c.*, 'sha256:' || sha256(f.now) AS nr FROM cur c JOIN f USING (session, path) WHERE scope = 'file')
 SELECT session, unit_id, 'resolved' AS state, 'whole-file' AS method, nr AS revision, change_count + CASE WHEN nr <> revision THEN 1 ELSE 0 END AS change_count, CASE WHEN nr <> revision THEN 10000 ELSE changed_at END AS changed_at FROM r""",
     "marker_rewrite": """WITH k AS (SELECT DISTINCT conv_id, 'u' || (turn % 5) AS u FROM conversations WHERE turn % 3 = 0)
-SELECT c.conv_id AS session, c.turn AS seq, sha256(CASE WHEN k.u IS NOT NULL THEN '[span:' || k.u || ' path=src/' || k.u || '.py] Current content is supplied in the live projection.' ELSE text END) AS text_sha256
+SELECT c.conv_id AS session, c.turn AS seq, sha256(CASE WHEN k.u IS NOT NULL THEN '[span:' || k.u || ' path=src/' || k.u || '.py] Its text as it is now stands in the context below.' ELSE text END) AS text_sha256
 FROM conversations c LEFT JOIN k ON k.conv_id = c.conv_id AND k.u = 'u' || (c.turn % 5)""",
     "text_flatten": """SELECT conv_id, turn, sha256(CASE WHEN turn % 2 = 0 THEN text ELSE text || chr(10) || role END) AS flat, CASE WHEN turn % 2 <> 0 THEN sha256(text || chr(10) || role) END AS only FROM conversations""",
     "tool_call_extract": "SELECT conv_id AS session, turn AS seq, CASE WHEN turn % 4 = 1 THEN 't' ELSE 'p' END || turn AS call_id, CASE WHEN turn % 4 = 1 THEN 'read' ELSE 'bash' END AS tool FROM conversations WHERE role = 'assistant'",
@@ -309,17 +309,17 @@ FROM conversations c LEFT JOIN k ON k.conv_id = c.conv_id AND k.u = 'u' || (c.tu
     "unserved_calls": f"WITH {_TRACKED} SELECT DISTINCT session, call_id FROM identified JOIN disp USING (session, unit_id) WHERE kind <> 'view' AND disposition = 'budget'",
     "call_disposition": f"WITH {_TRACKED} SELECT i.session, call_id, d.path, disposition FROM identified i JOIN disp d USING (session, unit_id)",
     "disposition_by_path": f"WITH {_PATHS} SELECT * FROM pd",
-    "omitted_markers": f"""WITH {_TRACKED} SELECT session, unit_id, '[span:omitted-read path=' || path || '] ' || CASE disposition WHEN 'budget' THEN 'Current content was omitted from the live projection for budget.' ELSE 'Current content is not supplied in the live projection.' END AS marker
+    "omitted_markers": f"""WITH {_TRACKED} SELECT session, unit_id, '[span:omitted-read path=' || path || '] ' || CASE disposition WHEN 'budget' THEN 'Its text did not fit into the budget of this context.' ELSE 'Its text is not part of this context.' END AS marker
 FROM disp WHERE disposition <> 'selected'""",
     "dump_markers": f"""WITH {_PATHS}, s AS (SELECT session, list(path ORDER BY path) AS p, list(disposition ORDER BY path) AS d FROM pd WHERE path IN ('src/f1.py', 'src/f2.py') GROUP BY session)
-SELECT session, CASE WHEN len(p) = 1 THEN '[span:stale-dump path=' || p[1] || '] ' || CASE d[1] WHEN 'selected' THEN 'Current content is supplied in the live projection.' WHEN 'budget' THEN 'Current content was omitted from the live projection for budget.' ELSE 'Current content is not supplied because the tracked unit is unresolved.' END
-  ELSE '[span:stale-dump paths=' || array_to_string(p, ', ') || '] Per-path live projection status: ' || p[1] || '=' || d[1] || '; ' || p[2] || '=' || d[2] || '.' END || CASE WHEN session % 2 = 0 THEN ' Untracked named paths are not supplied: x.txt.' ELSE '' END AS marker FROM s""",
+SELECT session, CASE WHEN len(p) = 1 THEN '[span:stale-dump path=' || p[1] || '] ' || CASE d[1] WHEN 'selected' THEN 'Its text as it is now stands in the context below.' WHEN 'budget' THEN 'Its text did not fit into the budget of this context.' ELSE 'Its text is not shown, as the unit has not been found again.' END
+  ELSE '[span:stale-dump paths=' || array_to_string(p, ', ') || '] What the context has of each path: ' || p[1] || '=' || d[1] || '; ' || p[2] || '=' || d[2] || '.' END || CASE WHEN session % 2 = 0 THEN ' Paths named there that nobody tracks: x.txt.' ELSE '' END AS marker FROM s""",
     "prune_pairs": """WITH m AS (SELECT conv_id AS session, turn AS seq, 't' || (turn // 2) AS call, turn % 2 = 1 AS tool, CASE WHEN turn % 4 = 0 THEN '' ELSE text END AS text FROM conversations),
 r AS (SELECT session, call, seq FROM m WHERE tool), rep AS (SELECT session, call FROM r WHERE seq % 5 = 0),
 gone AS (SELECT session, call FROM r WHERE session % 2 = 0 AND seq % 3 = 0 AND (session, call) NOT IN (SELECT (session, call) FROM rep)),
 j AS (SELECT m.*, g.call IS NOT NULL AS is_gone, rep.call IS NOT NULL AS is_rep FROM m LEFT JOIN gone g ON g.session = m.session AND g.call = m.call LEFT JOIN rep ON rep.session = m.session AND rep.call = m.call)
 SELECT session, seq, CAST(CASE WHEN tool OR is_gone THEN 0 ELSE 1 END AS BIGINT) AS calls, sha256(CASE WHEN tool AND is_rep THEN '[gone]' ELSE text END) AS text_sha256 FROM j WHERE NOT (tool AND is_gone) AND NOT (NOT tool AND is_gone AND trim(text) = '')""",
-    "collapse_history": """SELECT conv_id AS session, turn AS seq, sha256(CASE WHEN role = 'user' AND turn % 2 = 0 THEN '[span:already-served units=1] Historical projection omitted; see latest live projection below.'
+    "collapse_history": """SELECT conv_id AS session, turn AS seq, sha256(CASE WHEN role = 'user' AND turn % 2 = 0 THEN '[span:already-served units=1] An older context stood here; the newest one follows below.'
   WHEN turn % 2 = 0 THEN '<span-context turn="1">' || chr(10) || '<span-unit id="a" content-bytes="' || strlen(text) || '">' || chr(10) || text || chr(10) || '</span-unit>' || chr(10) || '</span-context>' ELSE text END) AS text_sha256 FROM conversations""",
     "collapse_decision": f"""WITH {_TRACKED}, s AS (SELECT conv_id % 100 AS session, count(*) FILTER (role = 'user') AS users FROM conversations GROUP BY 1),
 u AS (SELECT session, count(*) AS n, count(*) FILTER (session % 3 <> 0) AS same FROM cur WHERE change_count < 40 GROUP BY session)
@@ -327,7 +327,7 @@ SELECT s.session, users > 1 AND coalesce(n, 0) > 0 AND coalesce(n, 0) = coalesce
     "inline_read": f"""WITH {READS_SQL}, q AS (SELECT session, count(*) % 4 AS users, max(k) % 2 = 0 AS replied, min(k) % 3 AS injected FROM identified GROUP BY session),
 d AS (SELECT *, users = 2 AND replied AND injected > 0 AND session % 2 = 0 AS first_new, session % 4 = 0 AS quoteable FROM q)
 SELECT i.session, call_id, CASE WHEN (length(content) > 0 AND CASE WHEN first_new THEN 'v3' <> content ELSE NOT quoteable END) OR (k % 6 = 0 AND users > 1 AND NOT quoteable) THEN content
-  ELSE '[span:' || unit_id || ' path=' || path || '] Current content is supplied in the live projection.' END AS text FROM identified i JOIN d USING (session)""",
+  ELSE '[span:' || unit_id || ' path=' || path || '] Its text as it is now stands in the context below.' END AS text FROM identified i JOIN d USING (session)""",
     "scope_inference": f"""WITH {READS_SQL}, a AS (SELECT event_id, CASE WHEN k % 3 > 0 THEN k % 9 + 1 END AS s, CASE WHEN k % 4 = 1 THEN k % 5 + 1 END AS l, CASE WHEN k % 4 = 2 THEN k % 9 + 3 END AS e, k % 11 = 0 AS sym FROM reads),
 b AS (SELECT *, coalesce(e, CASE WHEN l IS NOT NULL THEN coalesce(s, 1) + l - 1 END) AS last FROM a),
 c AS (SELECT *, CASE WHEN sym THEN 'symbol' WHEN (s IS NULL AND last IS NULL) OR (coalesce(s, 1) <= 1 AND last >= 9) THEN 'file' ELSE 'region' END AS scope FROM b)
@@ -346,7 +346,7 @@ CASE k % 6 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS start_line, CASE k % 6 WHEN 1 THEN
 SELECT r.session, call_id, path AS paths, CASE WHEN k % 2 = 0 THEN 'x.txt' ELSE '' END AS untracked FROM reads r SEMI JOIN t USING (session, path)""",
     "shell_observed_span": f"""WITH {READS_SQL} SELECT event_id, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 1 WHEN k % 2 = 1 AND k % 3 = 1 THEN 2 END AS start_line, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 2 WHEN k % 2 = 1 AND k % 3 = 1 THEN 4 END AS end_line FROM reads""",
     "request_pipeline": """WITH k AS (SELECT DISTINCT conv_id, 'u' || (turn % 5) AS u FROM conversations WHERE turn % 3 = 0),
-r AS (SELECT c.conv_id, c.turn, role, CASE WHEN k.u IS NOT NULL THEN '[span:' || k.u || ' path=src/' || k.u || '.py] Current content is supplied in the live projection.' ELSE text END AS t FROM conversations c LEFT JOIN k ON k.conv_id = c.conv_id AND k.u = 'u' || (c.turn % 5))
+r AS (SELECT c.conv_id, c.turn, role, CASE WHEN k.u IS NOT NULL THEN '[span:' || k.u || ' path=src/' || k.u || '.py] Its text as it is now stands in the context below.' ELSE text END AS t FROM conversations c LEFT JOIN k ON k.conv_id = c.conv_id AND k.u = 'u' || (c.turn % 5))
 SELECT conv_id AS session, count(*) AS messages, CAST(sum(strlen(t)) AS BIGINT) AS bytes, arg_max(role, turn) AS last_role FROM r GROUP BY conv_id""",
     "observation_discovery": f"WITH {READS_SQL} SELECT session, call_id, CASE WHEN kind = 'click' THEN '{{\"x\":1}}' ELSE '{{}}' END AS arguments, content AS text FROM reads WHERE k % 2 = 0 AND kind <> 'view'",
     "seed_filter": f"WITH {READS_SQL} SELECT event_id FROM reads WHERE k % 5 <> 0 AND k % 7 <> 0",

@@ -71,7 +71,7 @@ class _System:
         if self.name == "append-only":
             self.history.append(content)
         elif self.name == "observation-mask":
-            self.history.append(f"[observation-mask:{path}] Historical read masked; no live projection supplied.")
+            self.history.append(f"[observation-mask:{path}] An earlier read stood here; this system shows no text instead.")
         elif self.name == "whole-file":
             self.history.append(f"sync: {path}")
         else:
