@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from .plans import files, measures, replays, selection, sessions, snapshots, streams
+    from .plans import files, measures, replays, requests, selection, sessions, snapshots, streams
 
-    return [selection, sessions, measures, replays, files, snapshots, streams]
+    return [selection, sessions, measures, replays, files, snapshots, streams, requests]
 
 
 def queries() -> dict:
