@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import requests
+from ..operators import phases, requests
 from .selection import _CHOSEN, _FRAME
-from .tables import BUDGET, TASK, TURN, UNITS_SQL, units
+from .tables import BUDGET, TASK, TURN, UNITS_SQL, scratch, table, units
 
 
 def _inputs(spark, sf_dir):
@@ -64,7 +64,25 @@ def request_dispositions(spark, sf_dir):
     return _digest(requests.built(messages, u, files, TASK, TURN, BUDGET, requests.DISPOSITIONS, u.select("session", "unit_id", "revision")))
 
 
-QUERIES = {"request_marks": request_marks, "request_dispositions": request_dispositions}
+def phase_runs(spark, sf_dir):
+    """A study in four phases over documents and labels, run three times: first, with nothing changed, and with one label less."""
+    d, marks = table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    study = [
+        phases.Phase("freeze", ("documents",), lambda d: d.select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))),
+        phases.Phase("generate", ("freeze", "documents"), lambda f, d: f.join(d.select("doc_id", F.length("text").alias("chars")), "doc_id")),
+        phases.Phase("run", ("generate", "labels"), lambda g, m: g.join(m, "doc_id", "left")),
+        phases.Phase("report", ("run",), lambda r: r.groupBy("source").agg(F.count("quality").alias("judged"), F.sum("chars").alias("chars"))),
+    ]
+    path, least = scratch(spark, "phases"), marks.agg(F.min("doc_id").alias("least"))
+    runs = [phases.run(spark, study, {"documents": d, "labels": m}, path) for m in (marks, marks, marks.join(least, F.col("doc_id") == F.col("least"), "left_anti"))]
+    out = None
+    for i, report in enumerate(runs):
+        report = report.select(F.lit(i + 1).alias("run"), "phase", "state", "reason", "rows")
+        out = report if out is None else out.unionByName(report)
+    return out
+
+
+QUERIES = {"request_marks": request_marks, "request_dispositions": request_dispositions, "phase_runs": phase_runs}
 
 _TOTALS = """SELECT m.session, count(*) AS messages, CAST(sum(strlen(text)) AS BIGINT) AS payload_bytes, CAST(arg_max(strlen(text), seq) AS BIGINT) AS projection_bytes, any_value(s) AS selected, any_value(u) AS unresolved, any_value(b) AS budget,
        (SELECT max(used) FROM chosen c WHERE c.session = m.session) AS used_chars, sha256(string_agg(sha256(role || ':' || text || ' ' || calls), chr(10) ORDER BY seq)) AS sha256
@@ -82,4 +100,8 @@ m AS ({_SAID} UNION ALL SELECT session, doc_id * 2 + 1000000000, 'assistant', ''
 m AS ({_SAID} UNION ALL SELECT session, doc_id * 2 + 1000000000, 'assistant', '', 'c' || doc_id FROM mark UNION ALL SELECT session, doc_id * 2 + 1000000001, 'tool', CASE WHEN disposition = 'selected' THEN shown ELSE left_out END, '' FROM mark
       UNION ALL SELECT session, {_LAST}, 'user', text, '' FROM t)
 {_TOTALS}""",
+    "phase_runs": """WITH n AS (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)) AS m, count(DISTINCT source) + CAST(bool_or(source IS NULL) AS INT) AS s FROM documents),
+p AS (SELECT unnest([{'phase': 'freeze', 'rows': n}, {'phase': 'generate', 'rows': n}, {'phase': 'run', 'rows': m}, {'phase': 'report', 'rows': s}]) AS p FROM n)
+SELECT run, p.phase AS phase, CASE WHEN run = 1 THEN 'computed' WHEN run = 2 OR p.phase IN ('freeze', 'generate') THEN 'kept' ELSE 'blocked' END AS state,
+       CASE WHEN run = 3 AND p.phase = 'run' THEN 'labels changed' WHEN run = 3 AND p.phase = 'report' THEN 'after run' END AS reason, CASE WHEN run = 3 AND p.phase IN ('run', 'report') THEN NULL ELSE p.rows END AS rows FROM p, range(1, 4) r(run)""",
 }
