@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import new_path, table, written
+from .common import new_path, spread, table, written
 
 LEAST_BYTES = 0
 #: Bits of the filter of repeated digests: 2^17 words of 64, the bound of what is broadcast (2 MB).
@@ -89,10 +89,10 @@ def _passing(rows: DataFrame, bits: DataFrame, *key: str) -> DataFrame:
 
 
 def planned(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, url, html, digest, bytes, record_type, original) for each page; revisits have no html."""
+    """(page_id, url, html, digest, bytes, record_type, original, original_url) for each page; revisits have no html."""
     rows = _headed(pages)
     heads = written(rows.select("page_id", "url", "digest", "bytes"), "warc-heads")
-    repeated = heads.groupBy("digest", "bytes").agg(F.min("page_id").alias("original"), F.count("*").alias("captures"))
+    repeated = heads.groupBy("digest", "bytes").agg(F.min("page_id").alias("original"), F.min_by("url", "page_id").alias("original_url"), F.count("*").alias("captures"))
     repeated = written(repeated.filter((F.col("captures") > 1) & (F.col("bytes") >= least_bytes) & F.col("original").isNotNull()).drop("captures"), "warc-repeated")
     digests = written(_filter(repeated, "digest"), "warc-filter")
 
@@ -111,8 +111,8 @@ def planned(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b"))
     originals = may_be.join(wanted, same, "left_semi")
 
-    whole = at_once.unionByName(originals).withColumns({"record_type": F.lit("response"), "original": F.lit(None).cast("bigint")})
-    return whole.unionByName(revisits.select("page_id", "url", F.lit(None).cast("string").alias("html"), "digest", "bytes", F.lit("revisit").alias("record_type"), "original"))
+    whole = at_once.unionByName(originals).withColumns({"record_type": F.lit("response"), "original": F.lit(None).cast("bigint"), "original_url": F.lit(None).cast("string")})
+    return whole.unionByName(revisits.select("page_id", "url", F.lit(None).cast("string").alias("html"), "digest", "bytes", F.lit("revisit").alias("record_type"), "original", "original_url"))
 
 
 def records(plan: DataFrame) -> DataFrame:
@@ -121,9 +121,12 @@ def records(plan: DataFrame) -> DataFrame:
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
-    target = F.coalesce(F.col("url"), F.lit(""))
-    for char in ("\r", "\n", "\t", " "):
-        target = F.replace(target, F.lit(char), F.lit(f"%{ord(char):02X}"))
+    def address(url: Column) -> Column:
+        out = F.coalesce(url, F.lit(""))
+        for char in ("\r", "\n", "\t", " "):
+            out = F.replace(out, F.lit(char), F.lit(f"%{ord(char):02X}"))
+        return out
+
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     revisit = F.col("record_type") == "revisit"
     length = F.when(revisit, F.lit(len(_HTTP))).otherwise(F.col("bytes") + len(_HTTP))
@@ -132,9 +135,11 @@ def records(plan: DataFrame) -> DataFrame:
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", _uuid(page, F.col("digest"))),
         line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", target),
+        line("WARC-Target-URI", address(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(_PROFILE)), line("WARC-Refers-To", _uuid(F.col("original").cast("string"), F.col("digest"))))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(
+            line("WARC-Profile", F.lit(_PROFILE)), line("WARC-Refers-To", _uuid(F.col("original").cast("string"), F.col("digest"))), line("WARC-Refers-To-Target-URI", address(F.col("original_url"))), line("WARC-Refers-To-Date", F.lit(DATE)),
+        )).otherwise(F.lit("")),
         line("X-Page-Id", page),
         line("X-Url-Null", F.col("url").isNull().cast("string")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
@@ -208,7 +213,10 @@ def resolved(read: DataFrame) -> DataFrame:
     whole = responses.select(*kept, F.lit(None).cast("bigint").alias("refers_to"))
     # Captures that tie share a record id; a revisit resolves to one of them.
     targets = responses.filter("page_id is not null").groupBy("record_id").agg(F.max("page_id").alias("_page"), *(F.first(c).alias(f"_{c}") for c in names))
-    revisits = read.filter("record_type != 'response'").join(targets.withColumnRenamed("record_id", "_id"), F.col("refers_to_record") == F.col("_id"), "left")
+    # Both sides are dealt out for themselves, so that the revisits of one record can be split.
+    targets = targets.select(spread(F.xxhash64("record_id")).alias("_key"), F.col("record_id").alias("_id"), "_page", *(f"_{c}" for c in names))
+    revisits = read.filter("record_type != 'response'").withColumn("_key_of", spread(F.xxhash64("refers_to_record")))
+    revisits = revisits.join(targets, (F.col("_key_of") == F.col("_key")) & (F.col("refers_to_record") == F.col("_id")), "left")
     found = revisits.select(*(F.col(f"_{c}").alias(c) if c in names else F.col(c) for c in kept), F.col("_page").alias("refers_to"))
     return whole.unionByName(found)
 
