@@ -162,6 +162,19 @@ def spend(usages: DataFrame, prompt_price: float, completion_price: float) -> Da
     return out.withColumn("usd", F.col("prompt_tokens") / 1e6 * prompt_price + F.col("completion_tokens") / 1e6 * completion_price)
 
 
+def cached_spend(usages: DataFrame, hit_price: float, miss_price: float, completion_price: float) -> DataFrame:
+    """(arm, requests, hit_tokens, miss_tokens, completion_tokens, usd) of each arm and of all, whose arm is null, where a provider's cache has a price of its own.
+
+    usages: (arm, prompt_tokens, hit_tokens, completion_tokens). What is known to have come from the cache is priced so, at most
+    the whole prompt; a missing count is none.
+    """
+    zero, prompt = F.lit(0).cast("bigint"), F.coalesce("prompt_tokens", F.lit(0)).cast("bigint")
+    hit = F.least(F.greatest(F.coalesce("hit_tokens", zero), zero).cast("bigint"), prompt)
+    rows = usages.select("arm", hit.alias("hit_tokens"), (prompt - hit).alias("miss_tokens"), F.coalesce("completion_tokens", zero).cast("bigint").alias("completion_tokens"))
+    out = rows.rollup("arm").agg(F.count("*").alias("requests"), *(F.sum(c).alias(c) for c in ("hit_tokens", "miss_tokens", "completion_tokens")))
+    return out.withColumn("usd", (F.col("hit_tokens") * hit_price + F.col("miss_tokens") * miss_price + F.col("completion_tokens") * completion_price) / 1e6)
+
+
 #: Keys whose values are secret, wherever the words stand in them.
 _SECRET = re.compile(r"authorization|cookie|api[-_]?key|token|secret|password", re.I)
 _PART = re.compile(r'"((?:\\.|[^"\\])*)"(\s*:\s*)?|[{}\[\]]|[^"{}\[\]]+|"', re.S)

@@ -124,6 +124,44 @@ def baseline_payloads(reads: DataFrame, captures: DataFrame, files: DataFrame) -
     return rows.select("trace", F.inline(each))
 
 
+def reread_payloads(reads: DataFrame, captures: DataFrame, files: DataFrame) -> DataFrame:
+    """(trace, payload) of the system that only appends, and reads every file it knows again before a request: its history, what those files say now in order of first reading, and the task.
+
+    reads: (trace, seq, path, content); captures: (trace, task); files: (trace, path, content) now. A file that is gone adds nothing.
+    """
+    known = reads.groupBy("trace", "path").agg(F.min("seq").alias("seq"))
+    again = known.join(files, ["trace", "path"]).select("trace", F.lit(1).alias("part"), "seq", "content")
+    shown = reads.select("trace", F.lit(0).alias("part"), "seq", "content").unionByName(again)
+    texts = shown.groupBy("trace").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "content"))).alias("texts"))
+    parts = F.concat(F.transform("texts", lambda x: x["content"]), F.array(F.concat(F.lit("TASK: "), F.col("task"))))
+    return captures.join(texts, "trace").select("trace", F.array_join(parts, "\n\n").alias("payload"))
+
+
+def required_gold(required: DataFrame, reads: DataFrame, files: DataFrame) -> DataFrame:
+    """required (trace, path, selector, sha256) with the gold text that the files give, scope, and error: missing, mismatch or null.
+
+    reads: (trace, seq, path, selector, scope, start_line, end_line, initial); files: (trace, path, content) now. A unit is what the
+    first read of its path read, of its selector if it names one; without such a read it is the whole file. Text that is not
+    there or empty is missing; a text of another hash than the trace declares is a mismatch.
+    """
+    facts = F.struct("seq", "scope", "start_line", "end_line", "initial")
+    by_name = reads.filter(F.col("selector").isNotNull()).groupBy("trace", "path", "selector").agg(F.min_by(facts, "seq").alias("_named"))
+    by_path = reads.groupBy("trace", "path").agg(F.min_by(facts, "seq").alias("_any"))
+    rows = required.join(by_name, ["trace", "path", "selector"], "left").join(by_path, ["trace", "path"], "left").join(files.select("trace", "path", F.col("content").alias("_now")), ["trace", "path"], "left")
+    read = F.when(F.col("selector").isNull(), F.col("_any")).otherwise(F.col("_named"))
+    rows = rows.withColumn("_read", read)
+    of_read = gold(F.col("_now"), F.col("_read.scope"), F.col("_read.start_line"), F.col("_read.end_line"), F.col("_read.initial"))
+    rows = rows.withColumns({"gold": F.when(F.col("_read").isNotNull(), of_read).otherwise(F.col("_now")), "scope": F.coalesce("_read.scope", F.lit("file"))})
+    error = F.when(F.coalesce(F.length("gold"), F.lit(0)) == 0, "missing").when(~F.sha2("gold", 256).eqNullSafe(F.col("sha256")), "mismatch")
+    return rows.select("trace", "path", "selector", "sha256", "scope", "gold", error.alias("error"))
+
+
+def quarantined(golds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of traces all of whose units agree with their declarations, (trace, errors, paths) of the others): a trace whose gold is in doubt counts nowhere."""
+    bad = golds.filter("error IS NOT NULL").groupBy("trace").agg(F.array_sort(F.collect_set("error")).alias("errors"), F.countDistinct("path").alias("paths"))
+    return golds.join(bad, "trace", "left_anti"), bad
+
+
 def under_pressure(traces: DataFrame, budget: int = 4_000, fillers: int = 4, lines: int = 120) -> DataFrame:
     """traces with filler files read first and the budget of each capture overridden."""
     names = [f"extra/load-{i}.txt" for i in range(1, fillers + 1)]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import phases, requests
+from ..functions import text
+from ..operators import ledger, phases, replay, requests
 from .selection import _CHOSEN, _FRAME
-from .tables import BUDGET, TASK, TURN, UNITS_SQL, scratch, table, units
+from .tables import BUDGET, READS_SQL, TASK, TURN, UNITS_SQL, reads, scratch, table, units
 
 
 def _inputs(spark, sf_dir):
@@ -82,8 +83,53 @@ def phase_runs(spark, sf_dir):
     return out
 
 
-QUERIES = {"request_marks": request_marks, "request_dispositions": request_dispositions, "phase_runs": phase_runs}
+def _golds(spark, sf_dir):
+    """Units that traces require, one a document: a region by its selector or the file, after edits; every seventh declares another text, every third file is gone."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("trace"), F.lit("f").alias("path"), F.coalesce("text", F.lit("")).alias("t"))
+    k, initial, none = F.col("trace"), text.line_slice(F.col("t"), F.lit(1), F.lit(2)), F.lit(None).cast("string")
+    now = F.when(k % 3 == 0, F.concat(F.lit("new line\n"), F.col("t"))).otherwise(F.col("t"))
+    files = d.filter(k % 3 < 2).select("trace", "path", now.alias("content"))
+    read = lambda seq, selector, scope: F.struct(F.lit(seq).alias("seq"), selector.alias("selector"), F.lit(scope).alias("scope"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), initial.alias("initial"))
+    seen = d.select("trace", "path", F.inline(F.array(read(2, F.lit("s"), "region"), read(1, F.lit("other"), "file"), read(3, none, "file"))))
+    declared = F.when(k % 7 == 0, F.lit("other")).when(k % 2 == 1, replay.gold(now, F.lit("region"), F.lit(1), F.lit(2), initial)).otherwise(now)
+    required = d.select("trace", "path", F.when(k % 2 == 1, "s").alias("selector"), F.sha2(declared, 256).alias("sha256"))
+    return replay.required_gold(required, seen, files)
 
+
+def required_golds(spark, sf_dir):
+    return _golds(spark, sf_dir).select("trace", "scope", F.sha2("gold", 256).alias("gold_sha256"), "error")
+
+
+def gold_quarantine(spark, sf_dir):
+    """How many traces count, and how many are held back for which reason."""
+    kept, held = replay.quarantined(_golds(spark, sf_dir))
+    reasons = held.groupBy(F.array_join("errors", ",").alias("reason")).agg(F.count("*").alias("traces"))
+    return reasons.unionByName(kept.agg(F.lit("none").alias("reason"), F.countDistinct("trace").alias("traces")))
+
+
+def baseline_reread(spark, sf_dir):
+    """Payloads of the system that appends and reads again, one a session of events."""
+    rd = reads(spark, sf_dir).select(F.col("session").alias("trace"), "seq", "path", "content")
+    files = rd.groupBy("trace", "path").agg(F.max_by("content", "seq").alias("content")).filter("path != 'src/f3.py'")
+    out = replay.reread_payloads(rd, rd.select("trace").distinct().withColumn("task", F.lit("go")), files)
+    return out.select("trace", F.sha2("payload", 256).alias("payload_sha256"), F.octet_length("payload").cast("bigint").alias("bytes"))
+
+
+def spend_cached(spark, sf_dir):
+    u = reads(spark, sf_dir).select(F.col("kind").alias("arm"), F.col("k").alias("prompt_tokens"), F.when(F.col("seq") % 3 > 0, F.col("seq") % 40).alias("hit_tokens"), F.col("seq").alias("completion_tokens"))
+    return ledger.cached_spend(u, 0.014, 0.44, 1.32).withColumn("usd", F.round("usd", 12))
+
+
+QUERIES = {"request_marks": request_marks, "request_dispositions": request_dispositions, "phase_runs": phase_runs, "required_golds": required_golds, "gold_quarantine": gold_quarantine, "baseline_reread": baseline_reread, "spend_cached": spend_cached}
+
+_GOLDS_SQL = """
+d AS (SELECT doc_id AS trace, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT *, CASE WHEN trace % 3 = 0 THEN 'new line' || chr(10) || t ELSE t END AS after FROM d), f AS (SELECT *, string_split(after, chr(10)) AS n FROM e),
+h AS (SELECT *, list_filter(range(1, len(n) + 1), lambda i: n[i] = l[1]) AS p FROM f),
+r AS (SELECT *, CASE WHEN n[1] = l[1] OR len(p) <> 1 THEN array_to_string(n[1:2], chr(10)) ELSE array_to_string(n[p[1]:p[1] + 1], chr(10)) END AS region FROM h),
+g AS (SELECT trace, CASE WHEN trace % 2 = 1 THEN 'region' ELSE 'file' END AS scope, CASE WHEN trace % 3 = 2 THEN '' WHEN trace % 2 = 1 THEN region ELSE after END AS gold,
+      sha256(CASE WHEN trace % 7 = 0 THEN 'other' WHEN trace % 2 = 1 THEN region ELSE after END) AS declared FROM r),
+j AS (SELECT trace, scope, sha256(gold) AS gold_sha256, CASE WHEN gold = '' THEN 'missing' WHEN sha256(gold) <> declared THEN 'mismatch' END AS error FROM g)"""
 _TOTALS = """SELECT m.session, count(*) AS messages, CAST(sum(strlen(text)) AS BIGINT) AS payload_bytes, CAST(arg_max(strlen(text), seq) AS BIGINT) AS projection_bytes, any_value(s) AS selected, any_value(u) AS unresolved, any_value(b) AS budget,
        (SELECT max(used) FROM chosen c WHERE c.session = m.session) AS used_chars, sha256(string_agg(sha256(role || ':' || text || ' ' || calls), chr(10) ORDER BY seq)) AS sha256
 FROM m JOIN p ON p.session = m.session GROUP BY m.session"""
@@ -104,4 +150,11 @@ m AS ({_SAID} UNION ALL SELECT session, doc_id * 2 + 1000000000, 'assistant', ''
 p AS (SELECT unnest([{'phase': 'freeze', 'rows': n}, {'phase': 'generate', 'rows': n}, {'phase': 'run', 'rows': m}, {'phase': 'report', 'rows': s}]) AS p FROM n)
 SELECT run, p.phase AS phase, CASE WHEN run = 1 THEN 'computed' WHEN run = 2 OR p.phase IN ('freeze', 'generate') THEN 'kept' ELSE 'blocked' END AS state,
        CASE WHEN run = 3 AND p.phase = 'run' THEN 'labels changed' WHEN run = 3 AND p.phase = 'report' THEN 'after run' END AS reason, CASE WHEN run = 3 AND p.phase IN ('run', 'report') THEN NULL ELSE p.rows END AS rows FROM p, range(1, 4) r(run)""",
+    "required_golds": f"WITH {_GOLDS_SQL} SELECT * FROM j",
+    "gold_quarantine": f"WITH {_GOLDS_SQL} SELECT coalesce(error, 'none') AS reason, count(*) AS traces FROM j GROUP BY 1 UNION ALL SELECT 'none', 0 WHERE NOT EXISTS (SELECT 1 FROM j WHERE error IS NULL)",
+    "baseline_reread": f"""WITH {READS_SQL}, r AS (SELECT session AS trace, seq, path, content FROM reads), n AS (SELECT trace, path, arg_max(content, seq) AS content, min(seq) AS first FROM r WHERE path <> 'src/f3.py' GROUP BY trace, path),
+t AS (SELECT trace, 0 AS part, seq, content FROM r UNION ALL SELECT trace, 1, first, content FROM n), p AS (SELECT trace, string_agg(content, chr(10) || chr(10) ORDER BY part, seq) || chr(10) || chr(10) || 'TASK: go' AS payload FROM t GROUP BY trace)
+SELECT trace, sha256(payload) AS payload_sha256, CAST(strlen(payload) AS BIGINT) AS bytes FROM p""",
+    "spend_cached": f"""WITH {READS_SQL}, u AS (SELECT kind AS arm, k, seq, least(CASE WHEN seq % 3 > 0 THEN seq % 40 ELSE 0 END, k) AS h FROM reads)
+SELECT arm, count(*) AS requests, CAST(sum(h) AS BIGINT) AS hit_tokens, CAST(sum(k - h) AS BIGINT) AS miss_tokens, CAST(sum(seq) AS BIGINT) AS completion_tokens, round((sum(h) * 0.014 + sum(k - h) * 0.44 + sum(seq) * 1.32) / 1e6, 12) AS usd FROM u GROUP BY ROLLUP (arm)""",
 }
