@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ledger, phases, replay, requests
+from ..operators import bootstrap, ledger, phases, replay, requests
 from .selection import _CHOSEN, _FRAME
 from .tables import BUDGET, READS_SQL, TASK, TURN, UNITS_SQL, reads, scratch, table, units
 
@@ -120,7 +120,17 @@ def spend_cached(spark, sf_dir):
     return ledger.cached_spend(u, 0.014, 0.44, 1.32).withColumn("usd", F.round("usd", 12))
 
 
-QUERIES = {"request_marks": request_marks, "request_dispositions": request_dispositions, "phase_runs": phase_runs, "required_golds": required_golds, "gold_quarantine": gold_quarantine, "baseline_reread": baseline_reread, "spend_cached": spend_cached}
+def paired_intervals(spark, sf_dir):
+    """Median and 95th percentile of what two systems cost more than a third for the same order, with their intervals."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    value = F.col("o_totalprice").cast("double")
+    arms = {"base": value, "x": value + (F.col("o_custkey") % 7 - 2), "y": value + (k % 1000 - 300) * (k % 3)}
+    facts = o.select(k.alias("pair"), F.inline(F.array(*(F.struct(F.lit(a).alias("arm"), v.alias("value")) for a, v in arms.items()))))
+    deltas = bootstrap.paired_deltas(facts, "base").withColumn("delta", F.round("delta", 4))
+    return bootstrap.quantile_intervals(deltas, samples=100)
+
+
+QUERIES = {"request_marks": request_marks, "request_dispositions": request_dispositions, "phase_runs": phase_runs, "required_golds": required_golds, "gold_quarantine": gold_quarantine, "baseline_reread": baseline_reread, "spend_cached": spend_cached, "paired_intervals": paired_intervals}
 
 _GOLDS_SQL = """
 d AS (SELECT doc_id AS trace, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -157,4 +167,12 @@ t AS (SELECT trace, 0 AS part, seq, content FROM r UNION ALL SELECT trace, 1, fi
 SELECT trace, sha256(payload) AS payload_sha256, CAST(strlen(payload) AS BIGINT) AS bytes FROM p""",
     "spend_cached": f"""WITH {READS_SQL}, u AS (SELECT kind AS arm, k, seq, least(CASE WHEN seq % 3 > 0 THEN seq % 40 ELSE 0 END, k) AS h FROM reads)
 SELECT arm, count(*) AS requests, CAST(sum(h) AS BIGINT) AS hit_tokens, CAST(sum(k - h) AS BIGINT) AS miss_tokens, CAST(sum(seq) AS BIGINT) AS completion_tokens, round((sum(h) * 0.014 + sum(k - h) * 0.44 + sum(seq) * 1.32) / 1e6, 12) AS usd FROM u GROUP BY ROLLUP (arm)""",
+    "paired_intervals": """WITH d AS (SELECT 'x' AS arm, o_orderkey AS pair, CAST(o_custkey % 7 - 2 AS DOUBLE) AS delta FROM orders UNION ALL SELECT 'y', o_orderkey, CAST((o_orderkey % 1000 - 300) * (o_orderkey % 3) AS DOUBLE) FROM orders),
+s AS (SELECT pair, s, CAST('0x' || substr(md5(pair || ':' || s || ':7'), 1, 8) AS BIGINT) AS u FROM (SELECT DISTINCT pair FROM d), range(1, 101) r(s)),
+w AS (SELECT pair, s, CASE WHEN u < 1580030163 THEN 0 WHEN u < 3160060327 THEN 1 WHEN u < 3950075409 THEN 2 WHEN u < 4213413769 THEN 3 WHEN u < 4279248359 THEN 4 WHEN u < 4292415312 THEN 5 WHEN u < 4294609782 THEN 6 ELSE 7 END AS w FROM s),
+g AS (SELECT arm, s, delta, sum(w) AS w FROM d JOIN w USING (pair) GROUP BY ALL),
+c AS (SELECT arm, s, delta, sum(w) OVER (PARTITION BY arm, s ORDER BY delta) AS c, sum(w) OVER (PARTITION BY arm, s) AS t FROM g),
+f AS (SELECT arm, s, q AS quantile, min(delta) AS value FROM c, (SELECT unnest([0.5, 0.95]) AS q) WHERE t > 0 AND c.c >= greatest(1, ceil(round(q * t, 9))) GROUP BY ALL),
+b AS (SELECT arm, quantile, list_sort(list(value)) AS l FROM f GROUP BY ALL), v AS (SELECT arm, list_sort(list(delta)) AS l FROM d GROUP BY arm)
+SELECT b.arm, CAST(quantile AS DOUBLE) AS quantile, v.l[CAST(greatest(1, ceil(len(v.l) * quantile)) AS BIGINT)] AS value, b.l[CAST(greatest(1, ceil(round(len(b.l) * 0.025, 9))) AS BIGINT)] AS low, b.l[CAST(greatest(1, ceil(round(len(b.l) * 0.975, 9))) AS BIGINT)] AS high FROM b JOIN v ON v.arm = b.arm""",
 }
