@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,10 +64,41 @@ def unique_needle(whole: Column, unit: Column, sentinel: str) -> Column:
 
 
 def set_hash(rows: DataFrame, by: list[str], name: str, content: str) -> DataFrame:
-    """(by, members, set_sha256) over `name:sha256(content)` lines in order of name."""
+    """(by, members, set_sha256) over `name:sha256(content)` lines in order of name; members without a name or content count but have no line.
+
+    A set is streamed in order through one task, which holds a running hash, however many members it has.
+    """
     line = F.concat(F.col(name).cast("string"), F.lit(":"), F.sha2(content, 256))
-    out = rows.groupBy(*by).agg(F.count("*").alias("members"), F.array_sort(F.collect_list(F.struct(F.col(name).alias("k"), line.alias("l")))).alias("_l"))
-    return out.select(*by, "members", F.sha2(F.array_join(F.transform("_l", lambda x: x["l"]), "\n"), 256).alias("set_sha256"))
+    keys = [F.col(c) for c in by]
+    slim = rows.select(*keys, F.col(name).alias("_name"), line.alias("_line")).repartition(*keys)
+    dealt = slim.sortWithinPartitions(*keys, F.col("_name").asc_nulls_last(), F.col("_line").asc_nulls_last()).select(*by, "_line")
+    schema = ", ".join(f"`{c}` {k}" for c, k in dealt.dtypes if c != "_line") + ", members bigint, set_sha256 string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        names = [*by, "members", "set_sha256"]
+
+        def finished(types: list[pa.DataType]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*k, n, h.hexdigest()) for k, n, h, _ in held)), types)], names=names)
+
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = [f.type for f in batch.schema][:-1] + [pa.int64(), pa.string()]
+            for *key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is None or now[0] != key:
+                    if len(held) >= 1024:
+                        yield finished(types)
+                        held = []
+                    now = [key, 0, hashlib.sha256(), False]
+                    held.append(now)
+                now[1] += 1
+                if text is not None:
+                    now[2].update((b"\n" if now[3] else b"") + text.encode())
+                    now[3] = True
+        if held:
+            yield finished(types)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def lines_hash(content: Column) -> Column:
