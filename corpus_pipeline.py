@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: five stages, each written before the next reads it."""
+"""A training corpus from raw documents: five stages, each written before the next reads it.
+
+Cases: documents with a null text, or one without letters, have no known language and go at the first stage. Of equal and near
+texts the one with the smaller doc_id stays; rows without doc_id are documents like others. Ties are broken as each stage's
+module says, so runs agree. Texts are taken whole, however long. All columns of documents pass through the first four stages,
+whatever their names; the last one gives packed rows. Empty tables give an empty result of the same columns.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +28,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What a stage has written on its way is deleted once its result stands."""
+    """All stages over documents; cases as above. What a stage has written on its way is deleted once its result stands."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs, before = settled(lambda: stage(spark, docs, sf_dir), f"pipeline-{name}"), docs  # noqa: B023
