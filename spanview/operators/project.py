@@ -23,7 +23,7 @@ def rendered_unit(tag: str = engine.UNIT_TAG) -> Column:
 
 
 def projections(chosen: DataFrame, turn: int, unit_tag: str = engine.UNIT_TAG, envelope_tag: str = engine.ENVELOPE_TAG) -> DataFrame:
-    """(session, text): the envelope of each session. A session's selected units are within a budget, so they are gathered in a row."""
+    """(session, text): the envelope of each session. It is one text, so a session's selected units, those within the budget and those that have just changed, are gathered in a row."""
     taken = F.col("disposition") == "selected"
     frames = F.transform(F.array_sort(F.collect_list(F.when(taken, F.struct("change_count", "unit_id", rendered_unit(unit_tag).alias("frame"))))), lambda x: x["frame"])
     rows = chosen.groupBy("session").agg(frames.alias("frames"), F.count_if(F.col("disposition") == "unresolved").alias("u"), F.count_if(F.col("disposition") == "budget").alias("b"))

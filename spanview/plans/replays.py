@@ -14,9 +14,10 @@ FIRST, LAST = 2, 4
 
 
 def _regions(spark, sf_dir):
-    """Lines 2 to 4 of each document, and its text after an edit that doc_id chooses."""
+    """Lines 2 to 4 of each document, and its text after an edit that doc_id chooses; a document of fewer lines gets some around it."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    d = d.withColumn("lines", F.split("t", "\n", -1)).filter(F.size("lines") >= LAST)
+    around = F.concat(F.lit("begin\n"), "t", F.lit("\nend a\nend b"))
+    d = d.withColumn("t", F.when(F.size(F.split("t", "\n", -1)) < LAST, around).otherwise(F.col("t"))).withColumn("lines", F.split("t", "\n", -1))
     content = F.array_join(F.slice("lines", FIRST, LAST - FIRST + 1), "\n")
     k = F.col("doc_id") % 7
     inside = F.transform("lines", lambda x, i: F.when(i == FIRST, F.concat(x, F.lit(" changed"))).otherwise(x))
@@ -26,16 +27,17 @@ def _regions(spark, sf_dir):
         F.when(k == 0, F.col("t")).when(k == 1, F.concat(F.lit("above\n"), "t")).when(k == 2, F.array_join(inside, "\n")).when(k == 3, F.concat("t", F.lit("\n"), content))
         .when(k == 4, F.concat(F.lit("above\n"), F.array_join(inside, "\n"))).when(k == 5, F.array_join(renamed, "\n")).otherwise(F.array_join(grown, "\n"))
     )
-    out = d.select("doc_id", content.alias("content"), current.alias("current"), F.lit(FIRST).alias("start_line"))
+    out = d.select("doc_id", "t", content.alias("content"), current.alias("current"), F.lit(FIRST).alias("start_line"))
     return out.withColumn("anchors", relocate.anchors(F.col("content"), F.col("start_line")))
 
 
 _REGIONS_SQL = r"""
-d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+o0 AS (SELECT doc_id, CASE WHEN len(string_split(coalesce(text, ''), chr(10))) < 4 THEN 'begin' || chr(10) || coalesce(text, '') || chr(10) || 'end a' || chr(10) || 'end b' ELSE text END AS t FROM documents),
+d AS (SELECT doc_id, t, string_split(t, chr(10)) AS l FROM o0),
 e AS (SELECT *, array_to_string(l[2:4], chr(10)) AS content,
   CASE doc_id % 7 WHEN 0 THEN t WHEN 1 THEN 'above' || chr(10) || t WHEN 2 THEN array_to_string(list_transform(l, lambda x, i: CASE WHEN i = 3 THEN x || ' changed' ELSE x END), chr(10)) WHEN 3 THEN t || chr(10) || array_to_string(l[2:4], chr(10))
   WHEN 4 THEN 'above' || chr(10) || array_to_string(list_transform(l, lambda x, i: CASE WHEN i = 3 THEN x || ' changed' ELSE x END), chr(10)) WHEN 5 THEN array_to_string(list_transform(l, lambda x, i: CASE WHEN i = 2 THEN x || ' renamed' ELSE x END), chr(10))
-  ELSE array_to_string(list_concat(l[1:3], ['grown'], l[4:]), chr(10)) END AS cur FROM d WHERE len(l) >= 4),
+  ELSE array_to_string(list_concat(l[1:3], ['grown'], l[4:]), chr(10)) END AS cur FROM d),
 r AS (SELECT doc_id, content, cur, list_transform(string_split(content, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS own, list_transform(string_split(cur, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS now FROM e),
 a AS (SELECT *, list_filter(own, lambda x: x <> '') AS f, len(own) AS n FROM r),
 p AS (SELECT doc_id, unnest(range(len(now))) AS pos, unnest(now) AS line, f[1] AS first, f[-1] AS last, n FROM a)"""
@@ -160,9 +162,7 @@ def document_replay(spark, sf_dir):
     edit = make(type=F.lit("replace-exact"), path=F.lit("f"), expected=F.col("t"), replacement=F.replace("current", F.lit("$"), F.lit("$$")))
     read = make(type=F.lit("read"), path=F.lit("f"), scope=F.lit("region"), start_line=F.lit(FIRST), end_line=F.lit(LAST))
     shot = make(type=F.lit("capture-request"), task=F.lit(TASK), budget=F.lit(12_000))
-    whole = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
-    rows = r.join(whole, "doc_id")
-    traces = rows.select(F.concat(F.lit("docs/edit/"), F.col("doc_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("repository"), F.create_map(F.lit("f"), F.col("t")).alias("files"), F.array(read, shot, edit, shot).alias("events"))
+    traces = r.select(F.concat(F.lit("docs/edit/"), F.col("doc_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("repository"), F.create_map(F.lit("f"), F.col("t")).alias("files"), F.array(read, shot, edit, shot).alias("events"))
     out = replay.replayed(traces, ("unit-region",))
     return out.select("trace", "capture", "method", "stale_units", "projection_bytes", "error")
 
