@@ -13,11 +13,11 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the drive
 #: One row of totals beside one row an arm.
 SMALL_PRODUCTS = {"ledger_arm_deltas"}
 STREAMS = {"stream_tracked", "stream_delivery", "stream_activity"}
-#: Parsers and JSON of any depth, framed decoding, generated edits, ordered folds and whole relocation decisions.
+#: Parsers and JSON of any depth, framed decoding, generated edits, ordered folds (hashes and choices of reads too) and whole relocation decisions.
 PYTHON = {
     "select_greedy_budget", "selection_summary", "render_order", "projection_text", "decode_frames", "canonical_payloads", "refresh_counters", "collapse_history", "shell_parse", "shell_stale_dumps", "shell_observed_span",
     "shell_discovery", "fail_open_envelope", "relocate_regions", "relocation_failures", "symbol_table", "symbol_resolve", "trace_replay", "budget_pressure", "document_replay",
-    "redaction", "symbol_pack", "trace_events", "sampled_traces", "trace_pack", "binding_hash",
+    "redaction", "symbol_pack", "trace_events", "sampled_traces", "trace_pack", "binding_hash", "overlapping_reads", "set_hash",
 }
 
 
