@@ -67,12 +67,7 @@ def prefix_reuse(payloads: DataFrame, by: list[str], order: str) -> DataFrame:
 
 def changed_bytes(before: Column, after: Column) -> Column:
     """Bytes between the common start and the common end of two texts, the larger side."""
-    start = text.common_prefix_bytes(before, after)
-    a, b = F.octet_length(before), F.octet_length(after)
-    # What the common start takes can't be part of the common end.
-    tail_a, tail_b = (F.reverse(F.hex(F.substring(F.encode(x, "UTF-8"), (start + 1).cast("int"), F.lit(2**31 - 1)))) for x in (before, after))
-    end = F.floor(text.common_prefix_bytes(tail_a, tail_b) / 2)
-    return F.greatest(a - start - end, b - start - end)
+    return text.changed_bytes(before, after)
 
 
 def delta_amplification(payload_delta: Column, workspace_delta: Column) -> Column:
