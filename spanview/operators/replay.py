@@ -1,12 +1,14 @@
 """Replay of many traces through many systems, and the traces' own steps as relations.
 
-A trace is one row with its files and events, so replaying needs no shuffle: traces times
-systems are independent, and each is folded in order where it is.
+A trace is one row with its files and events; traces are independent, and each is folded in order,
+once a system, where it is. Files whose traces are made and replayed at once are dealt out evenly first,
+which moves each file once and its traces, many times as large, not at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,7 @@ from .. import families, replay
 from ..functions import text
 
 EVENT = "struct<type:string,path:string,scope:string,start_line:int,end_line:int,selector:string,expected:string,replacement:string,task:string,budget:int,required:array<struct<path:string,selector:string,sha256:string>>>"
+_EVENT_FIELDS = ("type", "path", "scope", "start_line", "end_line", "selector", "expected", "replacement", "task", "budget", "required")
 TRACE = f"name string, repository string, files map<string,string>, events array<{EVENT}>"
 _MEASURES = (
     "capture int, task string, method string, exact_rate double, recall double, stale_rate double, stale_units bigint, stale_bytes bigint, duplicate_units bigint, duplicate_bytes bigint,"
@@ -23,26 +26,55 @@ _MEASURES = (
 )
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out evenly over more tasks than there are cores: a table may be a few files that cannot be split, and a row costs its many runs."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
+def _runs(traces: Iterator[dict], systems: tuple[str, ...], parser) -> Iterator[dict]:
+    for r in traces:
+        base = {"trace": r["name"], "repo": replay.repository(r["repository"], r["name"]), "family": replay.family(r["name"])}
+        for name in systems:
+            try:
+                yield from ({**base, "system": name, **m} for m in replay.run(dict(r["files"]), r["events"], name, parser))
+            except replay.TraceError as e:
+                yield {**base, "system": name, "error": str(e)}
+
+
+_MEASURED = f"trace string, repo string, family string, system string, {_MEASURES}, error string"
+_KINDS = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+_FIELDS = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in _MEASURED.split(", ")])
+
+
+def _batches(rows: Iterator[dict], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of size, not in one of each input row: a batch costs about as much as a hundred rows."""
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    # Rows hold whole files; few at a time become Python objects.
+    return (r for b in batches for i in range(0, b.num_rows, 16) for r in b.slice(i, 16).to_pylist())
+
+
 def replayed(traces: DataFrame, systems: tuple[str, ...] = replay.SYSTEMS, parser=None) -> DataFrame:
     """Measures of every capture: (trace, repo, family, system, capture, ..., error). A trace that fails gives one row with its error."""
-    schema = f"trace string, repo string, family string, system string, {_MEASURES}, error string"
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
-    fields = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Traces hold whole files; few at a time become Python objects.
-        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
-            for r in batch.to_pylist():
-                base = {"trace": r["name"], "repo": replay.repository(r["repository"], r["name"]), "family": replay.family(r["name"]), "system": r["system"]}
-                try:
-                    rows = [{**base, **m} for m in replay.run(dict(r["files"]), r["events"], r["system"], parser)]
-                except replay.TraceError as e:
-                    rows = [{**base, "error": str(e)}]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
+        return _batches(_runs(_rows(batches), systems, parser), _FIELDS, 1024)
 
-    rows = traces.withColumn("system", F.explode(F.array(*map(F.lit, systems))))
-    return rows.select("name", "repository", "files", "events", "system").mapInArrow(run, schema)
+    return traces.select("name", "repository", "files", "events").mapInArrow(run, _MEASURED)
+
+
+def replayed_files(files: DataFrame, make, systems: tuple[str, ...] = replay.SYSTEMS, parser=None) -> DataFrame:
+    """As replayed, of the traces that make(name, path, content) gives of each file (name, path, content): a trace, which has its files several times over, is replayed where it is made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = (t for r in _rows(batches) if r["content"] is not None for t in make(r["name"], r["path"], r["content"]))
+        return _batches(_runs(made, systems, parser), _FIELDS, 1024)
+
+    return _spread(files.select("name", "path", "content")).mapInArrow(run, _MEASURED)
 
 
 def _generated(files: DataFrame, make) -> DataFrame:
@@ -52,26 +84,32 @@ def _generated(files: DataFrame, make) -> DataFrame:
     schema = pa.schema([("name", pa.string()), ("repository", pa.string()), ("files", pa.map_(pa.string(), pa.string())), ("events", pa.list_(event))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
-            for r in batch.to_pylist():
-                rows = make(r["name"], r["path"], r["content"]) if r["content"] is not None else []
-                if rows:
-                    yield pa.RecordBatch.from_pylist([{**x, "files": list(x["files"].items())} for x in rows], schema=schema)
+        made = (x for r in _rows(batches) if r["content"] is not None for x in make(r["name"], r["path"], r["content"]))
+        return _batches(({**x, "files": list(x["files"].items())} for x in made), schema, 32)
 
     return files.select("name", "path", "content").mapInArrow(run, TRACE)
 
 
+def region_traces(first: int, last: int):
+    """What makes the traces of lines first to last of a file: one of each family that the region admits, named after the file. A file too short for the region has none."""
+    return lambda name, path, content: families.generate({path: content}, path, first, last, name) if content.count("\n") + 1 >= last else []
+
+
+def symbols_traces(name: str, path: str, content: str) -> list[dict]:
+    return families.symbol_traces(path, content, name)
+
+
 def generated(files: DataFrame, first: int, last: int) -> DataFrame:
     """Traces of lines first to last of each file (name, path, content): one of each family that the region admits, named after the file.
 
     Files that are null or too short for the region have none.
     """
-    return _generated(files, lambda name, path, text: families.generate({path: text}, path, first, last, name) if text.count("\n") + 1 >= last else [])
+    return _generated(files, region_traces(first, last))
 
 
 def symbol_traces(files: DataFrame) -> DataFrame:
     """Traces of the symbols of Python files (name, path, content)."""
-    return _generated(files, lambda name, path, text: families.symbol_traces(path, text, name))
+    return _generated(files, symbols_traces)
 
 
 def events_of(traces: DataFrame) -> DataFrame:
@@ -162,10 +200,25 @@ def quarantined(golds: DataFrame) -> tuple[DataFrame, DataFrame]:
     return golds.join(bad, "trace", "left_anti"), bad
 
 
+def _load(fillers: int, lines: int) -> dict[str, str]:
+    return {f"extra/load-{i}.txt": "".join(f"load {i}, line {n}\n" for n in range(lines)) for i in range(1, fillers + 1)}
+
+
+def pressed(make, budget: int = 4_000, fillers: int = 4, lines: int = 120):
+    """make, with its traces under_pressure."""
+    extra = _load(fillers, lines)
+    first = [dict.fromkeys(_EVENT_FIELDS) | {"type": "read", "path": path, "scope": "file"} for path in extra]
+
+    def under(trace: dict) -> dict:
+        events = [{**e, "budget": budget} if e["type"] == "capture-request" else e for e in trace["events"]]
+        return {**trace, "files": {**trace["files"], **extra}, "events": [*first, *events]}
+
+    return lambda *file: map(under, make(*file))
+
+
 def under_pressure(traces: DataFrame, budget: int = 4_000, fillers: int = 4, lines: int = 120) -> DataFrame:
     """traces with filler files read first and the budget of each capture overridden."""
-    names = [f"extra/load-{i}.txt" for i in range(1, fillers + 1)]
-    texts = ["".join(f"load {i}, line {n}\n" for n in range(lines)) for i in range(1, fillers + 1)]
+    names, texts = zip(*_load(fillers, lines).items()) if fillers else ((), ())
     extra = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, texts)))
 
     def event(path: str) -> Column:

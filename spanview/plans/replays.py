@@ -93,7 +93,7 @@ def _sources(spark, sf_dir, kind=None):
 def symbol_pack(spark, sf_dir):
     """Every symbol of the documents as Python files, read by its name, moved and edited, and found again by the parser: measures of each capture."""
     files = _sources(spark, sf_dir, 0).select(F.col("doc_id").cast("string").alias("name"), "path", "content")
-    out = replay.replayed(replay.symbol_traces(files), ("unit-region",), symbols.limited(symbols.enumerate_symbols))
+    out = replay.replayed_files(files, replay.symbols_traces, ("unit-region",), symbols.limited(symbols.enumerate_symbols))
     return out.select("trace", "capture", "method", "recall", "stale_units", "error")
 
 
@@ -107,15 +107,18 @@ def symbol_resolve(spark, sf_dir):
     return symbols.resolved_symbols(wanted, symbols.symbols(s))
 
 
+def _files(docs):
+    return docs.select(F.col("doc_id").cast("string").alias("name"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+
+
 def _traces(spark, sf_dir, docs=None):
     """Lines 2 to 4 of each document through every mutation family that they admit."""
-    d = table(spark, sf_dir, "documents") if docs is None else docs
-    return replay.generated(d.select(F.col("doc_id").cast("string").alias("name"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content")), FIRST, LAST)
+    return replay.generated(_files(table(spark, sf_dir, "documents") if docs is None else docs), FIRST, LAST)
 
 
 def trace_replay(spark, sf_dir):
     """Every mutation family of every document through every system."""
-    out = replay.replayed(_traces(spark, sf_dir))
+    out = replay.replayed_files(_files(table(spark, sf_dir, "documents")), replay.region_traces(FIRST, LAST))
     return out.select("trace", "family", "system", "capture", "method", "recall", "exact_rate", "stale_bytes", "duplicate_units", "payload_bytes", "error")
 
 
@@ -146,7 +149,7 @@ def trace_pack(spark, sf_dir):
 
 
 def budget_pressure(spark, sf_dir):
-    out = metrics.final_captures(replay.replayed(replay.under_pressure(_traces(spark, sf_dir)), ("unit-region", "whole-file")), ["trace", "system"], "capture")
+    out = metrics.final_captures(replay.replayed_files(_files(table(spark, sf_dir, "documents")), replay.pressed(replay.region_traces(FIRST, LAST)), ("unit-region", "whole-file")), ["trace", "system"], "capture")
     return out.groupBy("system").agg(F.count("*").alias("traces"), F.max("projection_bytes").alias("largest"), F.sum("stale_bytes").alias("stale_bytes"))
 
 
