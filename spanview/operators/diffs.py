@@ -6,7 +6,8 @@ which other lines may occur once, and so on. What is left has only repeated line
 heaviest common subsequence, in space of one row. Without moved lines the script keeps as many bytes as any script can; where
 lines moved, it may keep fewer, never more.
 
-Scale: all texts are diffed at once, in a few rounds over their lines. A line meets others by aggregation on (text, stretch,
+Scale: all texts are diffed at once, in a few rounds over their lines. Equal lines of a pair get one number where the pair is
+read, so what is written and moved is numbers, a few bytes a line, and no text. A line meets others by aggregation on (text, stretch,
 line), never pair by pair, and lines that a stretch has in one version only leave at once. A text's lines stream through one
 task in order; what a task holds is the unique lines of one stretch.
 
@@ -23,8 +24,9 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..shared import cut
@@ -102,10 +104,9 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def matched() -> Iterator[tuple]:
         for key, rows in _groups(batches, 2):
-            number: dict[str, int] = {}
             sides: tuple[list, list] = ([], [])
-            for side, i, line, weight in rows:
-                sides[side].append((i, number.setdefault(line, len(number)), weight))
+            for side, *x in rows:
+                sides[side].append(x)
             a, b = (np.array([x[1] for x in side], dtype=np.int64) for side in sides)
             for i, j in common_lines(a, b, np.array([x[2] for x in sides[0]], dtype=np.int64)):
                 yield key[0], sides[0][i][0], sides[1][j][0], sides[0][i][2]
@@ -113,14 +114,40 @@ def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _batches(matched())
 
 
-def _side(texts: DataFrame, side: int, text: str) -> DataFrame:
-    lines = F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("i", "line")
-    return texts.select("id", F.lit(side).alias("side"), lines).withColumn("weight", F.octet_length("line").cast("bigint") + 1)
+def _numbered(texts: DataFrame) -> DataFrame:
+    """texts (before, after, and other columns) with each text as an array of (line, weight): equal lines of a row's two texts have one number."""
+    item = pa.struct([("line", pa.int32()), ("weight", pa.int64())])
+    others = [c for c in texts.columns if c not in ("before", "after")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            ends, lines, weights = ([0], [0]), ([], []), ([], [])
+            for r in range(batch.num_rows):
+                number: dict[bytes, int] = {}
+                for side in (0, 1):
+                    own = (batch.column(len(others) + side)[r].as_py() or b"").split(b"\n")
+                    lines[side].extend(number.setdefault(x, len(number)) for x in own)
+                    weights[side].extend(len(x) + 1 for x in own)
+                    ends[side].append(len(lines[side]))
+            sides = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.StructArray.from_arrays([pa.array(x, pa.int32()), pa.array(w, pa.int64())], fields=list(item))) for e, x, w in zip(ends, lines, weights)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), *sides], names=[*others, "before", "after"])
+
+    slim = texts.select(*others, *(F.col(c).cast("binary").alias(c) for c in ("before", "after")))
+    lines = ArrayType(StructType([StructField("line", IntegerType()), StructField("weight", LongType())]))
+    return slim.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in slim.schema if f.name in others), StructField("before", lines), StructField("after", lines)]))
+
+
+def _side(numbered: DataFrame, side: int, text: str) -> DataFrame:
+    return numbered.select("id", F.lit(side).alias("side"), F.posexplode(text).alias("i", "x")).select("id", "side", "i", "x.line", "x.weight")
 
 
 def matched_lines(texts: DataFrame) -> DataFrame:
     """(id, i, j, weight): line i of before is kept as line j of after, for texts (id, before, after) with an id each."""
-    lines = cut(_side(texts, 0, "before").unionByName(_side(texts, 1, "after")).withColumn("stretch", F.lit(0).cast("bigint")), "diff-lines")
+    return _matched(cut(_numbered(texts.select("id", "before", "after")), "diff-texts"))
+
+
+def _matched(numbered: DataFrame) -> DataFrame:
+    lines = _side(numbered, 0, "before").unionByName(_side(numbered, 1, "after")).withColumn("stretch", F.lit(0).cast("bigint"))
     stretch, out = ["id", "stretch", "line"], None
     while True:
         here = [F.count_if(F.col("side") == s).alias(f"n{s}") for s in (0, 1)] + [F.min(F.when(F.col("side") == s, F.col("i"))).alias(c) for s, c in enumerate("ij")]
@@ -144,7 +171,10 @@ def matched_lines(texts: DataFrame) -> DataFrame:
 
 def hunks(texts: DataFrame, matches: DataFrame) -> DataFrame:
     """(id, before_from, before_to, after_from, after_to): the changes between kept lines, in lines from 0, the ends not included."""
-    ends = texts.select("id", *(F.size(F.split(F.coalesce(c, F.lit("")), "\n", -1)).alias(k) for c, k in (("before", "i"), ("after", "j"))))
+    return _hunks(texts.select("id", *(F.size(F.split(F.coalesce(c, F.lit("")), "\n", -1)).alias(k) for c, k in (("before", "i"), ("after", "j")))), matches)
+
+
+def _hunks(ends: DataFrame, matches: DataFrame) -> DataFrame:
     rows = matches.select("id", "i", "j").unionByName(ends)
     order = Window.partitionBy("id").orderBy("i", "j")
     last = [(F.coalesce(F.lag(c).over(order), F.lit(-1)) + 1).alias(f"_{c}") for c in "ij"]
@@ -152,17 +182,18 @@ def hunks(texts: DataFrame, matches: DataFrame) -> DataFrame:
     return out.select("id", F.col("_i").alias("before_from"), F.col("i").alias("before_to"), F.col("_j").alias("after_from"), F.col("j").alias("after_to"))
 
 
-def _weight(text: Column) -> Column:
-    return F.octet_length(F.coalesce(text, F.lit(""))).cast("bigint") + 1
-
-
-def changed(pairs: DataFrame) -> DataFrame:
-    """pairs (before, after, and any other columns) with removed_bytes and added_bytes, and hunks, the number of changes."""
-    rows = cut(pairs.select(F.monotonically_increasing_id().alias("id"), F.struct(*(F.col(f"`{c}`") for c in pairs.columns if c not in ("before", "after"))).alias("other") if len(pairs.columns) > 2 else F.lit(1).alias("other"), "before", "after"), "diff-texts")
-    matches = cut(matched_lines(rows.select("id", "before", "after")), "diff-script")
+def changed(pairs: DataFrame, texts: bool = True) -> DataFrame:
+    """pairs (before, after, and any other columns) with removed_bytes and added_bytes, and hunks, the number of changes; without texts, before and after are neither written nor returned."""
+    others = [c for c in pairs.columns if c not in ("before", "after")]
+    carried = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("other")] if others else []
+    whole = [F.struct("before", "after").alias("texts")] if texts else []
+    rows = cut(_numbered(pairs.select(F.monotonically_increasing_id().alias("id"), *carried, *whole, "before", "after")), "diff-texts")
+    matches = cut(_matched(rows), "diff-script")
     kept = matches.groupBy("id").agg(F.sum("weight").alias("kept"))
-    n = hunks(rows, matches).groupBy("id").agg(F.count("*").alias("hunks"))
-    out = rows.join(kept, "id", "left").join(n, "id", "left")
-    same, zero = F.coalesce("kept", F.lit(0)), F.lit(0).cast("bigint")
-    others = ["other.*"] if len(pairs.columns) > 2 else []
-    return out.select(*others, "before", "after", (_weight(F.col("before")) - same).alias("removed_bytes"), (_weight(F.col("after")) - same).alias("added_bytes"), F.coalesce("hunks", zero).alias("hunks"))
+    n = _hunks(rows.select("id", F.size("before").alias("i"), F.size("after").alias("j")), matches).groupBy("id").agg(F.count("*").alias("hunks"))
+    zero = F.lit(0).cast("bigint")
+    sizes = [F.aggregate(c, zero, lambda acc, x: acc + x["weight"]).alias(k) for c, k in (("before", "_a"), ("after", "_b"))]
+    # Sizes are taken before the joins, which then move no lines.
+    found = rows.select("id", *(["other"] if others else []), *(["texts"] if texts else []), *sizes).join(kept, "id", "left").join(n, "id", "left")
+    same = F.coalesce("kept", zero)
+    return found.select(*(["other.*"] if others else []), *(["texts.*"] if texts else []), (F.col("_a") - same).alias("removed_bytes"), (F.col("_b") - same).alias("added_bytes"), F.coalesce("hunks", zero).alias("hunks"))

@@ -84,3 +84,14 @@ def test_changes_and_clashing_columns(spark):
     assert diffs.changed(spark.createDataFrame([], "before string, after string")).count() == 0
     one = spark.createDataFrame([(1, "a\nb\nc", "a\nX\nc\nd")], "id long, before string, after string")
     assert sorted(map(tuple, diffs.hunks(one, diffs.matched_lines(one)).collect())) == [(1, 1, 2, 1, 2), (1, 3, 3, 3, 4)]
+
+
+def test_no_text_is_written_or_moved(spark, monkeypatch):
+    kinds, own = [], diffs.cut
+    monkeypatch.setattr(diffs, "cut", lambda df, name: kinds.append((name, df.schema.simpleString())) or own(df, name))
+    rows = [(i, "\n".join(f"line {j % 7} of {i}" for j in range(i)), "\n".join(f"line {j % 5} of {i}" for j in range(i + 2))) for i in range(20)] + [(50, None, "a"), (51, "é\r", "é\r\n")]
+    df = spark.createDataFrame(rows, "k long, before string, after string")
+    slim = diffs.changed(df, texts=False)
+    assert kinds and not any("string" in kind or "binary" in kind for _, kind in kinds)
+    assert "before" not in slim.columns and sorted(map(repr, slim.collect())) == sorted(map(repr, diffs.changed(df).drop("before", "after").collect()))
+    assert {(x.k, x.before, x.after) for x in diffs.changed(df).collect()} == set(rows)
