@@ -49,3 +49,13 @@ def test_pairs(spark):
     assert got == {("x", 1, 4.0), ("y", 2, -1.0)}
     empty = spark.createDataFrame([], "arm string, pair long, delta double")
     assert bootstrap.quantile_intervals(empty).count() == 0
+
+
+def test_a_pair_is_hashed_once_a_sample_and_equal_differences_are_not_looked_at(spark):
+    deltas = spark.createDataFrame([(a, i, float(i % 3)) for a in ("x", "y", "z") for i in range(400)], "arm string, pair long, delta double")
+    plan = deltas.select(bootstrap.weight(deltas.pair, deltas.pair, 7).alias("w"))._jdf.queryExecution()
+    code = plan.debug().codegenToSeq().toString()
+    assert code.count("DigestUtils.md5Hex(") == 1
+    got = bootstrap.quantile_intervals(deltas, samples=30)
+    written = {(x.arm, x.quantile): (x.value, x.low, x.high) for x in got.collect()}
+    assert written == brute([(x.arm, x.pair, x.delta) for x in deltas.collect()], (0.5, 0.95), 30, 7)
