@@ -20,8 +20,14 @@ def _reloaded(spark, sf_dir) -> str:
     before = spark.conf.get(key, None)
     units.store(spark)
     try:
-        for i, (first, last) in enumerate(zip((0, *PARTS), (*PARTS, 2**31))):
-            r.filter((F.col("seq") > first) & (F.col("seq") <= last)).write.parquet(f"{base}/in/part={i}")
+        # The order of reads is worked out once for all parts; a folder is renamed when its part comes.
+        r.withColumn("part", F.when(F.col("seq") <= PARTS[0], 0).when(F.col("seq") <= PARTS[1], 1).otherwise(2)).write.partitionBy("part").parquet(f"{base}/later")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = folder(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for i in range(len(PARTS) + 1):
+            fs.mkdirs(folder(f"{base}/in/part={i}"))
+            for file in fs.globStatus(folder(f"{base}/later/part={i}/*.parquet")):
+                fs.rename(file.getPath(), folder(f"{base}/in/part={i}/{file.getPath().getName()}"))
             stream = spark.readStream.schema(schema).parquet(f"{base}/in/part=*")
             out = units.tracked_units(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out")
             out.trigger(availableNow=True).start().awaitTermination()

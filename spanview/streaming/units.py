@@ -24,6 +24,7 @@ from ..operators import registry
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _UNIT = "path string, revision string, turn bigint, seq bigint, change_count bigint, changed_at bigint, pinned boolean"
 _OUT = "session string, turn bigint, seq bigint, unit_id string, path string, revision string, change_count bigint, changed_at bigint, pinned boolean"
+_ROW = Row(*(c.split()[0] for c in _OUT.split(", ")))
 
 
 def store(spark: SparkSession) -> None:
@@ -41,8 +42,14 @@ class _Units(StatefulProcessor):
         self.active = handle.getValueState("active", "at bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802  the interface's names
+        # The store is asked once a unit, not at all of a new session, and told once a unit: each call is a trip to the JVM.
+        held: dict[str, tuple | None] = {}
+        news: dict[str, tuple] = {}
+        known = self.units.exists()
         for r in sorted(rows, key=lambda r: (r.turn, r.seq)):
-            last = self.units.getValue((r.unit_id,)) if self.units.containsKey((r.unit_id,)) else None
+            if r.unit_id not in held:
+                held[r.unit_id] = self.units.getValue((r.unit_id,)) if known and self.units.containsKey((r.unit_id,)) else None
+            last = held[r.unit_id]
             if last is None:
                 now = (r.path, r.revision, r.turn, r.seq, 0, r.turn, bool(r.pinned))
             elif (r.turn, r.seq) <= (last[2], last[3]):
@@ -51,9 +58,11 @@ class _Units(StatefulProcessor):
                 changed = r.revision != last[1]
                 now = (r.path, r.revision, r.turn, r.seq, last[4] + changed, max(last[5], r.turn) if changed else last[5], last[6] or bool(r.pinned))
             if last is None or now != tuple(last):
-                self.units.updateValue((r.unit_id,), now)
+                held[r.unit_id] = news[r.unit_id] = now
             path, revision, _, _, change_count, changed_at, pinned = now
-            yield Row(session=key[0], turn=r.turn, seq=r.seq, unit_id=r.unit_id, path=path, revision=revision, change_count=change_count, changed_at=changed_at, pinned=pinned)
+            yield _ROW(key[0], r.turn, r.seq, r.unit_id, path, revision, change_count, changed_at, pinned)
+        for unit_id, now in news.items():
+            self.units.updateValue((unit_id,), now)
         if self.idle_ms:
             at = timerValues.getCurrentProcessingTimeInMs()
             self.active.update((at,))
