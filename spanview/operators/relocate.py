@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,9 @@ from ..engine import Unit, resolve
 from ..functions import text
 from ..relocation import LEAST_VOTES, Anchors
 
+#: Rows that are Python objects at once.
+SLICE = 64
+
 
 def anchors(content: Column, start_line: Column) -> Column:
     """struct(first, last, line_count, start_line) of a region."""
@@ -113,23 +116,25 @@ def relocated(units: DataFrame, files: DataFrame, parser=None) -> DataFrame:
     missing or null leave their units unresolved; their old text is never passed off as current.
     """
     now = files.select("session", "path", F.col("content").alias("current"))
-    rows = units.join(now, ["session", "path"], "left")
-    kinds = dict(units.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.current is None:
-                    out.append((r.session, r.unit_id, "unresolved", "source-missing", None, None, None))
-                    continue
-                start, end = (None if pd.isna(x) else int(x) for x in (r.start_line, r.end_line))
-                unit = Unit(r.unit_id, r.path, r.scope, r.selector, r.content, "", start, end, 0, 0, 0, Anchors.of(r.content, start), file_lines=None if pd.isna(r.file_lines) else int(r.file_lines))
-                found = resolve(unit, r.current.replace("\r\n", "\n"), parser)
-                out.append((r.session, r.unit_id, found.state, found.method, found.content, found.start_line, found.end_line))
-            yield pd.DataFrame(out, columns=["session", "unit_id", "state", "method", "new_content", "new_start", "new_end"]).astype({"new_start": "Int64", "new_end": "Int64"})
-
-    return rows.mapInPandas(run, f"session {kinds['session']}, unit_id string, state string, method string, new_content string, new_start bigint, new_end bigint")
+    kinds, facts = dict(units.dtypes), ["path", "scope", "selector", "content", "start_line", "end_line", "file_lines", "current"]
+    rows = units.join(now, ["session", "path"], "left").select("session", "unit_id", *facts)
+    found_in = pa.schema([("state", pa.string()), ("method", pa.string()), ("new_content", pa.string()), ("new_start", pa.int64()), ("new_end", pa.int64())])
+
+    def one(r: dict) -> dict:
+        if r["current"] is None:
+            return {"state": "unresolved", "method": "source-missing"}
+        start, end, lines = (None if r[c] is None else int(r[c]) for c in ("start_line", "end_line", "file_lines"))
+        unit = Unit(r["unit_id"], r["path"], r["scope"], r["selector"], r["content"], "", start, end, 0, 0, 0, Anchors.of(r["content"], start), file_lines=lines)
+        found = resolve(unit, r["current"].replace("\r\n", "\n"), parser)
+        return {"state": found.state, "method": found.method, "new_content": found.content, "new_start": found.start_line, "new_end": found.end_line}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows hold whole files; few at a time become Python objects, and what they give leaves before the next ones come.
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            out = pa.RecordBatch.from_pylist([one(r) for r in batch.select(["unit_id", *facts]).to_pylist()], schema=found_in)
+            yield pa.RecordBatch.from_arrays([batch.column("session"), batch.column("unit_id"), *out.columns], names=["session", "unit_id", *found_in.names])
+
+    return rows.mapInArrow(run, f"session {kinds['session']}, unit_id {kinds['unit_id']}, state string, method string, new_content string, new_start bigint, new_end bigint")
 
 
 def refreshed(units: DataFrame, found: DataFrame, turn: int) -> DataFrame:
