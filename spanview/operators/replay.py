@@ -200,6 +200,11 @@ def quarantined(golds: DataFrame) -> tuple[DataFrame, DataFrame]:
     return golds.join(bad, "trace", "left_anti"), bad
 
 
+def event(kind: str, **values) -> dict:
+    """An event of a trace."""
+    return dict.fromkeys(_EVENT_FIELDS) | {"type": kind, **values}
+
+
 def _load(fillers: int, lines: int) -> dict[str, str]:
     return {f"extra/load-{i}.txt": "".join(f"load {i}, line {n}\n" for n in range(lines)) for i in range(1, fillers + 1)}
 
@@ -207,7 +212,7 @@ def _load(fillers: int, lines: int) -> dict[str, str]:
 def pressed(make, budget: int = 4_000, fillers: int = 4, lines: int = 120):
     """make, with its traces under_pressure."""
     extra = _load(fillers, lines)
-    first = [dict.fromkeys(_EVENT_FIELDS) | {"type": "read", "path": path, "scope": "file"} for path in extra]
+    first = [event("read", path=path, scope="file") for path in extra]
 
     def under(trace: dict) -> dict:
         events = [{**e, "budget": budget} if e["type"] == "capture-request" else e for e in trace["events"]]

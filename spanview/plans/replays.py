@@ -153,20 +153,40 @@ def budget_pressure(spark, sf_dir):
     return out.groupBy("system").agg(F.count("*").alias("traces"), F.max("projection_bytes").alias("largest"), F.sum("stale_bytes").alias("stale_bytes"))
 
 
-def document_replay(spark, sf_dir):
-    """Each document as a trace: a region read, the edit that its number chooses, and two captures."""
-    r = _regions(spark, sf_dir)
-    event = replay.EVENT.removeprefix("struct<").removesuffix(">")
-    names = ["type", "path", "scope", "start_line", "end_line", "selector", "expected", "replacement", "task", "budget", "required"]
+def _edited_trace(name: str, path: str, content: str) -> list[dict]:
+    """The trace of one document, which name ends with the number of: a region read, the edit that the number chooses, and two captures. Region and edit are those of _regions."""
+    t = content if content.count("\n") + 1 >= LAST else f"begin\n{content}\nend a\nend b"
+    own, number = t.split("\n"), int(name.rsplit("/", 1)[1])
+
+    def changed(at: int, tail: str) -> str:
+        return "\n".join([*own[:at], own[at] + tail, *own[at + 1 :]])
+
+    # The sign stays with the number, as in SQL.
+    k = number % 7 if number >= 0 else -(-number % 7)
+    if k == 0:
+        current = t
+    elif k == 1:
+        current = f"above\n{t}"
+    elif k == 2:
+        current = changed(FIRST, " changed")
+    elif k == 3:
+        current = "\n".join([t, *own[FIRST - 1 : LAST]])
+    elif k == 4:
+        current = "above\n" + changed(FIRST, " changed")
+    elif k == 5:
+        current = changed(FIRST - 1, " renamed")
+    else:
+        current = "\n".join([*own[: LAST - 1], "grown", *own[LAST - 1 :]])
+    shot = replay.event("capture-request", task=TASK, budget=12_000)
+    edit = replay.event("replace-exact", path=path, expected=t, replacement=current.replace("$", "$$"))
+    return [{"name": name, "repository": None, "files": {path: t}, "events": [replay.event("read", path=path, scope="region", start_line=FIRST, end_line=LAST), shot, edit, shot]}]
 
-    def make(**values):
-        return F.struct(*(values.get(n, F.lit(None)).alias(n) for n in names)).cast(f"struct<{event}>")
 
-    edit = make(type=F.lit("replace-exact"), path=F.lit("f"), expected=F.col("t"), replacement=F.replace("current", F.lit("$"), F.lit("$$")))
-    read = make(type=F.lit("read"), path=F.lit("f"), scope=F.lit("region"), start_line=F.lit(FIRST), end_line=F.lit(LAST))
-    shot = make(type=F.lit("capture-request"), task=F.lit(TASK), budget=F.lit(12_000))
-    traces = r.select(F.concat(F.lit("docs/edit/"), F.col("doc_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("repository"), F.create_map(F.lit("f"), F.col("t")).alias("files"), F.array(read, shot, edit, shot).alias("events"))
-    out = replay.replayed(traces, ("unit-region",))
+def document_replay(spark, sf_dir):
+    """Each document as a trace: a region read, the edit that its number chooses, and two captures. The edit is made where it is replayed: the text is moved once."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.concat(F.lit("docs/edit/"), F.col("doc_id").cast("string")).alias("name"), F.lit("f").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    out = replay.replayed_files(files, _edited_trace, ("unit-region",))
     return out.select("trace", "capture", "method", "stale_units", "projection_bytes", "error")
 
 
