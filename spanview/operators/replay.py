@@ -1,13 +1,14 @@
 """Replay of many traces through many systems, and the traces' own steps as relations.
 
 A trace is one row with its files and events; traces are independent, and each is folded in order,
-once a system, where it is. Files whose traces are made and replayed at once are dealt out evenly first,
-which moves each file once and its traces, many times as large, not at all.
+through all systems, where it is. Files whose traces are made and replayed at once are dealt out evenly first,
+which moves each file once and its traces, many times as large, not at all; what all traces of a file begin
+with is replayed once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import islice
 
 import pyarrow as pa
@@ -32,14 +33,15 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
 
 
-def _runs(traces: Iterator[dict], systems: tuple[str, ...], parser) -> Iterator[dict]:
-    for r in traces:
-        base = {"trace": r["name"], "repo": replay.repository(r["repository"], r["name"]), "family": replay.family(r["name"])}
-        for name in systems:
-            try:
-                yield from ({**base, "system": name, **m} for m in replay.run(dict(r["files"]), r["events"], name, parser))
-            except replay.TraceError as e:
-                yield {**base, "system": name, "error": str(e)}
+def _runs(groups: Iterator[Sequence[dict]], systems: tuple[str, ...], parser, hashed: bool = True) -> Iterator[dict]:
+    """Rows of traces, which come in groups that may begin alike."""
+    for traces in groups:
+        for r, out in zip(traces, replay.run_all(traces, systems, parser, hashed)):
+            base = {"trace": r["name"], "repo": replay.repository(r["repository"], r["name"]), "family": replay.family(r["name"])}
+            if isinstance(out, replay.TraceError):
+                yield from ({**base, "system": name, "error": str(out)} for name in systems)
+            else:
+                yield from ({**base, "system": name, **m} for name, own in zip(systems, out) for m in own)
 
 
 _MEASURED = f"trace string, repo string, family string, system string, {_MEASURES}, error string"
@@ -62,19 +64,24 @@ def replayed(traces: DataFrame, systems: tuple[str, ...] = replay.SYSTEMS, parse
     """Measures of every capture: (trace, repo, family, system, capture, ..., error). A trace that fails gives one row with its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(_runs(_rows(batches), systems, parser), _FIELDS, 1024)
+        return _batches(_runs(([r] for r in _rows(batches)), systems, parser), _FIELDS, 1024)
 
     return traces.select("name", "repository", "files", "events").mapInArrow(run, _MEASURED)
 
 
-def replayed_files(files: DataFrame, make, systems: tuple[str, ...] = replay.SYSTEMS, parser=None) -> DataFrame:
-    """As replayed, of the traces that make(name, path, content) gives of each file (name, path, content): a trace, which has its files several times over, is replayed where it is made."""
+def replayed_files(files: DataFrame, make, systems: tuple[str, ...] = replay.SYSTEMS, parser=None, columns: Sequence[str] | None = None) -> DataFrame:
+    """As replayed, of the traces that make(name, path, content) gives of each file (name, path, content): a trace, which has its files several times over, is replayed where it is made.
+
+    columns: those of the result, all by default; others do not leave Python, and payloads are hashed only if payload_sha256 is among them.
+    """
+    fields = _FIELDS if columns is None else pa.schema([_FIELDS.field(c) for c in columns])
+    kinds = dict(c.split() for c in _MEASURED.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = (t for r in _rows(batches) if r["content"] is not None for t in make(r["name"], r["path"], r["content"]))
-        return _batches(_runs(made, systems, parser), _FIELDS, 1024)
+        made = (list(make(r["name"], r["path"], r["content"])) for r in _rows(batches) if r["content"] is not None)
+        return _batches(_runs(made, systems, parser, "payload_sha256" in fields.names), fields, 1024)
 
-    return _spread(files.select("name", "path", "content")).mapInArrow(run, _MEASURED)
+    return _spread(files.select("name", "path", "content")).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in fields.names))
 
 
 def _generated(files: DataFrame, make) -> DataFrame:

@@ -93,8 +93,7 @@ def _sources(spark, sf_dir, kind=None):
 def symbol_pack(spark, sf_dir):
     """Every symbol of the documents as Python files, read by its name, moved and edited, and found again by the parser: measures of each capture."""
     files = _sources(spark, sf_dir, 0).select(F.col("doc_id").cast("string").alias("name"), "path", "content")
-    out = replay.replayed_files(files, replay.symbols_traces, ("unit-region",), symbols.limited(symbols.enumerate_symbols))
-    return out.select("trace", "capture", "method", "recall", "stale_units", "error")
+    return replay.replayed_files(files, replay.symbols_traces, ("unit-region",), symbols.limited(symbols.enumerate_symbols), ("trace", "capture", "method", "recall", "stale_units", "error"))
 
 
 def symbol_table(spark, sf_dir):
@@ -118,8 +117,8 @@ def _traces(spark, sf_dir, docs=None):
 
 def trace_replay(spark, sf_dir):
     """Every mutation family of every document through every system."""
-    out = replay.replayed_files(_files(table(spark, sf_dir, "documents")), replay.region_traces(FIRST, LAST))
-    return out.select("trace", "family", "system", "capture", "method", "recall", "exact_rate", "stale_bytes", "duplicate_units", "payload_bytes", "error")
+    columns = ("trace", "family", "system", "capture", "method", "recall", "exact_rate", "stale_bytes", "duplicate_units", "payload_bytes", "error")
+    return replay.replayed_files(_files(table(spark, sf_dir, "documents")), replay.region_traces(FIRST, LAST), columns=columns)
 
 
 def trace_events(spark, sf_dir):
@@ -186,8 +185,7 @@ def document_replay(spark, sf_dir):
     """Each document as a trace: a region read, the edit that its number chooses, and two captures. The edit is made where it is replayed: the text is moved once."""
     docs = table(spark, sf_dir, "documents")
     files = docs.select(F.concat(F.lit("docs/edit/"), F.col("doc_id").cast("string")).alias("name"), F.lit("f").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
-    out = replay.replayed_files(files, _edited_trace, ("unit-region",))
-    return out.select("trace", "capture", "method", "stale_units", "projection_bytes", "error")
+    return replay.replayed_files(files, _edited_trace, ("unit-region",), columns=("trace", "capture", "method", "stale_units", "projection_bytes", "error"))
 
 
 def stream_tracked(spark, sf_dir):
