@@ -33,15 +33,15 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
 
 
-def _runs(groups: Iterator[Sequence[dict]], systems: tuple[str, ...], parser, hashed: bool = True) -> Iterator[dict]:
-    """Rows of traces, which come in groups that may begin alike."""
+def _runs(groups: Iterator[Sequence[dict]], systems: tuple[str, ...], parser, hashed: bool = True, last: bool = False) -> Iterator[dict]:
+    """Rows of traces, which come in groups that may begin alike; with last, of the last capture of each only."""
     for traces in groups:
         for r, out in zip(traces, replay.run_all(traces, systems, parser, hashed)):
             base = {"trace": r["name"], "repo": replay.repository(r["repository"], r["name"]), "family": replay.family(r["name"])}
             if isinstance(out, replay.TraceError):
                 yield from ({**base, "system": name, "error": str(out)} for name in systems)
             else:
-                yield from ({**base, "system": name, **m} for name, own in zip(systems, out) for m in own)
+                yield from ({**base, "system": name, **m} for name, own in zip(systems, out) for m in (own[-1:] if last else own))
 
 
 _MEASURED = f"trace string, repo string, family string, system string, {_MEASURES}, error string"
@@ -69,17 +69,18 @@ def replayed(traces: DataFrame, systems: tuple[str, ...] = replay.SYSTEMS, parse
     return traces.select("name", "repository", "files", "events").mapInArrow(run, _MEASURED)
 
 
-def replayed_files(files: DataFrame, make, systems: tuple[str, ...] = replay.SYSTEMS, parser=None, columns: Sequence[str] | None = None) -> DataFrame:
+def replayed_files(files: DataFrame, make, systems: tuple[str, ...] = replay.SYSTEMS, parser=None, columns: Sequence[str] | None = None, last: bool = False) -> DataFrame:
     """As replayed, of the traces that make(name, path, content) gives of each file (name, path, content): a trace, which has its files several times over, is replayed where it is made.
 
     columns: those of the result, all by default; others do not leave Python, and payloads are hashed only if payload_sha256 is among them.
+    last: all captures are replayed and measured, but of each trace and system only the last leaves Python.
     """
     fields = _FIELDS if columns is None else pa.schema([_FIELDS.field(c) for c in columns])
     kinds = dict(c.split() for c in _MEASURED.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = (list(make(r["name"], r["path"], r["content"])) for r in _rows(batches) if r["content"] is not None)
-        return _batches(_runs(made, systems, parser, "payload_sha256" in fields.names), fields, 1024)
+        return _batches(_runs(made, systems, parser, "payload_sha256" in fields.names, last), fields, 1024)
 
     return _spread(files.select("name", "path", "content")).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in fields.names))
 

@@ -3,8 +3,12 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from spanview import engine, relocation, replay
+from spanview.operators import metrics
 from spanview.operators import replay as operators
+from spanview.plans import replays
 
 TEXT = "one\ntwo é\nthree  x\nfour\nfive the region\ntwo é\n"
 
@@ -56,3 +60,17 @@ def test_terms_that_a_task_shares_and_normal_lines():
         line = "".join(r.choice(odd) for _ in range(r.randrange(8)))
         want = re.sub(r"[\s﻿]+", " ", line).strip(" ")
         assert relocation.normal(line) == want and relocation.normal_lines([line, "b"], f"{line}\nb") == [want, "b"]
+
+
+def test_last_captures_leave_alone(spark, tmp_path):
+    """budget_pressure, repeated numbers and none among them, as of all captures with all columns."""
+    texts = [TEXT, TEXT + "more", "a\nb\nc\nd\ne", "short", None]
+    spark.createDataFrame([(i % 3 if i < 4 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    files = replays._files(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    make, systems = operators.pressed(operators.region_traces(2, 4)), ("unit-region", "whole-file")
+    whole = operators.replayed_files(files, make, systems)
+    final = metrics.final_captures(whole, ["trace", "system"], "capture")
+    want = final.groupBy("system").agg(F.count("*").alias("traces"), F.max("projection_bytes").alias("largest"), F.sum("stale_bytes").alias("stale_bytes"))
+    assert sorted(map(tuple, replays.budget_pressure(spark, str(tmp_path)).collect())) == sorted(map(tuple, want.collect()))
+    last = operators.replayed_files(files, make, systems, last=True)
+    assert 2 * last.count() == whole.count() > 0 and {x.capture for x in last.select("capture").distinct().collect()} == {1}
